@@ -31,14 +31,14 @@ class Rule:
 
 #: Measures per word or character, so that no rule depends on a text's length.
 RULES = (
-    Rule("symbols", "n_symbols / n_words", 0.02, 0.1),
-    Rule("symbol_share", "n_symbols / word_chars", 0.005, 0.03),
-    Rule("repeats", "n_repeat_words / n_words", 0.2, 0.4),
-    Rule("lines", "n_dup_lines / greatest(n_lines, 1)", 0.1, 0.3),
-    Rule("capitals", "n_capitals / word_chars", 0.1, 0.25),
-    Rule("shouts", "n_shouts / n_words", 0.03, 0.15),
-    Rule("distinct", "1 - n_distinct / n_words", 0.8, 0.92),
-    Rule("word_length", "abs(word_chars / n_words - 6)", 3, 5),
+    Rule("symbols", "try_divide(n_symbols, n_words)", 0.02, 0.1),
+    Rule("symbol_share", "try_divide(n_symbols, word_chars)", 0.005, 0.03),
+    Rule("repeats", "try_divide(n_repeat_words, n_words)", 0.2, 0.4),
+    Rule("lines", "try_divide(n_dup_lines, n_lines)", 0.1, 0.3),
+    Rule("capitals", "try_divide(n_capitals, word_chars)", 0.1, 0.25),
+    Rule("shouts", "try_divide(n_shouts, n_words)", 0.03, 0.15),
+    Rule("distinct", "1 - try_divide(n_distinct, n_words)", 0.8, 0.92),
+    Rule("word_length", "abs(try_divide(word_chars, n_words) - 6)", 3, 5),
 )
 
 
@@ -51,7 +51,7 @@ def features(docs: DataFrame) -> DataFrame:
     n = F.size("words")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(NOT_SPACE))
     triples = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.slice("words", 1, n - 2), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
+        F.transform(F.slice("words", 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
     )
     counted = base.select(
         "doc",
@@ -103,7 +103,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], steps: int = 50) -> tuple[f
     A rule that votes is right with its accuracy, whatever the class; accuracies stay within 0.55 and 0.98, the prior within 0.5 and
     0.99, which keeps the class "good" the one that the rules vote for.
     """
-    m = len(patterns[0][0]) if patterns else 0
+    m = len(RULES) if not patterns else len(patterns[0][0])
     prior, right = 0.9, [0.8] * m
     for _ in range(steps):
         total = good = 0.0
