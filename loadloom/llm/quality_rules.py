@@ -97,42 +97,57 @@ def covered_by_twins(placed: Column) -> Column:
     )
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], steps: int = 50) -> tuple[float, list[float]]:
-    """Prior of a good text and each rule's accuracy, by expectation-maximisation over vote patterns and their counts.
+VOTES = (-1, 0, 1)
+#: How a rule votes on good and poor texts (-1, 0, +1) before any data: most poor texts have one defect or two, so the absence of
+#: another says little. Then the share of good texts, and the share of all texts that these beliefs weigh.
+START = {True: (0.03, 0.07, 0.9), False: (0.3, 0.1, 0.6)}
+GOOD, BELIEF = 0.8, 0.02
 
-    A rule that votes is right with its accuracy, whatever the class; accuracies stay within 0.55 and 0.98, the prior within 0.5 and
-    0.99, which keeps the class "good" the one that the rules vote for.
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], steps: int = 60, belief: float = BELIEF) -> tuple[float, list[dict[int, float]]]:
+    """Log odds of a good text before any vote, and what each rule's vote adds to them.
+
+    Expectation-maximisation over vote patterns and their counts. A rule's accuracies, how often it votes for, against or not at all
+    on good and on poor texts, are estimated apart for each class, so a rule that says little about the class adds little. The starting
+    belief weighs as much as a fixed share of the texts at every size, which keeps the classes from trading places.
     """
     m = len(RULES) if not patterns else len(patterns[0][0])
-    prior, right = 0.9, [0.8] * m
-    for _ in range(steps):
-        total = good = 0.0
-        agree, votes = [1.6] * m, [2.0] * m
-        for votes_of, n in patterns:
-            p = posterior(prior, right, votes_of)
-            total, good = total + n, good + n * p
-            for j, v in enumerate(votes_of):
-                if v:
-                    agree[j] += n * (p if v > 0 else 1 - p)
-                    votes[j] += n
-        prior = min(0.99, max(0.5, good / total)) if total else prior
-        right = [min(0.98, max(0.55, a / v)) for a, v in zip(agree, votes, strict=True)]
-    return prior, right
-
-
-def posterior(prior: float, right: list[float], votes: tuple[int, ...]) -> float:
-    odds = math.log(prior / (1 - prior)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, right, strict=True))
-    return 1 / (1 + math.exp(-odds))
+    total = sum(n for _, n in patterns)
+    prior, chance = GOOD, {c: [dict(zip(VOTES, START[c], strict=True)) for _ in range(m)] for c in START}
+    for _ in range(steps if total else 0):
+        weight = belief * total + 1
+        seen = {c: [{v: weight * p for v, p in zip(VOTES, START[c], strict=True)} for _ in range(m)] for c in START}
+        of_class = {True: weight * GOOD, False: weight * (1 - GOOD)}
+        odds = added(prior, chance)
+        for votes, n in patterns:
+            p = posterior(odds, votes)
+            for c, share in ((True, p), (False, 1 - p)):
+                of_class[c] += n * share
+                for j, v in enumerate(votes):
+                    seen[c][j][v] += n * share
+        prior = of_class[True] / sum(of_class.values())
+        chance = {c: [{v: x / sum(rule.values()) for v, x in rule.items()} for rule in seen[c]] for c in seen}
+    return added(prior, chance)
+
+
+def added(prior: float, chance: dict[bool, list[dict[int, float]]]) -> tuple[float, list[dict[int, float]]]:
+    rules = [{v: math.log(good[v] / poor[v]) for v in VOTES} for good, poor in zip(chance[True], chance[False], strict=True)]
+    return math.log(prior / (1 - prior)), rules
+
+
+def posterior(odds: tuple[float, list[dict[int, float]]], votes: tuple[int, ...]) -> float:
+    total = odds[0] + sum(rule[v] for rule, v in zip(odds[1], votes, strict=True))
+    return 1 / (1 + math.exp(-total)) if total > -700 else 0.0
 
 
 def verdicts(table: DataFrame, least: float = 0.5) -> DataFrame:
     """Adds quality (posterior probability) and kept to a table with votes. Only vote patterns, at most 3^rules, are collected."""
     names = [f"vote_{r.name}" for r in RULES]
     patterns = [(tuple(row[:-1]), row[-1]) for row in table.filter("not base_failed").groupBy(*names).count().collect()]
-    prior, right = fit(sorted(patterns))
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for name, a in zip(names, right, strict=True):
-        odds = odds + F.col(name) * math.log(a / (1 - a))
+    start, rules = fit(sorted(patterns))
+    odds = F.lit(start)
+    for name, rule in zip(names, rules, strict=True):
+        odds = odds + F.when(F.col(name) < 0, rule[-1]).when(F.col(name) > 0, rule[1]).otherwise(rule[0])
     quality = 1 / (1 + F.exp(-odds))
     return table.withColumn("quality", quality).withColumn("kept", ~F.col("base_failed") & (quality >= least))
 

@@ -247,8 +247,10 @@ def test_op5_em_finds_accuracies():
     good = rng.random(20000) < 0.8
     votes = [np.where(rng.random(20000) < 0.3, 0, np.where(rng.random(20000) < a, 1, -1) * np.where(good, 1, -1)) for a in truth]
     patterns = sorted(collections.Counter(zip(*(v.tolist() for v in votes), strict=True)).items())
-    prior, right = fit(patterns, 200)
-    assert abs(prior - 0.8) < 0.03 and np.allclose(right, truth, atol=0.03)
+    start, rules = fit(patterns, 300, belief=1e-6)
+    assert abs(1 / (1 + np.exp(-start)) - 0.8) < 0.03
+    for rule, a in zip(rules, truth, strict=True):  # log odds of the right vote, none from an abstention
+        assert np.allclose([rule[1], rule[0], rule[-1]], [np.log(a / (1 - a)), 0, -np.log(a / (1 - a))], atol=0.3)
 
 
 def test_op6(spark, folder):
@@ -341,3 +343,10 @@ def test_hilbert_neighbours_are_adjacent():
 def test_empty_tables(spark, empty, name):
     rows = Q.queries()[name](spark, empty).count()
     assert rows == (1 if name == "op2_chat_format" else 0)
+
+
+def test_op5_rejects_labelled_junk_and_keeps_clean_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    found = Q.op5_quality_rules(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet").withColumnRenamed("quality", "label"), "doc_id")
+    junk, clean = (found.filter(f"label = {k} and not base_failed").agg(F.avg(F.col("kept").cast("int"))).first()[0] for k in (0, 1))
+    assert junk < 0.1 and clean > 0.98
