@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import regex
 
 #: Unicode White_Space without the space and the line feed.
@@ -132,10 +133,13 @@ class IdEncoder:
         self.marks = tuple(t.content for t in self.lib.get_added_tokens_decoder().values())
         self.cache: dict[str, bytes] = {}
         self.mark = {c: self.whole(c) for c in ",."}
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"]["end_of_word_suffix"]
+        vocabulary = self.lib.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def packed(self, ids: list[int]) -> bytes:
-        import numpy as np
-
         return np.asarray(ids, dtype=f"<u{self.width}").tobytes()
 
     def whole(self, text: str) -> bytes:
@@ -151,30 +155,41 @@ class IdEncoder:
         return word if word.islower() else word.lower()
 
     def learn(self, words: list[str]) -> None:
-        """Encode many words as one text; a token belongs to the word in which its offset lies."""
-        import numpy as np
-
-        found = self.lib.encode(" ".join(words), add_special_tokens=False)
-        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-        at = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(found.offsets))
-        ends = np.searchsorted(at, starts, side="left") * self.width
-        ids = self.packed(found.ids)
-        for w, a, b in zip(words, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            self.cache[w] = ids[a:b]
+        """Encode many words as one text. A word of ASCII letters is one pre-token, so its ids end with the first one that ends a
+        word; for the others a token belongs to the word in which its offset lies."""
+        plain = [w for w in words if w.isascii() and w.isalpha()]
+        if plain:
+            found = np.asarray(self.lib.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+            self.share(plain, found, np.concatenate([[0], np.flatnonzero(self.ends_word[found]) + 1]))
+        if len(plain) < len(words):
+            other = [w for w in words if not (w.isascii() and w.isalpha())]
+            found = self.lib.encode(" ".join(other), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in other)])
+            at = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(found.offsets))
+            self.share(other, np.asarray(found.ids, dtype=f"<u{self.width}"), np.searchsorted(at, starts, side="left"))
+
+    def share(self, words: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
+        packed, cuts = ids.tobytes(), (cuts * self.width).tolist()
+        self.cache.update((w, packed[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(m in t for m in self.marks) else t.replace("\n", " ").split(" ") for t in texts]
         cache = self.cache
         if len(cache) >= CACHE_ENTRIES:
             cache.clear()
         cache[""] = b""
-        missing = set().union(*(words for words in split if words is not None)).difference(cache)
+        of = cache.get
+        split = [None if any(m in t for m in self.marks) else t.replace("\n", " ").split(" ") for t in texts]
+        parts = [None if words is None else list(map(of, words)) for words in split]
+        gaps = [[i for i, p in enumerate(part) if p is None] if part and None in part else () for part in parts]
+        missing = {words[i] for words, gap in zip(split, gaps, strict=True) for i in gap}
         cores = {w: self.core(w) for w in missing}
-        unknown = list(set(cores.values()).difference(cache))
+        unknown = [c for c in set(cores.values()) if c not in cache]
         for at in range(0, len(unknown), 4096):
             self.learn(unknown[at : at + 4096])
         for w, core in cores.items():
             if w is not core:
                 cache[w] = cache[core] + (self.mark[w[-1]] if len(w) > len(core) else b"")
-        of = cache.__getitem__
-        return [self.whole(t) if words is None else b"".join(map(of, words)) for t, words in zip(texts, split, strict=True)]
+        for words, part, gap in zip(split, parts, gaps, strict=True):
+            for i in gap:
+                part[i] = cache[words[i]]
+        return [self.whole(t) if part is None else b"".join(part) for t, part in zip(texts, parts, strict=True)]
