@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadloom.llm import spans as S
-from loadloom.llm.common import arrow_map, drop_table, open_table, write_table
+from loadloom.llm.common import arrow_map, open_table, write_table
 
 
 @dataclass(frozen=True)
@@ -74,19 +74,22 @@ def disclosing_pairs(docs: DataFrame, pairs: DataFrame, n_docs: int, rule: Discl
 
     Document counts of the terms come from all documents; of the entities and pairs from the rows that hold them.
     """
+    n = F.lit(float(n_docs))
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= rule.support)
-    path = write_table(together, "pii-pairs")
-    together = open_table(docs.sparkSession, path, together)
     entities = pairs.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = together.select("term").distinct()
+    near = pairs.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    content = F.log(n / F.col("n_entity"))
+    strength = lambda n_term: F.log(n * F.col("n_both") / (n_term * F.col("n_entity"))) / content
+    # a term stands in at least as many documents as near entities, so a pair that is too weak by that count is too weak
+    possible = together.join(entities, "entity").join(near, "term").filter((content > 0) & (strength(F.col("n_near")) >= rule.generalise))
+    possible = open_table(docs.sparkSession, write_table(possible, "pii-pairs"), possible)
+    terms = possible.select("term").distinct()
     words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")))
-    side = F.broadcast(terms) if together.count() <= rule.broadcast_terms else terms
+    side = F.broadcast(terms) if possible.count() <= rule.broadcast_terms else terms
     in_docs = docs.select(words.alias("term")).join(side, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_seen"))
-    counted = together.join(in_docs, "term", "left").join(entities, "entity")
-    n_term = F.greatest(F.coalesce("n_seen", F.lit(0)), "n_both")
-    pmi = F.log(F.lit(float(n_docs)) * F.col("n_both") / (n_term * F.col("n_entity")))
-    content = F.log(F.lit(float(n_docs)) / F.col("n_entity"))
-    return counted.select("entity", "term", (pmi / content).alias("strength")).filter((content > 0) & (F.col("strength") >= rule.generalise))
+    counted = possible.join(in_docs, "term", "left")
+    n_term = F.greatest(F.coalesce("n_seen", F.lit(0)), "n_near")
+    return counted.select("entity", "term", strength(n_term).alias("strength")).filter(F.col("strength") >= rule.generalise)
 
 
 def sanitise(docs: DataFrame, rule: Disclosure | None = None) -> DataFrame:

@@ -350,3 +350,21 @@ def test_op5_rejects_labelled_junk_and_keeps_clean_documents(spark):
     found = Q.op5_quality_rules(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet").withColumnRenamed("quality", "label"), "doc_id")
     junk, clean = (found.filter(f"label = {k} and not base_failed").agg(F.avg(F.col("kept").cast("int"))).first()[0] for k in (0, 1))
     assert junk < 0.1 and clean > 0.98
+
+
+def test_op3_terms_that_disclose_an_entity(spark):
+    """Against brute force: strengths of all pairs from whole documents."""
+    import math
+
+    from loadloom.llm.pii import Disclosure, sanitise
+
+    rule = Disclosure(support=2)
+    texts = [f"contact zephyrine at ann@x.org about words{k} common shared" for k in range(3)] + [f"common shared other{k} bob{k}@y.org near" for k in range(9)]
+    texts += ["common words shared by everyone, and halfway"] * 20 + ["halfway carl@z.org halfway"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in sanitise(docs, rule).collect()}
+    assert "remove:8:17" in got[0] and texts[0][8:17] == "zephyrine"
+    assert "generalise" not in got[5] and "remove" not in got[5] and got[15] == ""
+    n_half = sum("halfway" in t for t in texts)
+    strength = math.log(len(texts) * 3 / (n_half * 3)) / math.log(len(texts) / 3)
+    assert ("generalise" in got[len(texts) - 1]) == (strength >= rule.generalise)
