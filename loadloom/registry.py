@@ -1,13 +1,17 @@
 """All registered queries and their SQL twins."""
 
+from __future__ import annotations
+
+from loadloom.queries import base, calendars, relational, scalars, sequences, time  # noqa: F401  they register themselves
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return calendars.day_role_profile(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(base.ORACLES)
