@@ -91,3 +91,34 @@ def running_moments(df: DataFrame, x: list[str], y: str, by: list[str], order: s
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -delay)
     pairs = {f"g_{i}_{j}": F.sum(F.col(a) * F.col(b)).over(w) for i, a in enumerate(x) for j, b in enumerate(x) if j >= i}
     return df.withColumns(pairs | {f"c_{i}": F.sum(F.col(a) * F.col(y)).over(w) for i, a in enumerate(x)} | {"known": F.count(y).over(w)})
+
+
+def ema_many(df: DataFrame, filters: list[tuple[Column, float | Column, str]], step_hours: float, chunk: Column | None = None) -> DataFrame:
+    """Several exponential filters in one pass: (value, time constant in hours, name). See ``ema`` for the method.
+
+    A time constant may be a column that is constant within a series.
+    """
+    n = len(filters)
+    chunk = F.to_date("ts") if chunk is None else chunk
+    decay = lambda tau: F.exp(-step_hours / (F.lit(float(tau)) if isinstance(tau, (int, float)) else tau))
+    x, d = F.array(*(f[0].cast("double") for f in filters)), F.array(*(decay(f[1]) for f in filters))
+    others = [c for c in df.columns if c not in (SERIES, "ts")]
+    chunks = df.groupBy(SERIES, chunk.alias("_chunk")).agg(F.sort_array(F.collect_list(F.struct("ts", x.alias("_x"), *others))).alias("_rows"), F.first(d).alias("_d"))
+    # within a chunk all rows share the decay d, so the chunk's map is y -> d^k y + q
+    fold = F.aggregate("_rows", F.array_repeat(F.lit(0.0), n), lambda q, r: F.zip_with(F.zip_with(q, r["_x"], lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.col("_d"), lambda z, dd: dd * z["a"] + (1 - dd) * z["b"]))
+    maps = chunks.select(SERIES, "_chunk", "_d", F.size("_rows").alias("k"), fold.alias("q"), F.element_at("_rows", 1)["_x"].alias("first"))
+    w = Window.partitionBy(SERIES).orderBy("_chunk")
+    before = F.collect_list(F.struct("k", "q")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    seed = F.first("first").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    through = lambda y, m: F.zip_with(F.zip_with(y, m["q"], lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.col("_d"), lambda z, dd: F.pow(dd, m["k"]) * z["a"] + z["b"])
+    entering = maps.withColumns({"_before": before, "_seed": seed}).select(SERIES, "_chunk", F.aggregate("_before", F.col("_seed"), through).alias("_y"))
+    both = chunks.join(entering, [SERIES, "_chunk"])
+    after = lambda y, r: F.zip_with(F.zip_with(y, r["_x"], lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.col("_d"), lambda z, dd: dd * z["a"] + (1 - dd) * z["b"])
+    scan = F.aggregate(
+        "_rows",
+        F.struct(F.col("_y").alias("y"), F.array().cast("array<array<double>>").alias("ys")),
+        lambda s, r: F.struct(after(s["y"], r).alias("y"), F.concat(s["ys"], F.array(after(s["y"], r))).alias("ys")),
+        lambda s: s["ys"],
+    )
+    each = both.select(SERIES, F.explode(F.arrays_zip(F.col("_rows").alias("r"), scan.alias("y"))).alias("z"))
+    return each.select(SERIES, "z.r.ts", *(F.col(f"z.r.{c}").alias(c) for c in others), *(F.col("z.y")[i].alias(f[2]) for i, f in enumerate(filters)))
