@@ -33,3 +33,8 @@ def spark():
 @pytest.fixture(scope="session")
 def small():
     return SMALL
+
+
+@pytest.fixture(scope="session")
+def medium():
+    return "/root/testdata/sf0.01"
