@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,19 +41,38 @@ def bspline(x: Column, inner: list[float]) -> list[Column]:
     return level
 
 
-def bspline_at(x: Column, inner: list[float]) -> Column:
-    """The same as an array, from the four splines that aren't zero: cheap in a wide design.
+def cubic_pieces(inner: list[float]) -> list[list[list[float]]]:
+    """For each interval of evenly spaced knots, the four splines that aren't zero there, as polynomials of the distance to its start."""
+    t = np.array([inner[0]] * 3 + inner + [inner[-1]] * 3)
+    out = []
+    for k in range(len(inner) - 1):
+        u = np.linspace(0.1, 0.9, 4) * (inner[k + 1] - inner[k])
+        x = inner[k] + u
+        level = [np.where(i == k + 3, 1.0, 0.0) * np.ones(4) for i in range(len(t) - 1)]
+        for d in (1, 2, 3):
+            share = lambda i, d=d: (x - t[i]) / (t[i + d] - t[i]) if t[i + d] > t[i] else np.zeros(4)
+            level = [share(i) * level[i] + (1 - share(i + 1)) * (t[i + d + 1] > t[i + 1]) * level[i + 1] for i in range(len(t) - 1 - d)]
+        out.append(np.linalg.solve(np.vander(u, 4, increasing=True), np.array(level[k : k + 4]).T).T.tolist())
+    return out
+
 
-    Evenly spaced knots away from the ends share one cubic piece, so the position in the interval selects its weights.
-    """
-    return F.array(*bspline(x, inner))
+def bspline_at(x: Column, inner: list[float]) -> Column:
+    """The same over evenly spaced knots as an array, for x within them: the interval selects four cubics from a table, and all other
+    splines are zero, so the expression stays small however many splines there are."""
+    n, a, h = len(inner) - 1, inner[0], (inner[-1] - inner[0]) / (len(inner) - 1)
+    k = F.least(F.greatest(F.floor((x - a) / h), F.lit(0)), F.lit(n - 1)).cast("int")
+    u = x - (a + h * k)
+    four = F.transform(F.element_at(F.lit(cubic_pieces(inner)), k + 1), lambda p: p[0] + u * (p[1] + u * (p[2] + u * p[3])))
+    return F.concat(F.array_repeat(F.lit(0.0), k), four, F.array_repeat(F.lit(0.0), n - 1 - k))
 
 
 def window_basis(x: Column, a: float, b: float, step: float) -> Column:
     """Splines over [a, b) without two at either end: value and slope are zero at the edges, and all is zero outside."""
     inside = (x >= a) & (x < b)
     clipped = F.greatest(F.least(x, F.lit(b)), F.lit(a))
-    return F.array(*(F.when(inside, v).otherwise(0.0) for v in bspline(clipped, evenly(a, b, step))[2:-2]))
+    knots = evenly(a, b, step)
+    n = len(knots) - 2  # len + 2 splines, without two at either end
+    return F.when(inside, F.slice(bspline_at(clipped, knots), 3, n)).otherwise(F.array_repeat(F.lit(0.0), n))
 
 
 def night_basis(tod: Column) -> Column:
@@ -60,7 +80,8 @@ def night_basis(tod: Column) -> Column:
     end, step = C.BASE["night_end"], C.BASE["night_knot"]
     inner = [step * i for i in range(int(end / step + 1e-9) + 1)]
     clipped = F.greatest(F.least(tod, F.lit(end)), F.lit(0.0))
-    return F.array(*(F.when(tod < end, v).otherwise(0.0) for v in bspline(clipped, inner)[:-2]))
+    n = len(inner)
+    return F.when(tod < end, F.slice(bspline_at(clipped, inner), 1, n)).otherwise(F.array_repeat(F.lit(0.0), n))
 
 
 def light_basis(tod: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -92,11 +93,16 @@ class Layout:
     def n_ramps(self) -> int:
         return max(int((self.span_days - C.PV["knot_days"]) / C.PV["knot_days"] + 1e-9), 0)
 
-    def sizes(self) -> dict[str, int]:
+    @cached_property
+    def counts(self) -> dict[str, int]:
+        """Lengths of the blocks; worked out on the driver once, and sent to tasks with the layout."""
         n = {k: v for k, (_, v) in self.base_blocks().items()}
         k = 1 + 2 * C.HEATING["harmonics"] + 3 + 2 * C.HEATING["off_harmonics"]
         return n | {"heating": k, "trend": (1 + 2 * C.HEATING["trend_harmonics"]) * self.n_ramps, "cooling": k, "pv": 1 + self.n_ramps}
 
+    def sizes(self) -> dict[str, int]:
+        return self.counts
+
     def slices(self) -> dict[str, slice]:
         out, at = {}, 0
         for name, n in self.sizes().items():

@@ -1,0 +1 @@
+"""Structured Streaming: windows with late data, recursive filters as state, idempotent output."""
