@@ -176,7 +176,7 @@ def weather_effects(df: DataFrame, params: DataFrame, layout: Layout, step_hours
     whole = predict(df, params, layout, step_hours).select(SERIES, "ts", "heating", "cooling")
     for name, value, column in (("a", 0.0, "heating"), ("b", 0.0, "heating"), ("w", 1.0, "heating"), ("a_c", 0.0, "cooling"), ("w_c", 1.0, "cooling")):
         i = NAMES.index(name)
-        changed = params.withColumn("theta", F.transform("theta", lambda x, k, i=i, value=value: F.when(k == i, F.lit(value)).otherwise(x)))
+        changed = params.withColumn("theta", F.array(*(F.lit(value) if k == i else F.col("theta")[k] for k in range(len(NAMES)))))
         other = predict(df, changed, layout, step_hours).select(SERIES, "ts", F.col(column).alias("_o"))
         whole = whole.join(other, [SERIES, "ts"]).withColumn(f"effect_{name}", F.col(column) - F.col("_o")).drop("_o")
     return whole.drop("heating", "cooling")
