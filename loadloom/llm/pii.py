@@ -16,7 +16,10 @@ from loadloom.llm.common import arrow_map, open_table, write_table
 
 @dataclass(frozen=True)
 class Disclosure:
-    """Terms are runs of at least ``min_letters`` letters, within ``reach`` characters of an entity.
+    """Terms are runs of at least ``min_letters`` letters, anywhere in a document that holds an entity.
+
+    An entity is an exact value and, by ``groups``, what values have in common: the ``owner`` (letters of an email's local part), the
+    ``domain`` (of an email; the first three parts of an ip) and the ``kind``. Single values are mostly too rare to be judged.
 
     A term t discloses an entity e by PMI(t, e) / IC(e), 1 where t stands in no document without e. From ``generalise`` on it is
     generalised, from ``remove`` on removed. Pairs seen in fewer than ``support`` documents are no evidence.
@@ -24,15 +27,18 @@ class Disclosure:
     """
 
     min_letters: int = 4
-    reach: int = 60
+    groups: tuple[str, ...] = ()
     support: int = 3
     generalise: float = 0.85
     remove: float = 0.999
     broadcast_terms: int = 500_000
 
 
+#: The rule of the registered query.
+GROUPED = Disclosure(groups=("owner", "domain", "kind"))
+
 _SPAN = "struct<kind:string,start:bigint,end:bigint>"
-_NEAR = "struct<entity:bigint,term:string,start:bigint,end:bigint>"
+_TERM = "struct<term:string,start:bigint,end:bigint>"
 
 
 def entity_key(kind: str, value: str) -> int:
@@ -40,53 +46,71 @@ def entity_key(kind: str, value: str) -> int:
     return int.from_bytes(blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def entity_keys(kind: str, value: str, groups: tuple[str, ...]) -> list[int]:
+    """The value itself, then the groups that it is in."""
+    host = value.rpartition("@")[2] if kind == "email" else value.rpartition(".")[0]
+    owner = re.sub(r"[^a-z]", "", value.rpartition("@")[0].lower()) if kind == "email" else ""
+    shared = {"owner": owner, "domain": host.lower() if kind in ("email", "ip") else "", "kind": kind}
+    named = [f"{g}:{kind}:{shared[g]}" for g in groups if shared[g]]
+    return [entity_key(kind, value), *(int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in named)]
+
+
 def found_rows(docs: DataFrame, rule: Disclosure) -> DataFrame:
-    """Base spans of each whole text, and the terms near each of them."""
+    """Base spans of each whole text, its entities, and all terms of a text that has any."""
     words = re.compile(r"[^\W\d_]{%d,}" % rule.min_letters)
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        base, near = [], []
+        base, entities, terms = [], [], []
         for text in batch.column(1).to_pylist():
             found = S.personal(text) if text else []
             base.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-            terms = {}
-            for k, a, b in found:
-                key = entity_key(k, text[a:b])
-                for lo, hi in ((max(0, a - rule.reach), a), (b, b + rule.reach)):
-                    while 0 < lo < a and hi == a and text[lo - 1].isalnum() and text[lo].isalnum():
-                        lo += 1  # no cut words at the window's edges
-                    for m in words.finditer(text, lo, min(hi, len(text))):
-                        at, end = m.span()
-                        if end == hi and end < len(text) and text[end].isalnum() or any(x < end and at < y for _, x, y in found):
-                            continue
-                        terms[key, at] = {"entity": key, "term": m[0].lower(), "start": at, "end": end}
-            near.append(list(terms.values()))
-        out = [batch.column(0), pa.array(base, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))]
-        out.append(pa.array(near, pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))))
-        return pa.RecordBatch.from_arrays(out, names=["doc_id", "base", "near"])
+            entities.append(list({x for k, a, b in found for x in entity_keys(k, text[a:b], rule.groups)}))
+            here, rest = [], sorted((a, b) for _, a, b in found)
+            at = reached = 0
+            for m in words.finditer(text) if found else ():
+                start, end = m.span()
+                while at < len(rest) and rest[at][0] < end:
+                    reached = max(reached, rest[at][1])
+                    at += 1
+                if start >= reached:  # no base span over it
+                    here.append({"term": m[0].lower(), "start": start, "end": end})
+            terms.append(here)
+        spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        named = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        out = [batch.column(0), pa.array(base, spans), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, named)]
+        return pa.RecordBatch.from_arrays(out, names=["doc_id", "base", "entities", "terms"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "text"), scan, f"doc_id {kind}, base array<{_SPAN}>, near array<{_NEAR}>")
+    return arrow_map(docs.select("doc_id", "text"), scan, f"doc_id {kind}, base array<{_SPAN}>, entities array<bigint>, terms array<{_TERM}>")
+
+
+def side(few: DataFrame, rule: Disclosure) -> DataFrame:
+    """Broadcast up to a bound."""
+    return F.broadcast(few) if few.count() <= rule.broadcast_terms else few
 
 
-def disclosing_pairs(docs: DataFrame, pairs: DataFrame, n_docs: int, rule: Disclosure) -> DataFrame:
-    """(entity, term, strength) of pairs over the threshold. ``pairs``: distinct (row, entity, term).
+def disclosing_pairs(docs: DataFrame, rows: DataFrame, n_docs: int, rule: Disclosure) -> DataFrame:
+    """(entity, term, strength) of pairs over the threshold. ``rows``: those with entities, of found_rows.
 
-    Document counts of the terms come from all documents; of the entities and pairs from the rows that hold them.
+    Terms and entities count once a document. Document counts of the terms come from all documents; of the entities and pairs from
+    the rows that hold them. An entity in fewer than ``support`` documents has no pair in as many, so it forms none.
     """
     n = F.lit(float(n_docs))
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= rule.support)
-    entities = pairs.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    near = pairs.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    spark, words = docs.sparkSession, F.array_distinct("terms.term")
+    counts = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= rule.support)
+    counts = open_table(spark, write_table(counts, "pii-entities"), counts)
+    held = rows.select(F.explode("entities").alias("entity"), words.alias("words")).join(side(counts, rule), "entity")
+    pairs = held.select("entity", "n_entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.max("n_entity").alias("n_entity"))
+    together = pairs.filter(F.col("n_both") >= rule.support)
+    near = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
     content = F.log(n / F.col("n_entity"))
     strength = lambda n_term: F.log(n * F.col("n_both") / (n_term * F.col("n_entity"))) / content
     # a term stands in at least as many documents as near entities, so a pair that is too weak by that count is too weak
-    possible = together.join(entities, "entity").join(near, "term").filter((content > 0) & (strength(F.col("n_near")) >= rule.generalise))
-    possible = open_table(docs.sparkSession, write_table(possible, "pii-pairs"), possible)
+    possible = together.join(near, "term").filter((content > 0) & (strength(F.col("n_near")) >= rule.generalise))
+    possible = open_table(spark, write_table(possible, "pii-pairs"), possible)
     terms = possible.select("term").distinct()
     words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")))
-    side = F.broadcast(terms) if possible.count() <= rule.broadcast_terms else terms
-    in_docs = docs.select(words.alias("term")).join(side, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_seen"))
+    in_docs = docs.select(words.alias("term")).join(side(terms, rule), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_seen"))
     counted = possible.join(in_docs, "term", "left")
     n_term = F.greatest(F.coalesce("n_seen", F.lit(0)), "n_near")
     return counted.select("entity", "term", strength(n_term).alias("strength")).filter(F.col("strength") >= rule.generalise)
@@ -95,19 +119,23 @@ def disclosing_pairs(docs: DataFrame, pairs: DataFrame, n_docs: int, rule: Discl
 def sanitise(docs: DataFrame, rule: Disclosure | None = None) -> DataFrame:
     """Personal data in each whole text: doc_id, base and all_spans (arrays of kind, start, end), counts, base_sha256, spans.
 
-    Base kinds are email, ip, card and phone. The method adds spans of kind ``generalise`` or ``remove``: terms near a
-    protected entity that the corpus shows to disclose it (see Disclosure). ``redact`` applies the spans to texts.
+    Base kinds are email, ip, card and phone. The method adds spans of kind ``generalise`` or ``remove``: terms of a
+    document that the corpus shows to disclose a protected entity in it (see Disclosure). ``redact`` applies the spans to texts.
     Null text: empty. Null doc_id: stays null. Repeated rows: each counts as a document. Empty table: no rows. Other columns are ignored.
     """
     rule = rule or Disclosure()
     spark = docs.sparkSession
     rows = found_rows(docs, rule).withColumn("row", F.monotonically_increasing_id())
     table = open_table(spark, write_table(rows, "pii-rows"), rows)
-    near = table.filter(F.size("near") > 0).select("row", F.inline("near"))
-    pairs = near.select("row", "entity", "term").distinct()
-    strong = disclosing_pairs(docs, pairs, table.count(), rule)
-    kind = F.when(F.col("strength") >= rule.remove, "remove").otherwise("generalise")
-    hits = near.join(strong, ["entity", "term"]).select("row", F.struct(kind.alias("kind"), "start", "end").alias("span"))
+    held = table.filter(F.size("entities") > 0)
+    strong = disclosing_pairs(docs, held, table.count(), rule)
+    strong = strong.groupBy("term").agg(F.collect_list(F.struct("entity", "strength")).alias("who"))
+    strong = open_table(spark, write_table(strong, "pii-terms"), strong)
+    # every occurrence of a term in the documents that hold an entity it discloses
+    by = F.filter("who", lambda x: F.array_contains("entities", x.entity))
+    each = held.select("row", "entities", F.inline("terms")).join(side(strong, rule), "term").select("row", "start", "end", by.alias("by"))
+    kind = F.when(F.exists("by", lambda x: x.strength >= rule.remove), "remove").otherwise("generalise")
+    hits = each.filter(F.size("by") > 0).select("row", F.struct(kind.alias("kind"), "start", "end").alias("span"))
     added = hits.groupBy("row").agg(F.collect_set("span").alias("added"))
     return told(table.join(added, "row", "left").select("doc_id", "base", "added"))
 

@@ -31,7 +31,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.sanitise(table(spark, sf_dir, "documents"))
+    found = pii.sanitise(table(spark, sf_dir, "documents"), pii.GROUPED)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 

@@ -368,3 +368,14 @@ def test_op3_terms_that_disclose_an_entity(spark):
     n_half = sum("halfway" in t for t in texts)
     strength = math.log(len(texts) * 3 / (n_half * 3)) / math.log(len(texts) / 3)
     assert ("generalise" in got[len(texts) - 1]) == (strength >= rule.generalise)
+
+
+def test_op3_adds_spans_with_the_rule_of_the_query(spark, tmp_path):
+    """Values in one document each; a term of the heading, far from them, and once more at the end."""
+    far = "common words of every page " * 10
+    texts = [f"Gateway page\n{far}\nhost 10.0.{k}.7 answers\n{far} gateway" for k in range(5)] + [f"Other page\n{far}"] * 35
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: set(r["spans"].split(",")) for r in Q.op3_sanitise(spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        want = {f"{kind}:{m.start()}:{m.end()}" for kind, x in (("ip", r"10\.0\.[0-9]\.7"), ("remove", "(?i)gateway|host|answers")) for m in re.finditer(x, t)}
+        assert got[k] == (want or {""})
