@@ -26,7 +26,7 @@ def year(spark):
 
 @cache
 def fitted(spark):
-    return M.joint(year(spark), LAYOUT, 1.0, passes=2, params=M.start(year(spark), synthetic.TRUTH))
+    return M.joint(year(spark), LAYOUT, 1.0)
 
 
 def predicted(spark):
@@ -60,7 +60,7 @@ def d1_backtest(spark, sf):
 @query()
 def leave_out_folds(spark, sf):
     folds = year(spark).select(SERIES).distinct().select(SERIES, F.inline(F.array(*(F.struct(F.lit(n).alias("fold"), F.to_date(F.lit(a)).alias("first"), F.to_date(F.lit(b)).alias("last")) for n, a, b in (("spring", "2022-04-04", "2022-04-17"), ("autumn", "2022-10-03", "2022-10-16"))))))
-    return backtest.left_out(year(spark), LAYOUT, 1.0, folds, passes=1)
+    return backtest.left_out(year(spark), LAYOUT, 1.0, folds)
 
 
 @query()

@@ -63,3 +63,19 @@ def test_forecast_weather(spark):
     axis = synthetic.weather(spark, "2022-05-10", 2)
     found = weather.slots(hours, axis, table).collect()
     assert len(found) == 192 and all(r["sun"] >= 0 and 0 <= r["gloom"] <= 1 for r in found)
+
+
+def test_joint_fit_finds_shapes_from_the_default_start(spark, medium):
+    """Within 0.15 of the bounds' width; estimates from a noisy load can't be the truth to the last bit."""
+    from loadloom.plans import fit as M
+    from loadloom.plans import synthetic
+
+    found = {r["name"]: r["value"] for r in registry.queries()["joint_fit_params"](spark, medium).filter("series_id = 's0'").collect()}
+    for s in M.SHAPES:
+        if s.fixed is None:
+            assert 0 < abs(found[s.name] - synthetic.TRUTH[s.name]) <= 0.15 * (s.high - s.low), s.name
+
+
+def test_left_out_folds_are_fitted_with_shapes(spark, medium):
+    """The noise of the load has a deviation of 4."""
+    assert all(r["rmse"] < 4.3 for r in registry.queries()["leave_out_folds"](spark, medium).collect())
