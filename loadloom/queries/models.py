@@ -92,4 +92,5 @@ def stream_tumbling_windows(spark, sf):
 def stream_exponential_filter(spark, sf):
     found = X.filtered(event_stream(spark, sf), "value", 6.0)
     path = X.run_available(found)
-    return tidy(spark.read.schema(found.schema).option("recursiveFileLookup", True).parquet(path))
+    rows = spark.read.schema(found.schema).option("recursiveFileLookup", True).parquet(path)
+    return tidy(rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")))  # whole instants, since several lie in one second

@@ -31,27 +31,28 @@ def sessions(stream: DataFrame, value: str, gap: str = "30 minutes", late: str =
 def filtered(stream: DataFrame, value: str, tau_hours: float, out: str = "ema") -> DataFrame:
     """Exponential filter over a stream: y <- y + (1 - exp(-dt / tau)) (x - y), dt being the time since the row before.
 
-    The state of a series is its last value and instant, whatever its length. Rows at or before that instant are late: they are left
-    out, and corrections go through the comparison of snapshots instead.
+    Instants are microseconds; rows of one instant count as their mean. The state of a series is its last value and instant, whatever
+    its length. Rows that come in a later batch at or before that instant are late: they are left out, and corrections go through the
+    comparison of snapshots instead.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, y = state.get if state.exists else (-1, 0.0)
-        rows = pd.concat(list(batches)).dropna(subset=["t", value]).sort_values("t", kind="stable").drop_duplicates("t")
-        rows = rows[rows["t"] > last]
+        last, y = state.get if state.exists else (None, 0.0)
+        rows = pd.concat(list(batches)).dropna(subset=["t", value]).groupby("t", sort=True, as_index=False)[value].mean()
+        rows = rows if last is None else rows[rows["t"] > last]
         if not len(rows):
             return
         t, x, found = rows["t"].to_numpy(), rows[value].to_numpy(dtype=float), np.empty(len(rows))
         for i in range(len(rows)):  # a recursion over the new rows of one series
-            y = x[i] if last < 0 else y + (1 - np.exp(-(t[i] - last) / 3600 / tau_hours)) * (x[i] - y)
+            y = x[i] if last is None else y + (1 - np.exp(-(t[i] - last) / 3.6e9 / tau_hours)) * (x[i] - y)
             last, found[i] = int(t[i]), y
         state.update((last, float(y)))
         yield pd.DataFrame({SERIES: key[0], "t": t, value: x, out: found})
 
-    rows = stream.select(SERIES, F.unix_timestamp("ts").alias("t"), F.col(value).cast("double").alias(value))
+    rows = stream.select(SERIES, F.unix_micros("ts").alias("t"), F.col(value).cast("double").alias(value))
     schema = f"{SERIES} string, t long, {value} double, {out} double"
     found = rows.groupBy(SERIES).applyInPandasWithState(step, schema, "last long, y double", "append", GroupStateTimeout.NoTimeout)
-    return found.select(SERIES, F.timestamp_seconds("t").alias("ts"), value, out)
+    return found.select(SERIES, F.timestamp_micros("t").alias("ts"), value, out)
 
 
 def to_archive(path: str) -> Callable[[DataFrame, int], None]:

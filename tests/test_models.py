@@ -45,6 +45,24 @@ def test_stream_filter_equals_recursion(spark, medium):
         assert abs(y - rows[k]["ema"]) < 1e-2
 
 
+def test_stream_filter_keeps_all_instants(spark, medium):
+    events = spark.read.parquet(f"{medium}/events.parquet").select("event_type", "ts").distinct().count()
+    assert registry.queries()["stream_exponential_filter"](spark, medium).count() == events
+
+
+def test_stream_filter_takes_the_mean_of_one_instant(spark, tmp_path):
+    from loadloom.streaming import series as X
+
+    at = datetime(2024, 1, 1)
+    rows = [("a", at, 1.0), ("a", at, 3.0), ("a", at + timedelta(microseconds=1), 5.0), ("a", at + timedelta(hours=6), 10.0)]
+    spark.createDataFrame(rows, "series_id string, ts timestamp, value double").coalesce(1).write.parquet(f"{tmp_path}/in")
+    found = X.filtered(spark.readStream.schema("series_id string, ts timestamp, value double").parquet(f"{tmp_path}/in"), "value", 6.0)
+    path = X.run_available(found)
+    got = [(r["value"], r["ema"]) for r in spark.read.schema(found.schema).option("recursiveFileLookup", True).parquet(path).orderBy("ts").collect()]
+    assert [v for v, _ in got] == [2.0, 5.0, 10.0]
+    assert np.allclose([y for _, y in got], [2.0, 2.0, 2 + (1 - np.exp(-1)) * 8], atol=1e-6)
+
+
 def test_refit_policy():
     now = datetime(2026, 8, 4)
     fresh = State(now - timedelta(hours=5), now - timedelta(days=2), 365)
