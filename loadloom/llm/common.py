@@ -14,10 +14,18 @@ from pyspark.sql import functions as F
 ROWS_AT_ONCE = 256
 
 
+#: Tables written by this process, in order, so that a chain of operators can drop those of the links before.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one serves a local master; elsewhere that
+    would be a folder of one machine, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,9 +39,26 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 def write_table(df: DataFrame, name: str) -> str:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return path
 
 
+def tables_written() -> int:
+    return len(_written)
+
+
+def last_table() -> str:
+    return _written[-1]
+
+
+def drop_since(spark: SparkSession, mark: int, keep: str | None = None) -> None:
+    """Drop the tables written since ``tables_written()`` gave ``mark``, but for one."""
+    for path in _written[mark:]:
+        if path != keep:
+            drop_table(spark, path)
+    _written[mark:] = [keep] if keep in _written[mark:] else []
+
+
 def open_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path)
 

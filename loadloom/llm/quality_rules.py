@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from loadloom.llm.common import open_table, write_table
 
-SPACE = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
+#: Three or more of the same mark, and words without a letter.
+MARK_RUN = r"([^\p{L}\p{N}\x20\x09-\x0D])\1\1+"
+LETTERLESS = r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"
 
 
 @dataclass(frozen=True)
@@ -29,46 +32,48 @@ class Rule:
         return F.when(m <= self.good, 1).when(m >= self.bad, -1).otherwise(0).cast("byte").alias(f"vote_{self.name}")
 
 
-#: Measures per word or character, so that no rule depends on a text's length.
+#: Measures per word or character, so that no rule depends on a text's length; each of a trait of its own, since the estimation takes
+#: the rules' votes on texts of one class as independent.
 RULES = (
     Rule("symbols", "try_divide(n_symbols, n_words)", 0.02, 0.1),
-    Rule("symbol_share", "try_divide(n_symbols, word_chars)", 0.005, 0.03),
     Rule("repeats", "try_divide(n_repeat_words, n_words)", 0.2, 0.4),
     Rule("lines", "try_divide(n_dup_lines, n_lines)", 0.1, 0.3),
     Rule("capitals", "try_divide(n_capitals, word_chars)", 0.1, 0.25),
-    Rule("shouts", "try_divide(n_shouts, n_words)", 0.03, 0.15),
+    Rule("mark_runs", "try_divide(n_mark_runs, n_words)", 0.03, 0.15),
+    Rule("letterless", "try_divide(n_letterless, n_words)", 0.08, 0.2),
     Rule("distinct", "1 - try_divide(n_distinct, n_words)", 0.8, 0.92),
     Rule("word_length", "abs(try_divide(word_chars, n_words) - 6)", 3, 5),
 )
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """``doc`` (the whole row), the counts and the votes. One pass, no shuffle."""
-    text = F.coalesce("doc.text", F.lit(""))
-    trimmed = F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
-    base = docs.select(F.struct("*").alias("doc")).select("doc", text.alias("text"), F.split(trimmed, SPACE).alias("words"))
-    base = base.withColumn("words", F.when((F.size("words") == 1) & (F.col("words")[0] == ""), F.array().cast("array<string>")).otherwise(F.col("words")))
-    n = F.size("words")
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(NOT_SPACE))
+def features(docs: DataFrame, *keep: Column) -> DataFrame:
+    """The columns ``keep`` of each row, its counts and its votes. One pass, no shuffle, time linear in the text."""
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select(*keep, text.alias("_text"))
+    kept = base.columns[:-1]
+    base = base.withColumns({"_words": F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))})
+    n = F.size("_words")
+    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(NOT_SPACE))
     triples = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.slice("words", 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
+        F.transform(F.slice("_words", 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))
     )
     counted = base.select(
-        "doc",
+        *kept,
         n.cast("long").alias("n_words"),
-        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
-        F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
-        F.regexp_count("text", F.lit("!!")).cast("long").alias("n_shouts"),
-        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
-        lines.alias("lines"),
-        triples.alias("triples"),
+        F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.regexp_count("_text", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
+        F.regexp_count("_text", F.lit(MARK_RUN)).cast("long").alias("n_mark_runs"),
+        F.regexp_count("_text", F.lit(LETTERLESS)).cast("long").alias("n_letterless"),
+        F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
+        lines.alias("_lines"),
+        triples.alias("_triples"),
     )
     counted = counted.select(
-        "doc", "n_words", "word_chars", "n_symbols", "n_capitals", "n_shouts", "n_distinct",
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words("triples").alias("n_repeat_words"),
+        *kept, "n_words", "word_chars", "n_symbols", "n_capitals", "n_mark_runs", "n_letterless", "n_distinct",
+        F.size("_lines").cast("long").alias("n_lines"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        repeated_words("_triples").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.select("*", failed.alias("base_failed"), *(r.vote() for r in RULES)).fillna(0, [f"vote_{r.name}" for r in RULES])
@@ -152,17 +157,20 @@ def verdicts(table: DataFrame, least: float = 0.5) -> DataFrame:
     return table.withColumn("quality", quality).withColumn("kept", ~F.col("base_failed") & (quality >= least))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """Each row of ``docs`` in ``doc``, with counts, votes, base_failed, quality and kept.
+def judged(docs: DataFrame, *keep: Column) -> DataFrame:
+    """The columns ``keep`` of each row of ``docs`` (the whole row, as ``doc``, if none are named), with counts, votes, base_failed,
+    quality and kept. Names of kept columns must not be those of counts or votes; a struct of the row can't clash.
 
-    The rows are written once with their votes; the accuracies are estimated from the counts of all vote patterns, and the posterior
+    What is kept is written once with the votes; the accuracies are estimated from the counts of all vote patterns, and the posterior
     replaces the demand that every rule pass. A text fails outright if it has under 50 words, or if over half of its words repeat.
     Null or empty text: no words, so base_failed. Null doc_id: stays null. Repeated rows: judged alike, all in the result.
-    Empty table: no rows. Other columns, whatever their names, stay inside ``doc``.
+    Very long texts, and long runs of white space, cost time in proportion to their length. Empty table: no rows.
+    Other columns, whatever their names, stay inside ``doc``.
     """
-    rows = features(docs)
+    rows = features(docs, *(keep or [F.struct("*").alias("doc")]))
     return verdicts(open_table(docs.sparkSession, write_table(rows, "quality-votes"), rows))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with their columns as they were; nulls and repeated rows as there."""
     return judged(docs).filter("kept").select("doc.*")
