@@ -2,24 +2,27 @@
 
 ORACLES = {
     "op8_line_dedup": r"""
-WITH lines AS (
-  SELECT d.doc_id, d.text, d.source, u.line, u.position
+WITH worded AS (
+  SELECT d.doc_id, d.text, d.source, u.line, u.position, regexp_matches(u.line, '[^\x20\x09-\x0D]') AS has_word
   FROM documents d, LATERAL (SELECT unnest(string_split(d.text, chr(10))) AS line, generate_subscripts(string_split(d.text, chr(10)), 1) AS position) u
-), worded AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS has_word FROM lines),
-boilerplate AS (SELECT line FROM worded WHERE has_word GROUP BY line HAVING count(DISTINCT source) >= 10),
-marked AS (
+), widespread AS (SELECT line FROM worded WHERE has_word GROUP BY line HAVING count(DISTINCT source) >= 5),
+hits AS (SELECT w.* FROM worded w JOIN widespread USING (line) WHERE w.has_word),
+voters AS (
+  SELECT doc_id, text FROM (SELECT DISTINCT doc_id, text, position, line FROM hits) GROUP BY doc_id, text
+  HAVING sum(length(line)) <= 0.5 * length(text)
+), boilerplate AS (
+  SELECT h.line FROM hits h JOIN voters v ON h.doc_id IS NOT DISTINCT FROM v.doc_id AND h.text = v.text GROUP BY h.line HAVING count(DISTINCT h.source) >= 5
+), marked AS (
   SELECT w.doc_id, w.text, w.line, w.position, w.has_word, b.line IS NOT NULL AS hit
   FROM worded w LEFT JOIN boilerplate b ON w.line = b.line AND w.has_word
 ), per_doc AS (
-  SELECT doc_id, any_value(text) AS whole, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (hit) AS hits,
+  SELECT doc_id, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (hit) AS hits,
          coalesce(sum(length(line)) FILTER (hit), 0) AS hit_chars,
          coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (NOT hit), '') AS rest
   FROM marked GROUP BY doc_id
-), judged AS (SELECT *, hits > 0 AND hit_chars <= 0.5 * length(whole) AS goes FROM per_doc)
-SELECT d.doc_id, coalesce(j.n_lines, 0)::BIGINT AS n_lines,
-       CASE WHEN goes THEN hits ELSE 0 END::BIGINT AS n_removed,
-       CASE WHEN goes THEN hit_chars ELSE 0 END::BIGINT AS removed_chars,
-       CASE WHEN goes THEN rest ELSE d.text END AS text
-FROM documents d LEFT JOIN judged j USING (doc_id)
+)
+SELECT d.doc_id, coalesce(j.n_lines, 0)::BIGINT AS n_lines, coalesce(j.hits, 0)::BIGINT AS n_removed,
+       coalesce(j.hit_chars, 0)::BIGINT AS removed_chars, CASE WHEN j.hits > 0 THEN j.rest ELSE d.text END AS text
+FROM documents d LEFT JOIN per_doc j USING (doc_id)
 """,
 }
