@@ -6,7 +6,9 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left, bisect_right
 from hashlib import sha256
+from itertools import accumulate
 
 Span = tuple[str, int, int]
 
@@ -91,11 +93,19 @@ def digest(spans: list[Span]) -> str:
 
 # Structural confirmation of secrets
 
-_BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
-_RADIX64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-_KEY_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+#: The armour of a PEM block; between the lines may stand headers, and line feeds may be escaped, as in JSON or env files.
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----")
+_LINE_END = re.compile(r"(?:\\r)?\\n|\r\n|\n|\r")
+_HEADER = re.compile(r"[A-Za-z0-9-]{1,40}:")
+_BASE64_LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+#: Base64 in either alphabet, also wrapped over lines, and hexadecimal in either case.
+_RADIX64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:(?:\\n|\r?\n)[A-Za-z0-9+/_-]+)*={0,2}")
+_RADIX16 = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-fA-F]{2}){16,}(?![0-9A-Fa-f])")
+_WRAP = re.compile(r"\\n|\r?\n")
 _OPENSSH = b"openssh-key-v1\0"
+#: Object identifiers of key algorithms in PKCS #8 (fixed values): RSA, EC, Ed25519, X25519, DSA.
+_KEY_OIDS = tuple(map(bytes.fromhex, ("2a864886f70d010101", "2a8648ce3d0201", "2b6570", "2b656e", "2a8648ce380401")))
 
 
 def decoded(run: str) -> bytes | None:
@@ -109,38 +119,72 @@ def decoded(run: str) -> bytes | None:
         return None
 
 
-def der_length(data: bytes, at: int) -> tuple[int, int] | None:
-    """Length of the value whose length octets start at ``at``, and where the value starts."""
-    if at >= len(data):
+def der_length(data: bytes, at: int, end: int) -> tuple[int, int] | None:
+    """Length of the value whose length octets start at ``at``, and where the value starts; nothing if it would pass ``end``."""
+    if at >= end:
         return None
     first = data[at]
     if first < 0x80:
-        return first, at + 1
-    n = first & 0x7F
-    if not 1 <= n <= 4 or at + 1 + n > len(data):
-        return None
-    return int.from_bytes(data[at + 1 : at + 1 + n], "big"), at + 1 + n
+        size, start = first, at + 1
+    else:
+        n = first & 0x7F
+        if not 1 <= n <= 4 or at + 1 + n > end:
+            return None
+        size, start = int.from_bytes(data[at + 1 : at + 1 + n], "big"), at + 1 + n
+    return (size, start) if start + size <= end else None
 
 
-def der_key(data: bytes) -> bool:
-    """An outer SEQUENCE that fills the data exactly, made of well-formed values that fill it, with an integer or a sequence first."""
-    if len(data) < 16 or data[0] != 0x30 or (head := der_length(data, 1)) is None or head[1] + head[0] != len(data):
-        return False
-    at, seen = head[1], 0
-    while at < len(data):
+def der_tree(data: bytes, at: int, end: int, depth: int = 8) -> list | None:
+    """Tags and contents of the values that fill ``data[at:end]`` exactly; constructed ones are read down to their leaves."""
+    found = []
+    while at < end:
         tag = data[at]
-        if tag not in (0x02, 0x03, 0x04, 0x05, 0x06, 0x30, 0x31, 0xA0, 0xA1) or (inner := der_length(data, at + 1)) is None:
-            return False
-        if seen == 0 and tag not in (0x02, 0x30):
-            return False
-        at, seen = inner[1] + inner[0], seen + 1
-    return at == len(data) and seen >= 2
+        if tag & 0x1F == 0x1F or (head := der_length(data, at + 1, end)) is None:
+            return None
+        size, start = head
+        if tag & 0x20:
+            inner = der_tree(data, start, start + size, depth - 1) if depth else None
+            if inner is None:
+                return None
+            found.append((tag, inner))
+        else:
+            found.append((tag, data[start : start + size]))
+        at = start + size
+    return found
+
+
+def der_kind(data: bytes) -> str | None:
+    """``private`` for the structures of private keys, ``other`` for any other well-formed SEQUENCE (public keys, certificates)."""
+    if len(data) < 16 or data[0] != 0x30 or (tree := der_tree(data, 0, len(data))) is None or len(tree) != 1:
+        return None
+    parts = tree[0][1]
+    tags = [t for t, _ in parts]
+    if tags[:1] == [0x02] and len(parts[0][1]) == 1 and parts[0][1][0] <= 1:
+        if tags[:3] == [0x02, 0x30, 0x04] and algorithm(parts[1][1]):  # PKCS #8: version, algorithm, key
+            return "private"
+        if tags[:2] == [0x02, 0x04] and 16 <= len(parts[1][1]) <= 66 and set(tags[2:]) <= {0xA0, 0xA1}:  # EC: version, key
+            return "private"
+        if len(parts) >= 9 and set(tags[:9]) == {0x02}:  # RSA: version, modulus, exponents, primes, exponents, coefficient
+            return "private"
+        if len(parts) == 6 and set(tags) == {0x02}:  # DSA: version, three parameters, public, private
+            return "private"
+    if tags[:2] == [0x30, 0x04] and len(parts) == 2 and algorithm(parts[0][1]):  # PKCS #8, encrypted
+        return "private"
+    return "other"
+
+
+def algorithm(parts: list) -> bool:
+    """The algorithm of a key, or of its encryption (PKCS #5 and #12)."""
+    if not parts or parts[0][0] != 0x06:
+        return False
+    oid = parts[0][1]
+    return oid in _KEY_OIDS or oid.startswith((bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01")))
 
 
-def wire_strings(data: bytes, at: int = 0) -> list[bytes] | None:
-    """Length-prefixed strings that fill the data, or nothing."""
+def wire_strings(data: bytes, at: int, most: int) -> tuple[list[bytes], int] | None:
+    """Up to ``most`` length-prefixed strings from ``at`` on, and where they end; nothing if one passes the end."""
     found = []
-    while at < len(data):
+    while len(found) < most:
         if at + 4 > len(data):
             return None
         n = int.from_bytes(data[at : at + 4], "big")
@@ -149,46 +193,125 @@ def wire_strings(data: bytes, at: int = 0) -> list[bytes] | None:
             return None
         found.append(data[at : at + n])
         at += n
-    return found
+    return found, at
 
 
-def ssh_key(data: bytes) -> bool:
-    if data.startswith(_OPENSSH):
-        return len(data) > 40 and int.from_bytes(data[15:19], "big") <= 64
-    parts = wire_strings(data) if data[:3] == b"\0\0\0" else None
-    return bool(parts) and len(parts) >= 2 and parts[0] in _KEY_NAMES
+def ssh_length(data: bytes) -> int | None:
+    """Bytes of the OpenSSH private key that the data starts with: cipher, key derivation, its options, a number of keys, then as many
+    public keys and one private part."""
+    if not data.startswith(_OPENSSH) or (head := wire_strings(data, len(_OPENSSH), 3)) is None:
+        return None
+    names, at = head
+    keys = int.from_bytes(data[at : at + 4], "big")
+    if not (names[0] and names[1] and 1 <= keys <= 16) or (rest := wire_strings(data, at + 4, keys + 1)) is None:
+        return None
+    return rest[1] if len(rest[0][-1]) >= 32 else None
 
 
 def key_kind(data: bytes | None) -> str | None:
-    if data is None:
+    """``der`` or ``ssh`` for a private key in that encoding."""
+    if not data:
         return None
-    return "der" if der_key(data) else "ssh" if ssh_key(data) else None
+    return "ssh" if ssh_length(data) == len(data) else "der" if der_kind(data) == "private" else None
 
 
 def signed_token(header: str, payload: str) -> bool:
     """The header is a JSON object that names an algorithm, and the payload decodes to a JSON object."""
     try:
         h, p = json.loads(decoded(header) or b""), json.loads(decoded(payload) or b"")
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(p, dict)
 
 
+def armoured(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
+    """PEM blocks of private keys, and the places of all PEM blocks. The label must name a private key; the body must decode to one, or,
+    where headers say that it is encrypted, to whole cipher blocks."""
+    found, blocks, at = [], [], 0
+    while m := _BEGIN.search(text, at):
+        closing = f"-----END {m[1]}-----"
+        following = text.find("-----BEGIN ", m.end())
+        end = text.find(closing, m.end(), following if following >= 0 else len(text))
+        if end < 0:
+            at = m.end()
+            continue
+        at = end + len(closing)
+        blocks.append((m.start(), at))
+        if m[1].endswith("PRIVATE KEY") and private_body(text[m.end() : end]):
+            found.append(("pem", m.start(), at))
+    return found, blocks
+
+
+def private_body(inside: str) -> bool:
+    lines = [x.strip() for x in _LINE_END.split(inside)]
+    headers = [x for x in lines if _HEADER.match(x)]
+    body = [y for x in lines if x and not _HEADER.match(x) for y in x.split()]
+    if not body or not all(_BASE64_LINE.fullmatch(x) for x in body):
+        return False
+    data = decoded("".join(body))
+    if data is None:
+        return False
+    if any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in headers):
+        return len(data) >= 16 and len(data) % 8 == 0
+    return key_kind(data) is not None
+
+
+def run_keys(run: str) -> list[Span]:
+    """Private keys in a base64 run that may be wrapped over lines. A key starts with a line, and its own lengths tell where it ends, so
+    each line is tried once and must end a key exactly."""
+    lines, ends, at = [], [], 0  # the lines with their places, and how many characters stand up to each one's end
+    for m in [*_WRAP.finditer(run), None]:
+        lines.append((at, m.start() if m else len(run)))
+        at = m.end() if m else at
+    whole = "".join(run[a:b] for a, b in lines).rstrip("=")
+    ends = list(accumulate(min(b, len(run.rstrip("="))) - a for a, b in lines))
+    found, at = [], 0
+    while at < len(lines):
+        before = ends[at - 1] if at else 0
+        need = key_chars(whole, before) if whole[before : before + 1] in ("M", "b") else 0  # a SEQUENCE, or "openssh"
+        last = bisect_left(ends, before + need) if need else len(ends)
+        kind = key_kind(decoded(whole[before : before + need])) if last < len(ends) and ends[last] == before + need else None
+        if kind:
+            found.append((kind, lines[at][0], lines[last][1]))
+            at = last
+        at += 1
+    return found
+
+
+def key_chars(whole: str, at: int) -> int:
+    """Base64 characters, without padding, of the key that starts at ``at`` by its own account, or 0."""
+    head = decoded(whole[at : at + 8])
+    if head is None:
+        return 0
+    if head[:1] == b"\x30" and len(head) > 5:
+        n = head[1] & 0x7F if head[1] >= 0x80 else 0
+        if n > 4:
+            return 0
+        size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+    elif _OPENSSH.startswith(head):
+        rest = whole[at:]
+        size = ssh_length(decoded(rest[: len(rest) // 4 * 4]) or b"") or ssh_length(decoded(rest) or b"") or 0
+    else:
+        return 0
+    return -(-size * 4 // 3)
+
+
 def confirmed(text: str, base: list[Span]) -> list[Span]:
-    """Spans that decode to something with the structure of a key or signed token: pem, jwt, der, ssh."""
-    found: list[Span] = []
-    if "-----BEGIN " in text:
-        for m in _BLOCK.finditer(text):
-            if key_kind(decoded("".join(m[2].split()))):
-                found.append(("pem", m.start(), m.end()))
+    """Spans that decode to something with the structure of a private key or signed token: pem, jwt, der, ssh.
+
+    Candidates are the method's own: PEM blocks, tokens, base64 (also wrapped over lines) and hexadecimal of either case. Public
+    keys, certificates and other data of the same encodings are parsed and not reported, nor what stands in a block of another label.
+    """
+    found, taken = armoured(text) if "-----BEGIN " in text else ([], [])
     if "eyJ" in text:
-        found += [("jwt", m.start(), m.end()) for m in _TOKEN.finditer(text) if signed_token(m[1], m[2])]
-    for kind, a, b in base:  # hexadecimal runs
-        if kind == "hex" and (b - a) % 2 == 0 and (k := key_kind(bytes.fromhex(text[a:b]))):
-            found.append((k, a, b))
-    taken = sorted((a, b) for _, a, b in found)
+        tokens = [("jwt", m.start(), m.end()) for m in _TOKEN.finditer(text) if signed_token(m[1], m[2])]
+        found, taken = found + tokens, sorted(taken + [(a, b) for _, a, b in tokens])
+    starts = [a for a, _ in taken]
+    free = lambda a: not (k := bisect_right(starts, a)) or taken[k - 1][1] <= a
+    for m in _RADIX16.finditer(text):
+        if m[0][:2] in ("30", "6f", "6F") and free(m.start()) and (k := key_kind(bytes.fromhex(m[0]))):
+            found.append((k, m.start(), m.end()))
     for m in _RADIX64.finditer(text):
-        run = m[0]
-        if run[:1] in "MA" and not any(a <= m.start() < b for a, b in taken) and (k := key_kind(decoded(run))):
-            found.append((k, m.start(), m.end()))  # DER and SSH encodings start with M or A
+        if free(m.start()):
+            found += [(k, m.start() + a, m.start() + b) for k, a, b in run_keys(m[0])]
     return found
