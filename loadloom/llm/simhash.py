@@ -10,14 +10,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadloom.llm.common import arrow_map, drop_table, open_table, row_key, same, write_table
+from loadloom.llm.common import arrow_map, drop_since, drop_table, last_table, open_table, row_key, same, tables_written, write_table
 
 BYTES = 8
 #: Fingerprints at most this many bits apart are linked. They differ in as many bytes at most, so at least half of the 8 agree.
 MAX_BITS = 4
 LEAST_SHARED = BYTES - MAX_BITS
-#: Posting lists up to this length are compared in one task; the members of longer ones are linked through midpoints.
-LIST_BOUND = 16_384
+#: Posting lists up to this length are compared in one task. Longer ones are split by each further byte position, and the members of
+#: parts that are still longer are linked through midpoints; so a fingerprint meets at most 20 lists, or 70 parts, of this length.
+LIST_BOUND = 4_096
 SHINGLE = 4
 
 
@@ -75,6 +76,17 @@ def posting_keys() -> Column:
     return F.array(*keys)
 
 
+def split_keys(key: str) -> Column:
+    """The keys of a fingerprint in the parts of one of its posting lists: the list's triple and one further position, as the number of
+    these four positions and the fingerprint's bytes there. Two members that share 4 bytes meet in one of the parts."""
+    fours = list(combinations(range(BYTES), LEAST_SHARED))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    masks = [signed(sum(0xFF << 8 * p for p in four)) for four in fours]
+    parts = [[k for k, four in enumerate(fours) if set(triple) < set(four)] for triple in covering()]
+    numbers = F.element_at(F.lit(parts), F.shiftrightunsigned(key, 24).cast("int") + 1)
+    return F.transform(numbers, lambda k: F.struct(k.alias("four"), F.col("print").bitwiseAND(F.element_at(F.lit(masks), k + 1)).alias("bytes")))
+
+
 def linked_in(values: np.ndarray) -> list[tuple[int, int]]:
     """Star links (smallest member, member) of the components within one posting list, compared block by block.
 
@@ -118,17 +130,29 @@ def midpoint_links(prints: DataFrame) -> DataFrame:
     return points.join(stars, "point").filter("print <> a").select("a", F.col("print").alias("b")).distinct()
 
 
+def list_lengths(postings: DataFrame, name: str) -> DataFrame:
+    counts = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return open_table(postings.sparkSession, write_table(counts, name), counts)
+
+
+def short_links(postings: DataFrame, counts: DataFrame, list_bound: int) -> DataFrame:
+    short = postings.join(counts.filter(F.col("n") <= list_bound).select("key"), "key")
+    return list_links(short.groupBy("key").agg(F.collect_list("print").alias("prints")))
+
+
 def links(prints: DataFrame, list_bound: int = LIST_BOUND) -> DataFrame:
     """Links that keep all components of distinct fingerprints ``prints``; copies need none."""
     postings = prints.select(F.explode(posting_keys()).alias("key"), "print")
-    counts = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    path = write_table(counts, "simhash-lists")
-    counts = open_table(prints.sparkSession, path, counts)
-    short = postings.join(counts.filter(F.col("n") <= list_bound).select("key"), "key")
-    found = list_links(short.groupBy("key").agg(F.collect_list("print").alias("prints")))
-    hot = counts.filter(F.col("n") > list_bound).select("key")
-    if not hot.isEmpty():
-        found = found.union(midpoint_links(postings.join(hot, "key", "left_semi").select("print").distinct()))
+    counts = list_lengths(postings, "simhash-lists")
+    found = short_links(postings, counts, list_bound)
+    long = counts.filter(F.col("n") > list_bound).select("key")
+    if not long.isEmpty():
+        split = postings.join(long, "key", "left_semi").select(F.explode(split_keys("key")).alias("key"), "print").distinct()
+        parts = list_lengths(split, "simhash-parts")
+        found = found.union(short_links(split, parts, list_bound))
+        hot = parts.filter(F.col("n") > list_bound).select("key")
+        if not hot.isEmpty():
+            found = found.union(midpoint_links(split.join(hot, "key", "left_semi").select("print").distinct()))
     return found.distinct()
 
 
@@ -158,7 +182,7 @@ def near_duplicates(docs: DataFrame, list_bound: int = LIST_BOUND) -> DataFrame:
     Fingerprints link at 4 or fewer differing bits. An inverted index on triples of byte positions finds every pair that shares
     at least 4 of its 8 bytes; such pairs are tallied and verified inside their posting lists, which give stars, not pairs.
     Copies are merged by fingerprint before anything is indexed, so a large group of them costs nothing.
-    Null or empty text: fingerprint zero, linked like any other. Null doc_id: never names a component unless all its documents lack
+    Null or empty text: fingerprint zero, linked like any other. Very long texts: hashed whole, block by block. Null doc_id: never names a component unless all its documents lack
     one (component_id is then null). Repeated rows: each in the result, and each ``first`` if one is. Empty table: no rows.
     Other columns are ignored.
     """
@@ -167,10 +191,12 @@ def near_duplicates(docs: DataFrame, list_bound: int = LIST_BOUND) -> DataFrame:
     table = open_table(spark, write_table(rows, "simhash-prints"), rows)
     own = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key"))
     distinct = table.groupBy("print").agg(own.alias("least"))
+    mark = tables_written()
     distinct = open_table(spark, write_table(distinct, "simhash-distinct"), distinct)
     members = components(links(distinct.select("print"), list_bound))
     rooted = distinct.join(members, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     rooted = open_table(spark, write_table(rooted, "simhash-rooted"), rooted)
+    drop_since(spark, mark, keep=last_table())
     heads = rooted.groupBy("root").agg(F.min("least").alias("head"))
     of_print = rooted.join(heads, "root").select("print", "head")
     first = same(F.col("doc_id"), F.col("head.doc_id")) & same(F.col("text_key"), F.col("head.text_key"))
@@ -179,13 +205,16 @@ def near_duplicates(docs: DataFrame, list_bound: int = LIST_BOUND) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, list_bound: int = LIST_BOUND) -> DataFrame:
-    """One document of each near-duplicate group, with all columns; repeated rows are one document."""
+    """One document of each near-duplicate group, with all columns: that of the smallest id, then the smallest hash of its text. Repeated
+    rows are one document; where they differ in other columns, the one whose JSON sorts first stays. Other cases as in ``near_duplicates``."""
+    spark, mark = docs.sparkSession, tables_written()
     firsts = near_duplicates(docs, list_bound).filter("first").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
-    firsts = open_table(docs.sparkSession, write_table(firsts, "simhash-first"), firsts)
+    firsts = open_table(spark, write_table(firsts, "simhash-first"), firsts)
+    drop_since(spark, mark, keep=last_table())
     kept = firsts.distinct()
     rows = docs.select(F.struct("*").alias("_row"))
     of_row = same(F.col("_row.doc_id"), F.col("_kept_id")) & same(row_key(["_row.text"]), F.col("_kept_key"))
     found = rows.join(kept, of_row)
     if firsts.count() > kept.count():
-        found = found.dropDuplicates(["_kept_id", "_kept_key"])
+        found = found.groupBy("_kept_id", "_kept_key").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
     return found.select("_row.*")
