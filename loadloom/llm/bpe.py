@@ -117,10 +117,23 @@ class MergeCounter:
         return sum(map(self.of_ordinary, parts)) + len(parts) - 1
 
 
+#: The published pre-tokenisation pattern of word-level BPE (fixed value): no pre-token spans white space.
+WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(model: dict) -> bool:
+    """Whether a text's ids are those of its words: lower-cased, white space dropped between them, each ended by a suffix."""
+    normal, pre = model.get("normalizer") or {}, model.get("pre_tokenizer") or {}
+    kinds = [n["type"] for n in normal.get("normalizers", [normal] if normal else [])]
+    first = (pre.get("pretokenizers") or [pre])[0]
+    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
+    return bool(model["model"].get("end_of_word_suffix")) and set(kinds) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in kinds and split and first["pattern"].get("Regex") == WORD_PIECES
+
+
 class IdEncoder:
     """Token ids as packed bytes through the ``tokenizers`` library, with words cached.
 
-    Only for vocabularies whose pre-tokens never span white space; anything else is encoded whole.
+    Words are looked up for vocabularies whose pre-tokens never span white space (``by_words``); with any other, texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -132,9 +145,13 @@ class IdEncoder:
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
         self.marks = tuple(t.content for t in self.lib.get_added_tokens_decoder().values())
         self.cache: dict[str, bytes] = {}
-        self.mark = {c: self.whole(c) for c in ",."}
         with open(path, encoding="utf-8") as f:
-            suffix = json.load(f)["model"]["end_of_word_suffix"]
+            model = json.load(f)
+        self.by_words = by_words(model)
+        if not self.by_words:
+            return
+        self.mark = {c: self.whole(c) for c in ",."}
+        suffix = model["model"]["end_of_word_suffix"]
         vocabulary = self.lib.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
@@ -173,6 +190,8 @@ class IdEncoder:
         self.cache.update((w, packed[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [self.whole(t) for t in texts]
         cache = self.cache
         if len(cache) >= CACHE_ENTRIES:
             cache.clear()

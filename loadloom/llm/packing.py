@@ -14,6 +14,8 @@ from loadloom.llm.common import arrow_map, open_table, shared_table, write_table
 
 #: Dimensions that document vectors are projected to, and bits of the curve in each.
 DIMENSIONS, BITS = 3, 10
+#: Narrow rows that one task sorts and sums (some 30 bytes each); there are at least as many tasks as shuffle partitions.
+ROWS_A_PART = 1_000_000
 _encoders: dict[str, tuple[IdEncoder, np.ndarray]] = {}
 
 
@@ -112,14 +114,15 @@ def curve_pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int =
     sequences are cut from that order, so only the last tokens are left over, and those fill sequences of powers of two.
 
     The ids are written once. Only narrow rows are sorted: range partitions (ties on the curve split by row number, so a hot
-    key spreads), a running sum in each, and the sums of the partitions, of which there are as many as partitions.
+    key spreads), a running sum in each, and the sums of the partitions, a row for each million documents.
+    Vocabularies that aren't made of words are encoded whole by the library. Very long texts: cut into as many pieces as they need.
     Null text: as empty, so the end id alone. Null doc_id: packed like any other. Repeated rows: packed each. Empty table: no rows.
     """
     spark = docs.sparkSession
     rows = tokenized(docs, tokenizer, end_id).withColumn("row", F.monotonically_increasing_id())
     table = open_table(spark, write_table(rows, "packed-ids"), rows)
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // ROWS_A_PART))
     ordered = table.select("row", "curve", "doc_tokens").repartitionByRange(parts, "curve", "row").withColumn("part", F.spark_partition_id())
     ordered = shared_table(ordered, "packed-order")
     sums = ordered.groupBy("part").agg(F.sum("doc_tokens").alias("tokens"))  # a row for each partition
