@@ -62,18 +62,20 @@ def held_out(doc_id: Column, folds: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, how: Ranking) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a bounded sample of labelled training rows, chosen by a hash of the id."""
+    """Features and labels of the labelled training rows, at most ``most_rows``: first by the hash of their id, then of their text."""
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     known = known.filter(~held_out(F.col("doc_id"), how.folds))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.most_rows)  # a bound on learning, not on scoring
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text")
+    order = F.struct(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).alias("place")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text", order)
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [features(t) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["label", "x"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64())), batch.column(2)], names=["label", "x", "place"])
 
-    found = arrow_map(rows, measure, "label int, x array<double>").limit(4 * how.most_rows).collect()
-    found.sort()  # so that the fit doesn't depend on the order of partitions
+    place = rows.schema["place"].dataType.simpleString()
+    measured = arrow_map(rows, measure, f"label int, x array<double>, place {place}")
+    found = measured.orderBy("place", "label").limit(how.most_rows).collect()  # ids may repeat; the bound and the order hold all the same
     return np.array([r["x"] for r in found]).reshape(-1, N_FEATURES), np.array([r["label"] for r in found], dtype=int)
 
 
