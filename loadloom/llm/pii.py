@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadloom.llm import spans as S
-from loadloom.llm.common import arrow_map, open_table, write_table
+from loadloom.llm.common import arrow_map, drop_since, last_table, open_table, tables_written, write_table
 
 
 @dataclass(frozen=True)
@@ -127,10 +127,11 @@ def sanitise(docs: DataFrame, rule: Disclosure | None = None) -> DataFrame:
     spark = docs.sparkSession
     rows = found_rows(docs, rule).withColumn("row", F.monotonically_increasing_id())
     table = open_table(spark, write_table(rows, "pii-rows"), rows)
-    held = table.filter(F.size("entities") > 0)
+    held, mark = table.filter(F.size("entities") > 0), tables_written()
     strong = disclosing_pairs(docs, held, table.count(), rule)
     strong = strong.groupBy("term").agg(F.collect_list(F.struct("entity", "strength")).alias("who"))
     strong = open_table(spark, write_table(strong, "pii-terms"), strong)
+    drop_since(spark, mark, keep=last_table())
     # every occurrence of a term in the documents that hold an entity it discloses
     by = F.filter("who", lambda x: F.array_contains("entities", x.entity))
     each = held.select("row", "entities", F.inline("terms")).join(side(strong, rule), "term").select("row", "start", "end", by.alias("by"))
@@ -167,7 +168,10 @@ def one_each(spans: list[S.Span]) -> list[S.Span]:
 
 
 def redact(text: str | None, spans: list[S.Span]) -> str | None:
-    """The text with entities named by kind, terms generalised to their length class, and removed terms left out."""
+    """The text with entities named by kind, terms generalised to their length class, and removed terms left out.
+
+    Of overlapping spans the first stands, of those that start together the longest. Null stays null; without spans the text is as it was.
+    """
     if text is None:
         return None
     out, at = [], 0
