@@ -1,4 +1,8 @@
-"""A corpus from raw documents to packed sequences: five stages, each written and read again."""
+"""A corpus from raw documents to packed sequences: five stages, each written and read again.
+
+All stages take and give rows with the columns of documents, but for the last, which gives pieces of sequences. Extra columns, whatever
+their names, go through the first four unchanged. An empty table stays empty throughout.
+"""
 
 from __future__ import annotations
 
@@ -6,26 +10,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loadloom.llm import decontaminate, line_dedup, packing, quality_rules, simhash
-from loadloom.llm.common import shared_table
+from loadloom.llm.common import drop_since, last_table, shared_table, tables_written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go. Null, empty and very short texts (under 50 words) are rejected, whatever their id; repeated rows are judged
+    alike; very long texts are judged whole."""
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines leave the texts; all rows stay, also those whose text becomes empty. Null texts stay null, null sources are no
+    site, null ids and repeated rows are treated like any other row."""
     return line_dedup.clean_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that of the smallest id (ties: the smallest hash of the text; repeated rows: one). Null and
+    empty texts are one group; a row with a null id stays only if its group has no other."""
     return simhash.keep_first(docs)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by benchmark items go. Null and empty texts are clean; rows that share id and text share the verdict; null
+    items and those without words hit nothing."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in sequences, one row for each piece. Null texts count as empty, so only their end is packed; null ids and repeated
+    rows are packed like any other; very long texts lie in several sequences."""
     return packing.curve_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -36,14 +50,17 @@ STAGES = [
     ("decontamination", contamination),
     ("packing", packed),
 ]
-#: Estimated accuracies, fingerprints and tokens are beyond SQL; tests hold the stages against brute force.
+#: Estimated accuracies, fingerprints and tokens are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The pieces that the stages make of the documents of ``sf_dir``. A stage's tables are dropped once its result is written, and the
+    result of the stage before it too; those of the last stage remain, as its rows are read from them."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables_written()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = shared_table(docs, f"pipeline-{name}")
+            drop_since(spark, mark, keep=last_table())
     return docs
