@@ -43,10 +43,10 @@ PERIODS = (
     Period("most_vanoce", (("12-20", "12-23"), ("01-02", "01-06")), 2, bridges_only=True),
 )
 
-BASE = {"profile": 12, "holiday": 4, "bridge": 2, "knot_days": 90, "smooth": 500.0, "mild": (14.0, 18.0), "mild_before": (12.5, 19.5), "night_end": 10.0, "night_knot": 2.0}
+BASE = {"profile": 12, "holiday": 4, "bridge": 2, "knot_days": 90, "smooth": 500.0, "mild": (14.0, 18.0), "mild_before": (12.5, 19.5), "anchor": 1.0, "night_end": 10.0, "night_knot": 2.0}
 LIGHT_WINDOWS, LIGHT_KNOT = ((3.0, 8.5), (15.0, 23.0)), 1.0
 GLOOM_WINDOW, GLOOM_KNOT = (5.0, 21.0), 2.0
-HEATING = {"harmonics": 4, "off_harmonics": 4, "inside": 20.0, "cop_floor": 0.2, "trend_penalty": 5.0, "trend_harmonics": 2}
+HEATING = {"harmonics": 4, "off_harmonics": 4, "inside": 20.0, "cold": 17.0, "cop_floor": 0.2, "trend_penalty": 5.0, "trend_harmonics": 2}
 COOLING = {"harmonics": 4, "off_harmonics": 4, "reference": 25.0, "eer_floor": 0.3}
 PV = {"knot_days": 90, "penalty": 5.0, "reference": 25.0}
 PRIOR_WEIGHT, PRIOR_RMSE = 0.01, 15.0

@@ -76,16 +76,18 @@ def local_parts(df: DataFrame, zone: str = C.ZONE) -> DataFrame:
 
 
 def to_utc(local: Column, order: Column, by: list[Column], zone: str = C.ZONE) -> Column:
-    """UTC of local wall-clock stamps: of an hour that occurs twice, the second row of a stamp is the later one.
+    """UTC of local wall-clock stamps: of an hour that occurs twice, rows from where the clock goes back in order are the later ones.
 
-    Null where the stamp doesn't exist (the hour skipped in spring).
+    Null where the stamp doesn't exist (the hour skipped in spring). Where the first pass through the repeated hour is missing whole, order
+    can't tell, and the rows count as the first pass.
     """
     plain = F.to_utc_timestamp(local.cast("timestamp"), zone)
-    second = F.row_number().over(Window.partitionBy(*by, local).orderBy(order)) == 2
     back = lambda t: F.from_utc_timestamp(t, zone)
     later = plain + F.expr("interval 1 hour")
     exists = back(plain) == local.cast("timestamp")
     repeats = back(later) == local.cast("timestamp")
+    hour = Window.partitionBy(*by, F.date_trunc("hour", local)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    second = F.coalesce(F.max(local).over(hour) >= local, F.lit(False))
     return F.when(exists, F.when(second & repeats, later).otherwise(plain))
 
 

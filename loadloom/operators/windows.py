@@ -8,32 +8,62 @@ from pyspark.sql import functions as F
 from loadloom.operators.timeaxis import SERIES
 
 
-def ema(df: DataFrame, value: str, alpha: float | Column, out: str, chunk: Column | None = None, carry: bool = False) -> DataFrame:
-    """y[t] = (1 - alpha) y[t-1] + alpha x[t], seeded with the first value, exactly and without a task for a whole series.
+#: Chunks whose maps one array holds; the maps of such groups are composed in turn.
+GROUP = 64
+#: A running sum of weights up to e to this power keeps its precision.
+LARGEST_EXPONENT = 300
 
-    Each step is an affine map y -> a y + b, and maps compose. Chunks (days) are folded to one map each; a short scan over the chunks
-    of a series gives the value that enters each; chunks then expand with it.
+
+def ema(df: DataFrame, value: str, alpha: float | Column, out: str, chunk: Column | None = None) -> DataFrame:
+    """y[t] = (1 - alpha) y[t-1] + alpha x[t], seeded with the first value, exactly and without a task for a whole series; ``alpha`` may be
+    a column that is constant within a series."""
+    alpha = F.lit(float(alpha)) if isinstance(alpha, (int, float)) else alpha
+    return _filtered(df, [(F.col(value), 1 - alpha, out)], chunk)
+
+
+def ema_many(df: DataFrame, filters: list[tuple[Column, float | Column, str]], step_hours: float, chunk: Column | None = None) -> DataFrame:
+    """Several exponential filters in one pass: (value, time constant in hours, name). See ``ema``."""
+    decay = lambda tau: F.exp(-step_hours / (F.lit(float(tau)) if isinstance(tau, (int, float)) else tau))
+    return _filtered(df, [(x, decay(tau), name) for x, tau, name in filters], chunk)
+
+
+def _filtered(df: DataFrame, filters: list[tuple[Column, Column, str]], chunk: Column | None) -> DataFrame:
+    """y[t] = d y[t-1] + (1 - d) x[t] for each (x, d, name).
+
+    A step is an affine map of y, and maps compose. Within a chunk (a day, or part of one where weights would grow too large) a running sum
+    of weighted values gives the filter from zero. Each chunk is one map; the maps before it are composed in groups, and what enters the
+    chunk is added to its rows with its decay.
     """
-    a, chunk = (F.lit(float(alpha)) if isinstance(alpha, (int, float)) else alpha), (F.to_date("ts") if chunk is None else chunk)
-    others = [c for c in df.columns if c not in (SERIES, "ts")]
-    row = F.struct("ts", *others, F.col(value).cast("double").alias("_x"), a.alias("_a"))
-    chunks = df.groupBy(SERIES, chunk.alias("_chunk")).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("q"))
-    step = lambda m, r: F.struct(((1 - r["_a"]) * m["p"]).alias("p"), ((1 - r["_a"]) * m["q"] + r["_a"] * r["_x"]).alias("q"))
-    maps = chunks.select(SERIES, "_chunk", F.aggregate("_rows", start, step).alias("m"), F.element_at("_rows", 1)["_x"].alias("_first"))
-    w = Window.partitionBy(SERIES).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.collect_list("m").over(w)  # the maps of earlier chunks
-    first = F.first("_first").over(Window.partitionBy(SERIES).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0))
-    entering = maps.select(SERIES, "_chunk", F.aggregate(before, first, lambda y, m: m["p"] * y + m["q"]).alias("_y"))
-    both = chunks.join(entering, [SERIES, "_chunk"])
-    scan = F.aggregate(
-        "_rows",
-        F.struct(F.col("_y").alias("y"), F.array().cast("array<double>").alias("ys")),
-        lambda s, r: F.struct(((1 - r["_a"]) * s["y"] + r["_a"] * r["_x"]).alias("y"), F.concat(s["ys"], F.array((1 - r["_a"]) * s["y"] + r["_a"] * r["_x"])).alias("ys")),
-        lambda s: s["ys"],
-    )
-    each = both.select(SERIES, F.explode(F.arrays_zip(F.col("_rows").alias("r"), scan.alias("y"))).alias("z"))
-    return each.select(SERIES, "z.r.ts", *(F.col(f"z.r.{c}") for c in others), F.col("z.y").alias(out))
+    n, day = len(filters), F.to_date("ts") if chunk is None else chunk
+    rows = df.withColumns({f"_x{i}": x.cast("double") for i, (x, _, _) in enumerate(filters)} | {f"_d{i}": d for i, (_, d, _) in enumerate(filters)} | {"_day": day})
+    rows_of = lambda d: F.when(d <= 0, 1.0).otherwise(F.coalesce(F.try_divide(F.lit(float(LARGEST_EXPONENT)), -F.ln(d)), F.lit(1e9)))
+    most = F.least(*(rows_of(F.col(f"_d{i}")) for i in range(n)), F.lit(1e9))
+    longest = F.greatest(F.floor(most), F.lit(1))
+    rows = rows.withColumn("_pos", F.row_number().over(Window.partitionBy(SERIES, "_day").orderBy("ts")) - 1)
+    rows = rows.withColumn("_sub", F.floor(F.col("_pos") / longest)).withColumn("_i", F.col("_pos") - F.col("_sub") * longest)
+    key = [SERIES, "_day", "_sub"]
+    upto = Window.partitionBy(*key).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    alone = lambda i: (1 - F.col(f"_d{i}")) * F.pow(f"_d{i}", "_i") * F.sum(F.col(f"_x{i}") * F.pow(F.col(f"_d{i}"), -F.col("_i"))).over(upto)
+    rows = rows.withColumns({f"_q{i}": alone(i) for i in range(n)})
+
+    array = lambda p: F.array(*(F.col(f"{p}{i}") for i in range(n)))
+    last = F.max_by(F.struct(array("_q").alias("q"), array("_d").alias("d")), "ts")
+    maps = rows.groupBy(*key).agg(F.count("*").alias("k"), last.alias("_l"), F.min_by(array("_x"), "ts").alias("first"))
+    order = Window.partitionBy(SERIES).orderBy("_day", "_sub")
+    maps = maps.select(*key, "k", "_l.q", F.col("_l.d").alias("_d"), F.first("first").over(order).alias("_seed"), (F.row_number().over(order) - 1).alias("_c"))
+    maps = maps.withColumn("_g", F.floor(F.col("_c") / GROUP))
+    pairs = lambda y, q: F.zip_with(y, q, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    through = lambda y, m: F.zip_with(pairs(y, m["q"]), F.col("_d"), lambda z, d: F.pow(d, m["k"]) * z["a"] + z["b"])
+    whole = F.sort_array(F.collect_list(F.struct("_c", "k", "q")))
+    groups = maps.groupBy(SERIES, "_g").agg(whole.alias("m"), F.first("_d").alias("_d"), F.first("_seed").alias("_seed"))
+    groups = groups.select(SERIES, "_g", "_d", "_seed", F.aggregate("m", F.lit(0).cast("long"), lambda s, m: s + m["k"]).alias("k"), F.aggregate("m", F.array_repeat(F.lit(0.0), n), through).alias("q"))
+    earlier = Window.partitionBy(SERIES).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("_before", F.collect_list(F.struct("k", "q")).over(earlier)).select(SERIES, "_g", F.aggregate("_before", F.col("_seed"), through).alias("_enters"))
+    inside = Window.partitionBy(SERIES, "_g").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    entering = maps.withColumn("_before", F.collect_list(F.struct("k", "q")).over(inside)).join(groups, [SERIES, "_g"])
+    entering = entering.select(*key, F.aggregate("_before", F.col("_enters"), through).alias("_y"))
+    both = rows.join(entering, key)
+    return both.select(*df.columns, *((F.col(f"_q{i}") + F.pow(F.col(f"_d{i}"), F.col("_i") + 1) * F.col("_y")[i]).alias(f[2]) for i, f in enumerate(filters)))
 
 
 def lags(df: DataFrame, value: str, offsets: list[int], by: list[str] = (SERIES,), order: str = "ts") -> DataFrame:
@@ -91,34 +121,3 @@ def running_moments(df: DataFrame, x: list[str], y: str, by: list[str], order: s
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -delay)
     pairs = {f"g_{i}_{j}": F.sum(F.col(a) * F.col(b)).over(w) for i, a in enumerate(x) for j, b in enumerate(x) if j >= i}
     return df.withColumns(pairs | {f"c_{i}": F.sum(F.col(a) * F.col(y)).over(w) for i, a in enumerate(x)} | {"known": F.count(y).over(w)})
-
-
-def ema_many(df: DataFrame, filters: list[tuple[Column, float | Column, str]], step_hours: float, chunk: Column | None = None) -> DataFrame:
-    """Several exponential filters in one pass: (value, time constant in hours, name). See ``ema`` for the method.
-
-    A time constant may be a column that is constant within a series.
-    """
-    n = len(filters)
-    chunk = F.to_date("ts") if chunk is None else chunk
-    decay = lambda tau: F.exp(-step_hours / (F.lit(float(tau)) if isinstance(tau, (int, float)) else tau))
-    x, d = F.array(*(f[0].cast("double") for f in filters)), F.array(*(decay(f[1]) for f in filters))
-    others = [c for c in df.columns if c not in (SERIES, "ts")]
-    chunks = df.groupBy(SERIES, chunk.alias("_chunk")).agg(F.sort_array(F.collect_list(F.struct("ts", x.alias("_x"), *others))).alias("_rows"), F.first(d).alias("_d"))
-    # within a chunk all rows share the decay d, so the chunk's map is y -> d^k y + q
-    fold = F.aggregate("_rows", F.array_repeat(F.lit(0.0), n), lambda q, r: F.zip_with(F.zip_with(q, r["_x"], lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.col("_d"), lambda z, dd: dd * z["a"] + (1 - dd) * z["b"]))
-    maps = chunks.select(SERIES, "_chunk", "_d", F.size("_rows").alias("k"), fold.alias("q"), F.element_at("_rows", 1)["_x"].alias("first"))
-    w = Window.partitionBy(SERIES).orderBy("_chunk")
-    before = F.collect_list(F.struct("k", "q")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    seed = F.first("first").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    through = lambda y, m: F.zip_with(F.zip_with(y, m["q"], lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.col("_d"), lambda z, dd: F.pow(dd, m["k"]) * z["a"] + z["b"])
-    entering = maps.withColumns({"_before": before, "_seed": seed}).select(SERIES, "_chunk", F.aggregate("_before", F.col("_seed"), through).alias("_y"))
-    both = chunks.join(entering, [SERIES, "_chunk"])
-    after = lambda y, r: F.zip_with(F.zip_with(y, r["_x"], lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.col("_d"), lambda z, dd: dd * z["a"] + (1 - dd) * z["b"])
-    scan = F.aggregate(
-        "_rows",
-        F.struct(F.col("_y").alias("y"), F.array().cast("array<array<double>>").alias("ys")),
-        lambda s, r: F.struct(after(s["y"], r).alias("y"), F.concat(s["ys"], F.array(after(s["y"], r))).alias("ys")),
-        lambda s: s["ys"],
-    )
-    each = both.select(SERIES, F.explode(F.arrays_zip(F.col("_rows").alias("r"), scan.alias("y"))).alias("z"))
-    return each.select(SERIES, "z.r.ts", *(F.col(f"z.r.{c}").alias(c) for c in others), *(F.col("z.y")[i].alias(f[2]) for i, f in enumerate(filters)))

@@ -1,62 +1,70 @@
-"""Rolling and fold-wise validation: every issue is a series of its own, so all of them are fitted by the same jobs."""
+"""Rolling and fold-wise validation. Weeks, issues and folds are keys beside the series, so all of them are fitted by the same jobs; the
+history isn't copied for them: a chunk is read once and added to the sums of every fold that knows it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadloom.operators.aggregates import asof, scores
+from loadloom import config as C
+from loadloom.operators.aggregates import scores
 from loadloom.operators.timeaxis import SERIES, wall
 from loadloom.plans import fit as M
 from loadloom.plans.correction import correct_day_ahead
 from loadloom.plans.design import Layout
 
-#: Hour of the issue day before which rows are known, and days of history that a prediction's filters need.
-KNOWN_UNTIL, HISTORY_DAYS = 9, 60
-WEATHER = ("temp", "sun", "wind", "gloom")
+#: Hour of the issue day before which rows are known.
+KNOWN_UNTIL = 9
 
 
-def in_context(cutoff: Column, window_days: int | None) -> Column:
-    """Training rows of a cutoff: all before it, or those of its last days and of all holidays' surroundings."""
-    before = F.col("ts") < cutoff
-    if window_days is None:
-        return before
-    return before & ((F.col("ts") >= cutoff - F.expr(f"interval {window_days} days")) | F.coalesce(F.col("context"), F.lit(False)))
+def cutoff(day):
+    return F.unix_timestamp(wall(day, KNOWN_UNTIL))
 
 
-def folded(df: DataFrame, folds: DataFrame) -> DataFrame:
-    """A copy of each series for each of its folds, keyed ``series|fold``; ``folds``: series_id, fold and the fold's columns."""
-    rows = df.join(F.broadcast(folds), SERIES)
-    return rows.withColumns({"_series": F.col(SERIES), SERIES: F.concat_ws("|", SERIES, F.col("fold").cast("string"))})
+def shape_days(issues: DataFrame, every: int = C.REFIT["shape_days"]) -> DataFrame:
+    """series_id, issue and the day whose shapes it uses: its series' first issue, then every ``every`` days, at or before the issue."""
+    first = F.min("issue").over(Window.partitionBy(SERIES))
+    return issues.withColumn("day", F.date_add(first, (F.floor(F.datediff("issue", first) / every) * every).cast("int")))
 
 
-def rolling(df: DataFrame, shapes: DataFrame, layout: Layout, step_hours: float, issues: DataFrame, forecast: DataFrame | None = None, window_days: int | None = None) -> DataFrame:
+def span_of(day, layout: Layout):
+    """Days of history that a fit on ``day`` has, which set the last knots of the level and the ramps."""
+    return F.greatest(F.datediff(day, F.lit(layout.first)), F.lit(1))
+
+
+def weekly_shapes(chunks: DataFrame, days: DataFrame, layout: Layout, step_hours: float, params: DataFrame | None = None, passes: int = 4) -> DataFrame:
+    """Shapes of each series and day, fitted on the rows before 9:00 of that day only. ``days``: series_id, day.
+
+    ``params`` (series_id, theta), from before the first day, gives the start; without, the default start.
+    """
+    folds = days.select(SERIES, "day").distinct()
+    columns = {"fold": F.col("day").cast("string"), "span": span_of(F.col("day"), layout), "until": cutoff(F.col("day"))}
+    if params is not None:
+        folds = folds.join(params.select(SERIES, F.col("theta").alias("_theta")), SERIES)
+        columns["theta"] = F.col("_theta")
+    now = M.start(folds, layout, columns=columns)
+    return M.joint(None, layout, step_hours, passes=passes, params=now, chunks=chunks)
+
+
+def rolling(chunks: DataFrame, issues: DataFrame, shapes: DataFrame, layout: Layout, step_hours: float) -> DataFrame:
     """Day-ahead forecasts: for each issue day, coefficients from the rows before 9:00, then a prediction of all of the next day.
 
-    ``issues``: series_id, issue (date). ``shapes``: series_id, day, theta; an issue uses the latest shapes of its day or before.
-    ``forecast`` (series_id, ts, weather) replaces measured weather from the cutoff on. Moments are summed per issue in one job.
+    ``issues``: series_id, issue (date), day. ``shapes``: series_id, fold (the day), span, theta. One scan gives the moments of all issues:
+    those of a week share their shapes, and each sums what was known at it. Where the chunks hold forecast weather, it replaces the
+    measured one from the cutoff on.
     """
-    dated = asof(issues.withColumn("day", F.col("issue")), shapes, [SERIES], "day", "theta")
-    folds = dated.select(SERIES, F.col("issue").alias("fold"), "theta", wall(F.col("issue"), KNOWN_UNTIL).alias("_cut"))
-    rows = folded(df, folds)
-    none = F.lit(None)
-    ids = folds.withColumn(SERIES, F.concat_ws("|", SERIES, F.col("fold").cast("string")))
-    start = ids.select(SERIES, "theta", none.cast("array<double>").alias("coef"), none.cast("array<double>").alias("step"), none.cast("double").alias("rmse"), F.lit(0).cast("long").alias("n"))
-    # the filters run over the whole axis before the training rows are picked
-    params = M.joint(rows.drop("theta"), layout, step_hours, params=start, train=in_context(F.col("_cut"), window_days), fix_shapes=True)
-    ahead = rows.drop("theta").filter((F.col("ts") >= F.col("_cut") - F.expr(f"interval {HISTORY_DAYS} days")) & (F.col("date_local") <= F.date_add("fold", 1)))
-    if forecast is not None:
-        values = [c for c in WEATHER if c in forecast.columns]
-        named = forecast.select(F.col(SERIES).alias("_series"), "ts", *(F.col(c).alias(f"_{c}") for c in values))
-        ahead = ahead.join(named, ["_series", "ts"], "left")
-        later = F.col("ts") >= F.col("_cut")
-        ahead = ahead.withColumns({c: F.when(later, F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in values}).drop(*(f"_{c}" for c in values))
-    told = M.predict(ahead, params, layout, step_hours).filter(F.col("date_local") == F.date_add("fold", 1))
-    return told.select(F.col("_series").alias(SERIES), F.col("fold").alias("issue"), "ts", "date_local", "tod", "load", "base", "heating", "cooling", "pv", "model", (F.col("load") - F.col("model")).alias("error"))
+    cuts = issues.groupBy(SERIES, F.col("day").cast("string").alias("fold")).agg(F.sort_array(F.collect_set(cutoff(F.col("issue")))).alias("_cuts"))
+    known = shapes.select(SERIES, "fold", F.col("span").alias("_span"), F.col("theta").alias("_theta")).join(cuts, [SERIES, "fold"])
+    weeks = M.start(known, layout, columns={"fold": F.col("fold"), "span": F.col("_span"), "theta": F.col("_theta"), "cuts": F.col("_cuts"), "until": F.array_max("_cuts")})
+    fitted = M.refits(chunks, weeks, layout, step_hours)
+    ahead = issues.select(SERIES, F.col("day").cast("string").alias("fold"), cutoff(F.col("issue")).alias("until"), (F.datediff("issue", F.lit("1970-01-01")) + 1).alias("first"), F.col("issue").cast("string").alias("_issue"))
+    each = fitted.join(ahead, [SERIES, "fold", "until"]).select(SERIES, F.col("_issue").alias("fold"), "span", "theta", "coef", "until", "first", F.col("first").alias("last"))
+    told = M.predict(chunks, each, layout, step_hours, ahead=True)
+    return told.select(SERIES, F.to_date("fold").alias("issue"), "ts", "date_local", "tod", "load", "base", "heating", "cooling", "pv", "model", (F.col("load") - F.col("model")).alias("error"))
 
 
 def corrected(backtest: DataFrame, dimension: DataFrame) -> DataFrame:
-    """The backtest with the online day-ahead correction."""
+    """The backtest with the online day-ahead correction; without enough known days there is none."""
     found = correct_day_ahead(backtest, dimension)
     return found.withColumn("corrected", F.col("model") + F.coalesce("correction", F.lit(0.0)))
 
@@ -67,10 +75,13 @@ def report(backtest: DataFrame, predicted: str = "model") -> DataFrame:
     return scores(rows, "load", predicted, [SERIES, "month"])
 
 
-def left_out(df: DataFrame, layout: Layout, step_hours: float, folds: DataFrame, passes: int = 4) -> DataFrame:
-    """Out-of-sample errors of folds (series_id, fold, first, last): fitted without the rows from first to last, scored on them."""
-    rows = folded(df, folds)
-    tested = (F.col("date_local") >= F.col("first")) & (F.col("date_local") <= F.col("last"))
-    params = M.joint(rows, layout, step_hours, passes=passes, train=~tested)
-    told = M.predict(rows, params, layout, step_hours).filter(tested)
-    return scores(told.withColumns({SERIES: F.col("_series")}), "load", "model", [SERIES, "fold"])
+def left_out(chunks: DataFrame, layout: Layout, step_hours: float, folds: DataFrame, passes: int = 4) -> DataFrame:
+    """Out-of-sample errors of folds (series_id, fold, first, last, forward): fitted without the rows from first to last, or, ``forward``,
+    with those before first only; scored on the rows from first to last."""
+    days = lambda c: F.datediff(c, F.lit("1970-01-01"))
+    until = F.when(F.col("forward"), cutoff(F.col("first"))).otherwise(F.lit(M.FAR))
+    span = F.when(F.col("forward"), span_of(F.col("first"), layout)).otherwise(F.lit(layout.span_days))
+    columns = {"fold": F.col("fold"), "span": span, "until": until, "skip_first": days("first"), "skip_last": days("last")}
+    params = M.from_scratch(None, layout, step_hours, passes=passes, params=M.start(folds, layout, columns=columns), chunks=chunks)
+    tested = params.select(SERIES, "fold", "span", "theta", "coef", F.lit(M.FAR).alias("until"), F.col("skip_first").alias("first"), F.col("skip_last").alias("last"))
+    return scores(M.predict(chunks, tested, layout, step_hours, ahead=True), "load", "model", [SERIES, "fold"])

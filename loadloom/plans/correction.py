@@ -138,3 +138,28 @@ def correct_intraday(cube: DataFrame, features: list[str], ridge: float = C.CORR
     schema = f"{SERIES} string, h int, s long, actual double, pred double, corrected double"
     found = known.withColumns({"h": F.col("h").cast("int"), "s": F.col("s").cast("long")}).mapInPandas(solve, schema)
     return found.withColumn("corrected", F.nanvl("corrected", F.lit(None).cast("double")))
+
+
+def horizon_coefficients(cube: DataFrame, features: list[str], ridge: float = C.CORRECTION["ridge"]) -> DataFrame:
+    """Ridge coefficients of each series and horizon from all its known rows; one small row of moments for each reaches the solver."""
+    err, p = F.col("actual") - F.col("pred"), len(features)
+    usable = err.isNotNull()
+    for f in features:
+        usable = usable & F.col(f).isNotNull()
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = [F.sum(F.col(features[i]) * F.col(features[j])).alias(f"g{i}{j}") for i, j in pairs] + [F.sum(F.col(f) * err).alias(f"c{i}") for i, f in enumerate(features)]
+    moments = cube.filter(usable).groupBy(SERIES, F.col("h").cast("int").alias("h")).agg(*sums)
+
+    def solve(batches):
+        for pdf in batches:
+            g = np.zeros((len(pdf), p, p))
+            for i, j in pairs:
+                g[:, i, j] = g[:, j, i] = pdf[f"g{i}{j}"]
+            g += (ridge * np.trace(g, axis1=1, axis2=2) / p + 1e-12)[:, None, None] * np.eye(p)
+            c = np.linalg.solve(g, pdf[[f"c{i}" for i in range(p)]].to_numpy()[..., None])[..., 0]
+            out = pdf[[SERIES, "h"]].copy()
+            for i, f in enumerate(features):
+                out[f] = c[:, i]
+            yield out
+
+    return moments.mapInPandas(solve, f"{SERIES} string, h int, " + ", ".join(f"{f} double" for f in features))

@@ -1,4 +1,4 @@
-"""Design of the additive model: feature arrays of each component as Column expressions, and their layout."""
+"""The additive model: layout of its coefficients, its design and its responses, built on numpy arrays inside tasks."""
 
 from __future__ import annotations
 
@@ -6,12 +6,16 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loadloom import config as C
-from loadloom.functions import basis as B
-from loadloom.functions import physics as P
+from loadloom.functions import arrays as A
+from loadloom.functions.basis import evenly, level_knots
+
+SHAPES = (*C.HEATING_SHAPES, *C.COOLING_SHAPES, *C.PV_SHAPES)
+NAMES = [s.name for s in SHAPES]
+
 
 class _Signals(dict):
     """What the recursive filters smooth: temperature, sunshine, and wind that cools a heated house. Columns can only be made with a session, so they are made when asked for."""
@@ -41,119 +45,166 @@ class Layout:
     first: str
     span_days: int
 
-    def days(self) -> Column:
-        return F.datediff("date_local", F.lit(self.first)) + F.col("tod") / 24
-
-    def base_blocks(self) -> dict[str, tuple[Column, int]]:
-        tod = F.col("tod")
-        flag = lambda cond, arr, n: (F.when(cond, arr).otherwise(F.array_repeat(F.lit(0.0), n)), n)
-        harmonics = lambda k: B.fourier(tod, k)
-        const = lambda k: F.concat(F.array(F.lit(1.0)), harmonics(k))
-        scaled = lambda arr, by: F.transform(arr, lambda x: x * by)
-        kp, kh, kb = C.BASE["profile"], C.BASE["holiday"], C.BASE["bridge"]
-        working, no_period = F.col("daytype") <= 1, F.size("periods") == 0
-        out = {"level": (B.level_basis(self.days(), self.span_days), len(B.level_knots(self.span_days)) + 2), "dt0": (harmonics(kp), 2 * kp)}
-        for k in (1, 2, 3):
-            out[f"dt{k}"] = flag(F.col("daytype") == k, const(kp), 1 + 2 * kp)
-        out["holiday"] = flag(F.col("holiday"), const(kh), 1 + 2 * kh)
-        n_night = int(C.BASE["night_end"] / C.BASE["night_knot"] + 1e-9) + 1
-        out["morning"] = flag(F.col("after_off") & working & ~F.col("bridge"), B.night_basis(tod), n_night)
-        for n in (1, 2):
-            out[f"bridge{n}"] = flag(F.col("bridge") & no_period & (F.col("bridge_len") == n), const(kb), 1 + 2 * kb)
-        n_light = sum(len(B.evenly(a, b, C.LIGHT_KNOT)) - 2 for a, b in C.LIGHT_WINDOWS)
-        out["light"] = (scaled(B.light_basis(tod), F.col("dark")), n_light)
-        out["gloom"] = (scaled(B.gloom_basis(tod), F.col("gloom")), len(B.evenly(*C.GLOOM_WINDOW, C.GLOOM_KNOT)) - 2)
-        position = F.when(F.col("summer_day") >= 0, F.col("summer_day") + tod / 24).otherwise(-1.0)
-        from loadloom.operators.calendar import summer_length
-
-        n_summer = len(B.evenly(0.0, float(summer_length()), C.SUMMER_KNOT)) - 2
-        splines, shape = B.summer_basis(position), const(C.SUMMER_HARMONICS)
-        width = 1 + 2 * C.SUMMER_HARMONICS
-        out["summer_work"] = flag(working & (position >= 0), B.row_product(splines, shape), n_summer * width)
-        out["summer_off"] = flag(~working & (position >= 0), splines, n_summer)
-        for p in C.PERIODS:
-            out[f"period_{p.name}"] = flag(F.array_contains("periods", p.name), const(p.harmonics), 1 + 2 * p.harmonics)
-        return out
-
-    def base(self) -> Column:
-        return F.concat(*(c for c, _ in self.base_blocks().values()))
-
-    def k_shape(self) -> Column:
-        """Daily shape of a response, offsets of the day roles, and the shape's change on days off."""
-        tod, k, ko = F.col("tod"), C.HEATING["harmonics"], C.HEATING["off_harmonics"]
-        off = (F.col("daytype") >= 2).cast("double")
-        roles = F.array(*((F.col("daytype") == d).cast("double") for d in (1, 2, 3)))
-        return F.concat(F.array(F.lit(1.0)), B.fourier(tod, k), roles, F.transform(B.fourier(tod, ko), lambda x: x * off))
-
-    def trend(self) -> Column:
-        shape = F.concat(F.array(F.lit(1.0)), B.fourier(F.col("tod"), C.HEATING["trend_harmonics"]))
-        return B.row_product(shape, F.slice(B.ramps(self.days(), self.span_days), 2, 1000))
-
     @property
     def n_ramps(self) -> int:
         return max(int((self.span_days - C.PV["knot_days"]) / C.PV["knot_days"] + 1e-9), 0)
 
     @cached_property
-    def counts(self) -> dict[str, int]:
-        """Lengths of the blocks; worked out on the driver once, and sent to tasks with the layout."""
-        n = {k: v for k, (_, v) in self.base_blocks().items()}
+    def sizes(self) -> dict[str, int]:
+        from loadloom.operators.calendar import summer_length
+
+        kp, kh, kb = C.BASE["profile"], C.BASE["holiday"], C.BASE["bridge"]
+        n_summer = len(evenly(0.0, float(summer_length()), C.SUMMER_KNOT)) - 2
+        n = {"level": len(level_knots(self.span_days)) + 2, "dt0": 2 * kp} | {f"dt{k}": 1 + 2 * kp for k in (1, 2, 3)}
+        n |= {"holiday": 1 + 2 * kh, "morning": int(C.BASE["night_end"] / C.BASE["night_knot"] + 1e-9) + 1, "bridge1": 1 + 2 * kb, "bridge2": 1 + 2 * kb}
+        n |= {"light": sum(len(evenly(a, b, C.LIGHT_KNOT)) - 2 for a, b in C.LIGHT_WINDOWS), "gloom": len(evenly(*C.GLOOM_WINDOW, C.GLOOM_KNOT)) - 2}
+        n |= {"summer_work": n_summer * (1 + 2 * C.SUMMER_HARMONICS), "summer_off": n_summer} | {f"period_{p.name}": 1 + 2 * p.harmonics for p in C.PERIODS}
         k = 1 + 2 * C.HEATING["harmonics"] + 3 + 2 * C.HEATING["off_harmonics"]
         return n | {"heating": k, "trend": (1 + 2 * C.HEATING["trend_harmonics"]) * self.n_ramps, "cooling": k, "pv": 1 + self.n_ramps}
 
-    def sizes(self) -> dict[str, int]:
-        return self.counts
-
+    @cached_property
     def slices(self) -> dict[str, slice]:
         out, at = {}, 0
-        for name, n in self.sizes().items():
+        for name, n in self.sizes.items():
             out[name], at = slice(at, at + n), at + n
         return out
 
+    @property
+    def base_names(self) -> list[str]:
+        return list(self.sizes)[:-4]
+
+    @property
+    def width(self) -> int:
+        return sum(self.sizes.values())
+
     def lower(self) -> np.ndarray:
         """Lower bounds: lighting, gloom and solar capacity can't be negative."""
-        s = self.slices()
-        low = np.full(sum(self.sizes().values()), -np.inf)
+        low = np.full(self.width, -np.inf)
         for name in ("light", "gloom", "pv"):
-            low[s[name]] = 0.0
+            low[self.slices[name]] = 0.0
         return low
 
-    def penalty(self, gram: np.ndarray, n: int, mild_share: float = 1.0) -> np.ndarray:
-        """Smoothness of the level (second differences), and first differences of the increments of capacity and heating trend."""
-        s, p = self.slices(), len(gram)
-        out = np.zeros((p, p))
-        d2 = np.diff(np.eye(s["level"].stop - s["level"].start), 2, axis=0)
-        out[s["level"], s["level"]] = C.BASE["smooth"] * n / C.SLOTS_A_DAY / 365 * (d2.T @ d2) * mild_share
+    def penalty(self, gram: np.ndarray, n: int, n_mild: int) -> np.ndarray:
+        """Smoothness of the level (second differences), and first differences of the increments of capacity and heating trend. The level's
+        weight is that of the fit on ``n_mild`` mild rows, rescaled to ``n`` rows."""
+        s = self.slices
+        out = np.zeros((self.width, self.width))
+        d2 = np.diff(np.eye(self.sizes["level"]), 2, axis=0)
+        out[s["level"], s["level"]] = C.BASE["smooth"] * n / max(n_mild, 1) * (d2.T @ d2)
         energy = np.diag(gram)
+        size = self.n_ramps
         for name, blocks, skip, weight in (("pv", 1, 1, C.PV["penalty"]), ("trend", 1 + 2 * C.HEATING["trend_harmonics"], 0, C.HEATING["trend_penalty"])):
-            size, a = self.n_ramps, s[name].start + skip
             if size < 2:
                 continue
             d1 = np.diff(np.eye(size), axis=0)
+            first = s[name].start + skip
+            mean = energy[first : first + blocks * size].mean()
             for k in range(blocks):
-                b = slice(a + k * size, a + (k + 1) * size)
-                out[b, b] += weight * energy[b].mean() * (d1.T @ d1)
+                b = slice(first + k * size, first + (k + 1) * size)
+                out[b, b] += weight * mean * (d1.T @ d1)
+        return out
+
+    def anchor(self, gram: np.ndarray) -> np.ndarray:
+        """The base fit's ridge on what mild days determine badly: lighting, gloom and both summer blocks."""
+        out, weight = np.zeros(self.width), C.BASE["anchor"] * np.trace(gram[: self.slices["heating"].start, : self.slices["heating"].start]) / self.slices["heating"].start
+        for name in ("light", "gloom", "summer_work", "summer_off"):
+            out[self.slices[name]] = weight
+        return np.diag(out)
+
+
+class Rows:
+    """The rows of one chunk as arrays; see ``plans.chunks`` for the fields. ``before`` rows of weather precede them."""
+
+    def __init__(self, fields: dict[str, np.ndarray], layout: Layout):
+        self.f, self.layout = fields, layout
+        first = np.datetime64(layout.first, "D").astype(int)
+        self.days = fields["day"] - first + fields["tod"] / 24
+        self.off = fields["daytype"] >= 2
+
+    def by_tod(self, basis) -> np.ndarray:
+        """A basis of the time of day, evaluated once for each distinct one."""
+        tod, place = np.unique(self.f["tod"], return_inverse=True)
+        return basis(tod)[place]
+
+    def has(self, flag: str) -> np.ndarray:
+        return (self.f["flags"] >> FLAGS.index(flag) & 1).astype(bool)
+
+    def base_blocks(self) -> dict[str, np.ndarray]:
+        f, kp, kh, kb = self.f, C.BASE["profile"], C.BASE["holiday"], C.BASE["bridge"]
+        waves = self.by_tod(lambda t: A.fourier(t, kp))
+        ones = np.ones((len(waves), 1))
+        const = lambda k: np.hstack([ones, waves[:, :k], waves[:, kp : kp + k]])
+        where = lambda cond, arr: arr * np.asarray(cond)[:, None]
+        working, bridge = ~self.off, self.has("bridge")
+        out = {"level": A.level_basis(self.days, self.layout.span_days), "dt0": waves}
+        full = const(kp)
+        for k in (1, 2, 3):
+            out[f"dt{k}"] = where(f["daytype"] == k, full)
+        out["holiday"] = where(self.has("holiday"), const(kh))
+        out["morning"] = where(self.has("after_off") & working & ~bridge, self.by_tod(A.night_basis))
+        for n in (1, 2):
+            out[f"bridge{n}"] = where(bridge & (f["periods"] == 0) & (f["bridge_len"] == n), const(kb))
+        out["light"] = where(f["dark"], self.by_tod(A.light_basis))
+        out["gloom"] = where(f["gloom"], self.by_tod(lambda t: A.window_basis(t, *C.GLOOM_WINDOW, C.GLOOM_KNOT)))
+        from loadloom.operators.calendar import summer_length
+
+        position = np.where(f["summer_day"] >= 0, f["summer_day"] + f["tod"] / 24, -1.0)
+        summer = A.window_basis(position, 0.0, float(summer_length()), C.SUMMER_KNOT)
+        inside = position >= 0
+        out["summer_work"] = where(working & inside, A.row_product(summer, const(C.SUMMER_HARMONICS)))
+        out["summer_off"] = where(~working & inside, summer)
+        for i, p in enumerate(C.PERIODS):
+            out[f"period_{p.name}"] = where(f["periods"] >> i & 1, const(p.harmonics))
         return out
 
+    def k_shape(self) -> np.ndarray:
+        """Daily shape of a response, offsets of the day roles, and the shape's change on days off."""
+        waves = self.by_tod(lambda t: A.fourier(t, C.HEATING["harmonics"]))
+        changed = self.by_tod(lambda t: A.fourier(t, C.HEATING["off_harmonics"])) * self.off[:, None]
+        roles = np.column_stack([self.f["daytype"] == d for d in (1, 2, 3)])
+        return np.hstack([np.ones((len(waves), 1)), waves, roles, changed])
+
+    def ramps(self) -> np.ndarray:
+        return A.ramps(self.days, self.layout.span_days, self.layout.n_ramps)
+
+    def trend(self) -> np.ndarray:
+        waves = self.by_tod(lambda t: A.fourier(t, C.HEATING["trend_harmonics"]))
+        return A.row_product(np.hstack([np.ones((len(waves), 1)), waves]), self.ramps()[:, 1:])
+
+    def signals(self) -> dict[str, np.ndarray]:
+        """What the filters smooth, with the rows before the chunk."""
+        whole = {x: np.concatenate([self.f[f"before_{x}"], self.f[x]]) for x in ("temp", "sun", "wind")}
+        return whole | {"wind": whole["wind"] * np.maximum(C.HEATING["inside"] - whole["temp"], 0.0)}
+
+
+class Responses:
+    """Sizes of heating and cooling at given shapes; filters are kept, as derivatives ask for the same ones again."""
 
-def heating_size(theta: dict[str, Column], tail: str = "") -> Column:
-    return P.softplus(theta["t_b"] - star("h", theta["a"], theta["b"], theta["w"], tail), theta["s"]) / F.greatest(1 + theta["alpha"] * F.col("temp"), F.lit(C.HEATING["cop_floor"]))
+    def __init__(self, rows: Rows, step_hours: float):
+        self.rows, self.step, self.x, self.kept = rows, step_hours, rows.signals(), {}
+        self.n = len(rows.f["temp"])
 
+    def past(self, name: str, tau: float) -> np.ndarray:
+        if (name, tau) not in self.kept:
+            self.kept[name, tau] = A.smoothed(self.x[name], float(np.exp(-self.step / tau)))[-self.n :]
+        return self.kept[name, tau]
 
-def cooling_size(theta: dict[str, Column], tail: str = "") -> Column:
-    return P.softplus(star("c", theta["a_c"], F.lit(0.0), theta["w_c"], tail) - theta["t_bc"], theta["s_c"]) / F.greatest(1 - theta["alpha_c"] * (F.col("temp") - C.COOLING["reference"]), F.lit(C.COOLING["eer_floor"]))
+    def felt(self, a: float, b: float, w: float, tau: float) -> np.ndarray:
+        now, past = ({x: self.x[x][-self.n :] for x in self.x}, {x: self.past(x, tau) for x in ("temp", "sun", "wind")})
+        return sum(share * (v["temp"] + a * v["sun"] - b * v["wind"]) for share, v in ((w, now), (1 - w, past)))
 
+    def heating(self, q: dict[str, float]) -> np.ndarray:
+        felt = self.felt(q["a"], q["b"], q["w"], q["tau"])
+        return A.softplus(q["t_b"] - felt, q["s"]) / np.maximum(1 + q["alpha"] * self.rows.f["temp"], C.HEATING["cop_floor"])
 
-def variable_blocks(layout: Layout, heating: Column, cooling: Column, gamma: Column) -> Column:
-    """The columns that depend on the shapes: heating, its trend, cooling, and solar generation (negative)."""
-    times = lambda arr, by: F.transform(arr, lambda x: x * by)
-    sun = -F.col("sun") * (1 - gamma * (F.col("temp") - C.PV["reference"]))
-    return F.concat(times(layout.k_shape(), heating), times(layout.trend(), heating), times(layout.k_shape(), cooling), times(B.ramps(layout.days(), layout.span_days), sun))
+    def cooling(self, q: dict[str, float]) -> np.ndarray:
+        felt = self.felt(q["a_c"], 0.0, q["w_c"], q["tau_c"])
+        return A.softplus(felt - q["t_bc"], q["s_c"]) / np.maximum(1 - q["alpha_c"] * (self.rows.f["temp"] - C.COOLING["reference"]), C.COOLING["eer_floor"])
 
+    def generation(self, q: dict[str, float]) -> np.ndarray:
+        """Sunshine by the modules' efficiency; capacity times this is what the load lacks."""
+        return self.rows.f["sun"] * (1 - q["gamma"] * (self.rows.f["temp"] - C.PV["reference"]))
 
-def with_filters(df: DataFrame, tau: Column, tau_c: Column, step_hours: float, bump: float | None = None) -> DataFrame:
-    """Filtered weather for the heating and cooling time constants, and again for slightly longer ones if derivatives are asked for."""
-    from loadloom.operators.windows import ema_many
 
-    tails = [("", 1.0)] + ([("_up", 1 + bump)] if bump else [])
-    filters = [(SIGNALS[x], t * f, f"{x}_{m}{tail}") for tail, f in tails for m, t in (("h", tau), ("c", tau_c)) for x in ("temp", "sun", "wind")]
-    return ema_many(df, filters, step_hours)
+#: Bits of a chunk's ``flags``.
+FLAGS = ("holiday", "after_off", "bridge", "context", "mild", "cold", "irregular")

@@ -1,165 +1,428 @@
 """Separable least squares for all components of many series at once.
 
-Each pass computes the moments of [base, shape-dependent columns, derivatives, target] in one scan: a partition sends one matrix a
-series, and each series is finished in its own task. Coefficients come from bounded normal equations; the shapes move by a damped
-Gauss-Newton step on the problem with the coefficients projected out. Only parameters travel between passes.
+A pass is one job: tasks read chunks of series, build their designs on arrays and send the moments of [base, shape-dependent columns,
+derivatives, target]; each series and fold is then solved in its own task, which also moves the shapes. Only parameters travel between
+passes. Coefficients come from bounded normal equations; the shapes move by damped Gauss-Newton steps on the problem with the coefficients
+projected out, and a step that didn't help is taken back. All stages of a fit are solved from such moments: they differ in the rows that
+count, the blocks that are free and the shapes that move.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadloom import config as C
-from loadloom.functions import basis as B
-from loadloom.operators.gram import bounded, partial_grams, solved
+from loadloom.operators.gram import bounded
 from loadloom.operators.timeaxis import SERIES
-from loadloom.plans.design import Layout, cooling_size, heating_size, variable_blocks, with_filters
-from loadloom.sources.store import materialised
+from loadloom.plans.chunks import FIELDS, FORECAST, WEATHER, chunked
+from loadloom.plans.design import FLAGS, NAMES, SHAPES, Layout, Responses, Rows
+from loadloom.sources.store import dropped, written
 
-SHAPES = (*C.HEATING_SHAPES, *C.COOLING_SHAPES, *C.PV_SHAPES)
-NAMES = [s.name for s in SHAPES]
 FREE = [s.name for s in SHAPES if s.fixed is None]
-PARAMS = f"{SERIES} string, theta array<double>, coef array<double>, step array<double>, rmse double, n long"
 BUMP = 1e-3
+HEATING_NAMES = tuple(s.name for s in C.HEATING_SHAPES)
+COOLING_NAMES = tuple(s.name for s in (*C.COOLING_SHAPES, *C.PV_SHAPES))
+#: One row for each series and fold. ``best`` is the best state met, ``trial`` what the next pass evaluates.
+STATE = "theta array<double>, coef array<double>, cost double, rmse double, n long, s array<double>, g array<double>"
+PARAMS = f"{SERIES} string, fold string, span int, until long, since long, skip_first int, skip_last int, cuts array<long>, theta array<double>, coef array<double>, rmse double, n long, damping double, best struct<{STATE}>"
+FAR = 1 << 60
 
 
-def start(df: DataFrame, theta: dict[str, float] | None = None) -> DataFrame:
-    """Starting shapes for every series; pinned ones take their fixed value."""
-    first = [F.lit(float((theta or {}).get(s.name, s.fixed if s.fixed is not None else s.start))) for s in SHAPES]
-    none = F.lit(None).cast("array<double>")
-    return df.select(SERIES).distinct().select(SERIES, F.array(*first).alias("theta"), none.alias("coef"), none.alias("step"), F.lit(None).cast("double").alias("rmse"), F.lit(0).cast("long").alias("n"))
+@dataclass(frozen=True)
+class Stage:
+    """Rows that count (``all``, ``mild`` or ``cold`` days), blocks that are solved for (none named: all), shapes that move, and passes."""
 
+    rows: str = "all"
+    blocks: tuple[str, ...] = ()
+    shapes: tuple[str, ...] = tuple(FREE)
+    passes: int = 8
 
-def shapes_of(array: str = "theta") -> dict[str, Column]:
-    return {n: F.col(array)[i] for i, n in enumerate(NAMES)}
 
+def staged(layout: Layout, passes: int = 8) -> list[Stage]:
+    """The chain from scratch: base on mild days, heating on cold ones, cooling with generation, then everything."""
+    return [
+        Stage("mild", tuple(layout.base_names), (), 1),
+        Stage("cold", ("heating",), HEATING_NAMES, 5),
+        Stage("all", ("cooling", "pv"), tuple(n for n in COOLING_NAMES if n in FREE), 4),
+        Stage(passes=passes),
+    ]
 
-def derivatives(layout: Layout, theta: dict[str, Column]) -> Column:
-    """Change of the modelled load with each free shape, at the coefficients of the pass before; zeros while there are none."""
-    s = layout.slices()
-    part = lambda name: F.slice("coef", s[name].start + 1, s[name].stop - s[name].start)
-    heat = B.dot(part("heating"), layout.k_shape()) + B.dot(part("trend"), layout.trend())
-    cool = B.dot(part("cooling"), layout.k_shape())
-    out = []
-    for shape in SHAPES:
-        if shape.fixed is not None:
-            continue
-        heating = shape in C.HEATING_SHAPES
-        size, amplitude = (heating_size, heat) if heating else (cooling_size, cool)
-        if shape.name in ("tau", "tau_c"):
-            change = (size(theta, "_up") - size(theta)) / (BUMP * theta[shape.name])
+
+def start(series: DataFrame, layout: Layout, theta: dict[str, float] | None = None, columns: dict[str, Column] | None = None) -> DataFrame:
+    """Starting parameters of every series (and of its folds: ``columns`` may give fold, span, until, since, skip_first, skip_last, cuts and
+    theta); pinned shapes take their fixed value."""
+    first = F.array(*(F.lit(float((theta or {}).get(s.name, s.fixed if s.fixed is not None else s.start))) for s in SHAPES))
+    none = F.lit(None)
+    unset = {
+        "fold": F.lit(""), "span": F.lit(layout.span_days), "until": F.lit(FAR), "since": F.lit(-FAR), "skip_first": F.lit(1), "skip_last": F.lit(0),
+        "cuts": F.array().cast("array<bigint>"), "theta": first, "coef": F.array().cast("array<double>"), "rmse": none.cast("double"), "n": F.lit(0).cast("long"), "damping": F.lit(0.05),
+        "best": none.cast(f"struct<{STATE}>"),
+    }
+    return series.select(SERIES, *(c.alias(k) for k, c in (unset | (columns or {})).items())).select(SERIES, *(F.col(k) for k in unset)).to(_schema(series.sparkSession))
+
+
+def _schema(spark):
+    return spark.createDataFrame([], PARAMS).schema
+
+
+def gathered(params: DataFrame) -> DataFrame:
+    """One row for each series: its folds and their parameters, as the tasks that read its chunks need them."""
+    one = F.struct("fold", "span", "until", "since", "skip_first", "skip_last", "cuts", "theta", "coef")
+    return params.groupBy(SERIES).agg(F.sort_array(F.collect_list(one)).alias("folds"))
+
+
+def read_chunk(batch: pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
+    get = lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
+    return {c: get(c) for c in (*FIELDS, *FORECAST, *(f"before_{x}" for x in WEATHER))}
+
+
+def with_forecast(fields: dict[str, np.ndarray], cutoff: int) -> dict[str, np.ndarray]:
+    """Forecast weather where there is any from the cutoff on, in place of measured."""
+    out = dict(fields)
+    for x in (*WEATHER, "gloom"):
+        told = fields[f"forecast_{x}"]
+        out[x] = np.where((fields["t"] >= cutoff) & ~np.isnan(told), told, fields[x])
+    return out
+
+
+def counted(rows: Rows, fold: dict, which: str) -> np.ndarray:
+    """The rows that a fold's fit sees: known at its cutoff, in its window or a holiday's surroundings, not left out, of the stage's days."""
+    f = rows.f
+    seen = (f["t"] < fold["until"]) & ((f["t"] >= fold["since"]) | rows.has("context")) & ~((f["day"] >= fold["skip_first"]) & (f["day"] <= fold["skip_last"]))
+    seen &= np.isfinite(f["load"]) & np.isfinite(f["temp"]) & np.isfinite(f["sun"]) & np.isfinite(f["wind"])
+    return seen if which == "all" else seen & rows.has(which)
+
+
+def design(rows: Rows, base: np.ndarray, q: dict[str, float], coef: np.ndarray, moving: tuple[str, ...], step_hours: float, responses: Responses) -> np.ndarray:
+    """[base, heating, trend, cooling, generation, derivatives of the load by the moving shapes]."""
+    lay, k, trend, ramps = rows.layout, rows.k_shape(), rows.trend(), rows.ramps()
+    heat, cool, sun = responses.heating(q), responses.cooling(q), responses.generation(q)
+    parts = [base, k * heat[:, None], trend * heat[:, None], k * cool[:, None], ramps * -sun[:, None]]
+    if moving:
+        c = {name: coef[lay.slices[name]] for name in ("heating", "trend", "cooling", "pv")} if len(coef) else None
+        for name in moving:
+            s = next(x for x in SHAPES if x.name == name)
+            delta = BUMP * (q[name] if name.startswith("tau") else s.high - s.low)
+            other = q | {name: q[name] + delta}
+            if c is None:
+                change = np.zeros(len(heat))
+            elif s in C.HEATING_SHAPES:
+                change = (k @ c["heating"] + trend @ c["trend"]) * (responses.heating(other) - heat) / delta
+            elif s in C.COOLING_SHAPES:
+                change = k @ c["cooling"] * (responses.cooling(other) - cool) / delta
+            else:
+                change = -(ramps @ c["pv"]) * (responses.generation(other) - sun) / delta
+            parts.append(change[:, None])
+    return np.hstack(parts)
+
+
+def packed(x: np.ndarray) -> tuple[int, bytes]:
+    """Moments of the rows, or the rows themselves where they are fewer numbers."""
+    n, p = x.shape
+    if n < p // 2:
+        return 0, x.astype("<f8").tobytes()
+    return 1, (x.T @ x)[np.triu_indices(p)].astype("<f8").tobytes()
+
+
+def unpacked(kind: int, data: bytes, p: int) -> np.ndarray:
+    values = np.frombuffer(data, "<f8")
+    if kind == 0:
+        x = values.reshape(-1, p)
+        return x.T @ x
+    g = np.zeros((p, p))
+    g[np.triu_indices(p)] = values
+    return g + np.triu(g, 1).T
+
+
+def moments(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: float, stage: Stage) -> DataFrame:
+    """Moments of each series, fold and segment (between the fold's cuts), a row for each task that saw some of it."""
+    wanted = [SERIES, *FIELDS, *FORECAST, *(f"before_{x}" for x in WEATHER)]
+    rows = chunks.select(*wanted).join(gathered(params), SERIES).sortWithinPartitions(SERIES)
+    names = [SERIES, "fold", "segment", "kind", "n", "n_mild", "data"]
+
+    def out(series: str, sums: dict) -> pa.RecordBatch:
+        keys = list(sums)
+        cols = [[series] * len(keys), [k[0] for k in keys], [k[1] for k in keys], [sums[k][0] for k in keys], [sums[k][1] for k in keys], [sums[k][2] for k in keys], [sums[k][3] for k in keys]]
+        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sums = None, {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                series = batch.column(SERIES)[i].as_py()
+                if series != current:
+                    if sums:
+                        yield out(current, _frozen(sums))
+                    current, sums = series, {}
+                add(sums, read_chunk(batch, i), batch.column("folds")[i].as_py(), layout, step_hours, stage)
+        if sums:
+            yield out(current, _frozen(sums))
+
+    return rows.mapInArrow(run, f"{SERIES} string, fold string, segment int, kind int, n long, n_mild long, data binary")
+
+
+def _frozen(sums: dict) -> dict:
+    """What a task sends of each fold and segment."""
+    found = {}
+    for key, (gram, x, n, mild) in sums.items():
+        if gram is None:
+            kind, data = packed(np.vstack(x))
         else:
-            delta = BUMP * (shape.high - shape.low)
-            change = (size(theta | {shape.name: theta[shape.name] + delta}) - size(theta)) / delta
-        out.append(F.coalesce(amplitude * change, F.lit(0.0)))
-    return F.array(*out)
+            if x:
+                some = np.vstack(x)
+                gram = gram + some.T @ some
+            kind, data = 1, gram[np.triu_indices(len(gram))].astype("<f8").tobytes()
+        found[key] = (kind, n, mild, data)
+    return found
+
+
+def add(sums: dict, fields: dict, folds: list[dict], layout: Layout, step_hours: float, stage: Stage) -> None:
+    """Add a chunk's rows to the sums of each fold and segment; bases are built once for each span."""
+    bases: dict[int, tuple] = {}
+    responses = None
+    for fold in folds:
+        if fields["t"][0] >= fold["until"]:
+            continue
+        lay = replace(layout, span_days=fold["span"])
+        if fold["span"] not in bases:
+            rows = Rows(fields, lay)
+            bases[fold["span"]] = (rows, np.hstack(list(rows.base_blocks().values())))
+        rows, base = bases[fold["span"]]
+        seen = counted(rows, fold, stage.rows)
+        if not seen.any():
+            continue
+        if responses is None:
+            responses = Responses(rows, step_hours)
+        q = dict(zip(NAMES, fold["theta"], strict=True))
+        x = np.hstack([design(rows, base, q, np.array(fold["coef"]), stage.shapes, step_hours, responses), fields["load"][:, None]])
+        segment = np.searchsorted(np.array(fold["cuts"]), fields["t"], side="right") if fold["cuts"] else np.zeros(len(seen), int)
+        mild = rows.has("mild")
+        for k in np.unique(segment[seen]):
+            picked = seen & (segment == k)
+            gram, few, n, n_mild = sums.get((fold["fold"], int(k)), (None, [], 0, 0))
+            block = x[picked]
+            if len(block) + sum(map(len, few)) < x.shape[1] // 2:
+                few = [*few, block]
+            else:
+                whole = np.vstack([*few, block])
+                gram, few = (whole.T @ whole if gram is None else gram + whole.T @ whole), []
+            sums[fold["fold"], int(k)] = (gram, few, n + len(block), n_mild + int((mild & picked).sum()))
+
+
+def solved(stage: Stage, lay: Layout, g: np.ndarray, n: int, n_mild: int, coef: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Coefficients (those of other blocks stay), sum of squares, and the moments S and g of the shapes' step."""
+    p, d = lay.width, len(stage.shapes)
+    if not len(coef):
+        coef = np.zeros(p)
+    names = list(stage.blocks or lay.sizes)
+    free = np.concatenate([np.arange(lay.slices[b].start, lay.slices[b].stop) for b in names])
+    fixed = np.zeros(p)
+    if stage.blocks:
+        fixed = coef.copy()
+        fixed[free] = 0
+    a, c = g[:p, :p], g[:p, -1] - g[:p, :p] @ fixed
+    yy = g[-1, -1] - 2 * fixed @ g[:p, -1] + fixed @ a @ fixed
+    penalty = lay.penalty(a, n, n_mild)
+    if stage.rows == "mild":
+        penalty = penalty + lay.anchor(a)
+    sub = np.ix_(free, free)
+    low = lay.lower()
+    found = fixed.copy()
+    found[free] = bounded(a[sub], c[free], low[free], penalty[sub])
+    x = found[free]
+    sse = max(yy - 2 * x @ c[free] + x @ a[sub] @ x, 0.0)
+    if not d or not np.any(np.diag(g)[p : p + d] > 0):
+        return found, sse, np.zeros((d, d)), np.zeros(d)
+    inner = (a + penalty)[sub]
+    used = np.flatnonzero((np.diag(inner) > 0) & ~((low[free] == 0) & (x <= 0)))
+    inner = inner[np.ix_(used, used)]
+    inner[np.diag_indices(len(used))] += 1e-9 * np.trace(inner) / len(used)
+    cross = g[free[used], p : p + d]
+    half = np.linalg.solve(inner, cross)
+    right = g[p : p + d, -1] - g[p : p + d, :p] @ fixed
+    return found, sse, g[p : p + d, p : p + d] - cross.T @ half, right - half.T @ c[free[used]]
+
 
+def prior(theta: np.ndarray, n: int, moving: tuple[str, ...]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Cost of the priors, and what they add to the step's moments."""
+    cost, s, g = 0.0, np.zeros(len(moving)), np.zeros(len(moving))
+    for k, name in enumerate(moving):
+        shape = next(x for x in SHAPES if x.name == name)
+        if shape.prior:
+            mean, sd = shape.prior
+            weight = C.PRIOR_WEIGHT * n * C.PRIOR_RMSE**2 / sd**2
+            gap = mean - theta[NAMES.index(name)]
+            cost, s[k], g[k] = cost + weight * gap**2, weight, weight * gap
+    return cost, s, g
 
-def one_pass(df: DataFrame, params: DataFrame, layout: Layout, step_hours: float, train: Column | None = None) -> DataFrame:
-    """Coefficients and fit at the given shapes, and the step that the shapes should take next.
 
-    Filters run over the whole axis; ``train`` picks the rows of the moments afterwards.
+def moved(theta: np.ndarray, s: np.ndarray, g: np.ndarray, n: int, moving: tuple[str, ...], damping: float) -> np.ndarray:
+    """Shapes after a damped step, within the bounds and by no more than a quarter of their width."""
+    at = [NAMES.index(x) for x in moving]
+    low, width = np.array([SHAPES[i].low for i in at]), np.array([SHAPES[i].high - SHAPES[i].low for i in at])
+    _, more, pull = prior(theta, n, moving)
+    scaled = (s + np.diag(more)) * np.outer(width, width)
+    scaled[np.diag_indices(len(at))] += damping * np.diag(scaled) + 1e-9 * np.trace(scaled) + 1e-300
+    delta = width * np.clip(np.linalg.solve(scaled, (g + pull) * width), -0.25, 0.25)
+    out = theta.copy()
+    out[at] = np.clip(out[at] + delta, low, low + width)
+    return out
+
+
+def one_pass(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: float, stage: Stage, last: bool = False) -> DataFrame:
+    """Evaluate the trial shapes of every series and fold, keep the better state, and put the next trial."""
+    found = moments(chunks, params, layout, step_hours, stage)
+    old = params.groupBy(SERIES, "fold").agg(F.first(F.struct(*[c for c in params.columns if c not in (SERIES, "fold")])).alias("p"))
+
+    def finish(keys: tuple, sums: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
+        if not len(now):
+            return pd.DataFrame()
+        p = now["p"].iloc[0]
+        p = p.asDict(recursive=True) if hasattr(p, "asDict") else dict(p)
+        row = {SERIES: keys[0], "fold": keys[1], **p}
+        if len(sums):
+            lay = replace(layout, span_days=int(p["span"]))
+            width = lay.width + len(stage.shapes) + 1
+            g = sum(unpacked(k, b, width) for k, b in zip(sums["kind"], sums["data"], strict=True))
+            n, n_mild = int(sums["n"].sum()), int(sums["n_mild"].sum())
+            theta, coef = np.array(p["theta"], float), np.array(p["coef"], float)
+            new, sse, s, right = solved(stage, lay, g, n, n_mild, coef)
+            cost = sse + prior(theta, n, stage.shapes)[0]
+            here = {"theta": theta.tolist(), "coef": new.tolist(), "cost": float(cost), "rmse": float(np.sqrt(sse / max(n, 1))), "n": n, "s": s.ravel().tolist(), "g": right.tolist()}
+            best, damping = p["best"], float(p["damping"])
+            best = best.asDict() if hasattr(best, "asDict") else best
+            better = best is None or not len(best["s"]) or cost <= best["cost"] or not np.any(np.array(best["g"]))
+            damping = (max(damping / 4, 1e-4) if better else min(damping * 8, 1e4)) if stage.shapes else damping
+            best = here if better else best
+            trial, pull = np.array(best["theta"]), np.array(best["g"])
+            if pull.any() and not last:
+                trial = moved(trial, np.array(best["s"]).reshape(len(pull), -1), pull, n, stage.shapes, damping)
+            row |= {"theta": trial.tolist(), "coef": list(best["coef"]), "rmse": best["rmse"], "n": int(best["n"]), "damping": damping, "best": best}
+        return pd.DataFrame([row])
+
+    return found.groupBy(SERIES, "fold").cogroup(old.groupBy(SERIES, "fold")).applyInPandas(finish, PARAMS)
+
+
+def run_stages(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: float, stages: list[Stage]) -> DataFrame:
+    """All stages of all series and folds, each from the state that the one before left."""
+    now, path, spark = params, None, chunks.sparkSession
+    for stage in stages:
+        now = now.withColumns({"best": F.lit(None).cast(f"struct<{STATE}>"), "damping": F.lit(0.05)})
+        for k in range(stage.passes):
+            found, before = one_pass(chunks, now, layout, step_hours, stage, last=k + 1 == stage.passes), path
+            path = written(found, "fit")
+            now = spark.read.schema(found.schema).parquet(path)
+            if before:
+                dropped(spark, before)
+        now = now.withColumn("theta", F.coalesce("best.theta", "theta"))
+    return now
+
+
+def joint(df: DataFrame, layout: Layout, step_hours: float, passes: int = 8, params: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """Parameters of each series (or fold, where ``params`` has several): shapes, coefficients, RMSE.
+
+    ``df``: series_id, ts, load, weather and calendar columns, dark and gloom. From the starting shapes, all components at once.
+    """
+    chunks = chunked(df) if chunks is None else chunks
+    now = start(chunks.select(SERIES).distinct(), layout) if params is None else params
+    return run_stages(chunks, now, layout, step_hours, [Stage(passes=passes)])
+
+
+def from_scratch(df: DataFrame, layout: Layout, step_hours: float, passes: int = 8, params: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """The staged chain: base on mild days, heating on cold ones, cooling with generation, then the joint fit from what they found."""
+    chunks = chunked(df) if chunks is None else chunks
+    now = start(chunks.select(SERIES).distinct(), layout) if params is None else params
+    return run_stages(chunks, now, layout, step_hours, staged(layout, passes))
+
+
+def linear(df: DataFrame, layout: Layout, step_hours: float, params: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """Coefficients at given shapes: one pass."""
+    chunks = chunked(df) if chunks is None else chunks
+    return run_stages(chunks, params, layout, step_hours, [Stage(shapes=(), passes=1)])
+
+
+def refits(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: float) -> DataFrame:
+    """Coefficients at given shapes for every cut of every fold, from one scan: moments are summed up to each cut.
+
+    Gives the folds' parameters with ``until`` the cut and ``segment`` its number.
     """
-    rows = df.join(params.select(SERIES, "theta", "coef"), SERIES)
-    theta = shapes_of()
-    rows = with_filters(rows, F.col("theta")[NAMES.index("tau")], F.col("theta")[NAMES.index("tau_c")], step_hours, BUMP)
-    rows = rows if train is None else rows.filter(train)
-    v = variable_blocks(layout, heating_size(theta), cooling_size(theta), theta["gamma"])
-    x = F.concat(layout.base(), v, derivatives(layout, theta), F.array(F.col("load").cast("double")))
-    low, p, d = layout.lower(), sum(layout.sizes().values()), len(FREE)
-
-    def finish(series: str, g: np.ndarray, n: int) -> dict:
-        a, c, yy = g[:p, :p], g[:p, -1], g[-1, -1]
-        penalty = layout.penalty(a, n)
-        coef = bounded(a, c, low, penalty)
-        sse = max(yy - 2 * coef @ c + coef @ a @ coef, 0.0)
-        step = np.zeros(d)
-        if np.any(np.diag(g)[p : p + d] > 0):
-            inner = a + penalty
-            used = np.flatnonzero((np.diag(inner) > 0) & ~((low == 0) & (coef <= 0)))
-            inner = inner[np.ix_(used, used)]
-            inner[np.diag_indices(len(used))] += 1e-9 * np.trace(inner) / len(used)
-            cross = g[used, p : p + d]
-            half = np.linalg.solve(inner, cross)
-            s = g[p : p + d, p : p + d] - cross.T @ half
-            # the moments themselves: the move is decided with the shapes at hand
-            step = np.concatenate([s.ravel(), g[p : p + d, -1] - half.T @ c[used]])
-        return {SERIES: series, "coef": coef.tolist(), "step": step.tolist(), "rmse": float(np.sqrt(sse / max(n, 1))), "n": n}
-
-    found = solved(partial_grams(rows.withColumn("_x", x), "_x"), finish, f"{SERIES} string, coef array<double>, step array<double>, rmse double, n long")
-    return found.join(params.select(SERIES, "theta"), SERIES).select(SERIES, "theta", "coef", "step", "rmse", "n")
-
-
-def moved(params: DataFrame, damping: float = 0.05) -> DataFrame:
-    """Shapes after a damped step from the moments in ``step``, with priors, within the bounds; one small row a series."""
-    low, high = np.array([s.low for s in SHAPES]), np.array([s.high for s in SHAPES])
-    free = [i for i, s in enumerate(SHAPES) if s.fixed is None]
-    d = len(free)
-
-    def move(batches):
-        for pdf in batches:
-            out = []
-            for theta, step, n in zip(pdf["theta"], pdf["step"], pdf["n"], strict=True):
-                theta, step = np.array(theta, dtype=float), np.array(step, dtype=float)
-                if len(step) == d * d + d:
-                    s, g = step[: d * d].reshape(d, d), step[d * d :].copy()
-                    for k, i in enumerate(free):
-                        if SHAPES[i].prior:
-                            mean, sd = SHAPES[i].prior
-                            weight = C.PRIOR_WEIGHT * n * C.PRIOR_RMSE**2 / sd**2
-                            s[k, k] += weight
-                            g[k] += weight * (mean - theta[i])
-                    width = (high - low)[free]
-                    scaled = s * np.outer(width, width)
-                    scaled[np.diag_indices(d)] += damping * np.diag(scaled) + 1e-9 * np.trace(scaled)
-                    delta = width * np.clip(np.linalg.solve(scaled, g * width), -0.25, 0.25)
-                    theta[free] = np.clip(theta[free] + delta, low[free], high[free])
-                out.append(theta.tolist())
-            pdf["theta"] = out
-            yield pdf
-
-    return params.mapInPandas(move, PARAMS)
-
-
-def joint(df: DataFrame, layout: Layout, step_hours: float, passes: int = 8, params: DataFrame | None = None, train: Column | None = None, fix_shapes: bool = False) -> DataFrame:
-    """Parameters of each series: shapes, coefficients, RMSE. The shapes of the best pass are kept.
-
-    ``df``: series_id, ts, load, weather and calendar columns, dark and gloom. With ``fix_shapes``, one pass at the given shapes.
+    stage = Stage(shapes=(), passes=1)
+    found = moments(chunks, params, layout, step_hours, stage)
+    old = params.groupBy(SERIES, "fold").agg(F.first(F.struct("span", "theta", "cuts")).alias("p"))
+
+    def finish(keys: tuple, sums: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
+        if not len(now) or not len(sums):
+            return pd.DataFrame()
+        p = now["p"].iloc[0]
+        lay = replace(layout, span_days=int(p["span"]))
+        g, n, n_mild, out = np.zeros((lay.width + 1, lay.width + 1)), 0, 0, []
+        for k, cut in enumerate(p["cuts"]):
+            for part in sums[sums["segment"] == k].itertuples():
+                g = g + unpacked(part.kind, part.data, lay.width + 1)
+                n, n_mild = n + part.n, n_mild + part.n_mild
+            if n:
+                coef, sse, _, _ = solved(stage, lay, g, n, n_mild, np.zeros(0))
+                out.append({SERIES: keys[0], "fold": keys[1], "span": lay.span_days, "until": int(cut), "theta": list(p["theta"]), "coef": coef.tolist(), "rmse": float(np.sqrt(sse / n)), "n": n})
+        return pd.DataFrame(out)
+
+    schema = f"{SERIES} string, fold string, span int, until long, theta array<double>, coef array<double>, rmse double, n long"
+    return found.groupBy(SERIES, "fold").cogroup(old.groupBy(SERIES, "fold")).applyInPandas(finish, schema)
+
+
+def predicted_names(layout: Layout) -> list[str]:
+    return [f"part_{b}" for b in layout.base_names] + ["base", "heating", "cooling", "pv", "model", "heating_shape", "pv_shape"]
+
+
+def predict(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: float, ahead: bool = False) -> DataFrame:
+    """series_id, fold, ts, date_local, tod, daytype, load, temp, sun; the blocks of the base, base, heating, cooling, pv and their sum ``model``;
+    heating_shape and pv_shape, the load that a unit of sensitivity or capacity makes.
+
+    ``params``: series_id, fold, span, theta, coef. With ``ahead``, also until, first and last (days since 1970): only rows of those days,
+    with forecast weather from ``until`` on.
     """
-    now = params if params is not None else start(df)
-    if fix_shapes:
-        return materialised(one_pass(df, now, layout, step_hours, train), "fit")
-    best = None
-    for k in range(passes):
-        now = materialised(one_pass(df, now, layout, step_hours, train), "fit")
-        both = now if best is None else best.unionByName(now)
-        if k:  # the first pass has no derivatives
-            best = materialised(both.groupBy(SERIES).agg(F.min_by(F.struct("theta", "coef", "step", "rmse", "n"), "rmse").alias("p")).select(SERIES, "p.*"), "fit-best")
-        now = moved(now) if k + 1 < passes else now
-    return best if best is not None else now
-
-
-def predict(df: DataFrame, params: DataFrame, layout: Layout, step_hours: float) -> DataFrame:
-    """base, heating, cooling and pv of every row, the blocks that explain them, and their sum ``model``."""
-    rows = df.join(params.select(SERIES, "theta", "coef"), SERIES)
-    theta, s = shapes_of(), layout.slices()
-    rows = with_filters(rows, theta["tau"], theta["tau_c"], step_hours)
-    part = lambda name: F.slice("coef", s[name].start + 1, s[name].stop - s[name].start)
-    blocks = {f"part_{n}": B.dot(part(n), arr) for n, (arr, _) in layout.base_blocks().items()}
-    sun = F.col("sun") * (1 - theta["gamma"] * (F.col("temp") - C.PV["reference"]))
-    out = rows.withColumns(
-        blocks
-        | {
-            "heating": (B.dot(part("heating"), layout.k_shape()) + B.dot(part("trend"), layout.trend())) * heating_size(theta),
-            "cooling": B.dot(part("cooling"), layout.k_shape()) * cooling_size(theta),
-            "pv": B.dot(part("pv"), B.ramps(layout.days(), layout.span_days)) * sun,
-        }
-    )
-    base = sum((F.col(c) for c in blocks), F.lit(0.0))
-    dropped = [f"{x}_{m}" for x in ("temp", "sun", "wind") for m in "hc"]
-    return out.withColumn("base", base).withColumn("model", F.col("base") + F.col("heating") + F.col("cooling") - F.col("pv")).drop("theta", "coef", *dropped)
+    names = predicted_names(layout)
+    extra = ["until", "first", "last"] if ahead else []
+    own = params.groupBy(SERIES).agg(F.collect_list(F.struct("fold", "span", "theta", "coef", *extra)).alias("folds"))
+    rows = chunks.select(SERIES, *FIELDS, *FORECAST, *(f"before_{x}" for x in WEATHER)).join(own, SERIES)
+    kept = ["tod", "load", "temp", "sun"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                fields = read_chunk(batch, i)
+                for fold in batch.column("folds")[i].as_py():
+                    picked = (fields["day"] >= fold["first"]) & (fields["day"] <= fold["last"]) if ahead else np.ones(len(fields["t"]), bool)
+                    if picked.any():
+                        seen = with_forecast(fields, fold["until"]) if ahead else fields
+                        values = components(Rows(seen, replace(layout, span_days=fold["span"])), fold, step_hours)
+                        table = [pa.array([batch.column(SERIES)[i].as_py()] * int(picked.sum())), pa.array([fold["fold"]] * int(picked.sum()))]
+                        table += [pa.array(fields["t"][picked].astype(np.int64)), pa.array(fields["day"][picked].astype(np.int32)), pa.array(fields["daytype"][picked].astype(np.int32))]
+                        table += [pa.array(np.asarray(x, float)[picked], from_pandas=True) for x in (fields["tod"], fields["load"], seen["temp"], seen["sun"], *(values[k] for k in names))]
+                        yield pa.RecordBatch.from_arrays(table, names=[SERIES, "fold", "t", "day", "daytype", *kept, *names])
+
+    schema = f"{SERIES} string, fold string, t long, day int, daytype int, " + ", ".join(f"{c} double" for c in (*kept, *names))
+    found = rows.mapInArrow(run, schema)
+    return found.select(SERIES, "fold", F.timestamp_seconds("t").alias("ts"), F.date_from_unix_date("day").alias("date_local"), "daytype", *kept, *names)
+
+
+def components(rows: Rows, fold: dict, step_hours: float) -> dict[str, np.ndarray]:
+    lay, coef, q = rows.layout, np.array(fold["coef"]), dict(zip(NAMES, fold["theta"], strict=True))
+    s, r = lay.slices, Responses(rows, step_hours)
+    out = {f"part_{n}": x @ coef[s[n]] for n, x in rows.base_blocks().items()}
+    base = sum(out.values())
+    k, capacity = rows.k_shape(), rows.ramps() @ coef[s["pv"]]
+    heat, sun = r.heating(q), r.generation(q)
+    heating = (k @ coef[s["heating"]] + rows.trend() @ coef[s["trend"]]) * heat
+    cooling, pv = k @ coef[s["cooling"]] * r.cooling(q), capacity * sun
+    return out | {"base": base, "heating": heating, "cooling": cooling, "pv": pv, "model": base + heating + cooling - pv, "heating_shape": heat, "pv_shape": sun}
 
 
 def explained(predicted: DataFrame) -> DataFrame:
@@ -171,15 +434,19 @@ def explained(predicted: DataFrame) -> DataFrame:
     )
 
 
-def weather_effects(df: DataFrame, params: DataFrame, layout: Layout, step_hours: float) -> DataFrame:
-    """Counterfactuals: what heating and cooling change if sunshine, wind or inertia played no part."""
-    whole = predict(df, params, layout, step_hours).select(SERIES, "ts", "heating", "cooling")
-    for name, value, column in (("a", 0.0, "heating"), ("b", 0.0, "heating"), ("w", 1.0, "heating"), ("a_c", 0.0, "cooling"), ("w_c", 1.0, "cooling")):
-        i = NAMES.index(name)
-        changed = params.withColumn("theta", F.array(*(F.lit(value) if k == i else F.col("theta")[k] for k in range(len(NAMES)))))
-        other = predict(df, changed, layout, step_hours).select(SERIES, "ts", F.col(column).alias("_o"))
-        whole = whole.join(other, [SERIES, "ts"]).withColumn(f"effect_{name}", F.col(column) - F.col("_o")).drop("_o")
-    return whole.drop("heating", "cooling")
+#: Counterfactuals: sunshine, wind or inertia without a part in heating or cooling.
+EFFECTS = (("a", 0.0, "heating"), ("b", 0.0, "heating"), ("w", 1.0, "heating"), ("a_c", 0.0, "cooling"), ("w_c", 1.0, "cooling"))
+
+
+def weather_effects(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: float) -> DataFrame:
+    """What heating and cooling change if sunshine, wind or inertia played no part: all counterfactuals are folds of one prediction."""
+    swapped = lambda i, v: F.transform("theta", lambda x, k: F.when(k == i, F.lit(v)).otherwise(x))
+    cases = [F.struct(F.lit(n).alias("fold"), swapped(NAMES.index(n), v).alias("theta")) for n, v, _ in EFFECTS]
+    all_cases = F.array(F.struct(F.lit("whole").alias("fold"), F.col("theta").alias("theta")), *cases)
+    folds = params.select(SERIES, "span", "coef", F.inline(all_cases))
+    told = predict(chunks, folds, layout, step_hours)
+    whole = lambda c: F.max(F.when(F.col("fold") == "whole", F.col(c)))
+    return told.groupBy(SERIES, "ts").agg(*((whole(c) - F.max(F.when(F.col("fold") == n, F.col(c)))).alias(f"effect_{n}") for n, _, c in EFFECTS))
 
 
 def cleaned(predicted: DataFrame, normal: DataFrame) -> DataFrame:
@@ -187,3 +454,6 @@ def cleaned(predicted: DataFrame, normal: DataFrame) -> DataFrame:
     n = normal.select(SERIES, "ts", (F.col("heating") + F.col("cooling") - F.col("pv")).alias("_n"))
     weather = F.col("heating") + F.col("cooling") - F.col("pv")
     return predicted.join(n, [SERIES, "ts"]).select(SERIES, "ts", "load", (F.col("load") - weather).alias("cleaned"), (F.col("load") - weather + F.col("_n")).alias("normalised"))
+
+
+assert set(FLAGS) >= {"mild", "cold", "context"}

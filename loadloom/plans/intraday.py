@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from loadloom import config as C
 from loadloom.operators.aggregates import scores
 from loadloom.operators.timeaxis import SERIES
-from loadloom.plans.correction import correct_intraday
+from loadloom.plans.correction import correct_intraday, horizon_coefficients
 
 FEATURES = ["x1", "xday", "yest", "week"]
 
 
-def known_at(rows: DataFrame, slots_a_day: int) -> DataFrame:
-    """For each row position: means of the last few and of the last day's residuals before it."""
+def known_at(rows: DataFrame, slots_a_day: int, ahead: int = 0) -> DataFrame:
+    """For each row position: means of the last few and of the last day's residuals before it (with ``ahead`` 1, up to it)."""
     w = Window.partitionBy(SERIES).orderBy("k")
     last = C.CORRECTION["last"]
-    mean = lambda n: F.when(F.count("r").over(w.rowsBetween(-n, -1)) >= n // 2, F.avg("r").over(w.rowsBetween(-n, -1)))
+    over = lambda n: w.rowsBetween(ahead - n, ahead - 1)
+    mean = lambda n: F.when(F.count("r").over(over(n)) >= n // 2, F.avg("r").over(over(n)))
     return rows.withColumns({"x1": mean(last), "xday": mean(slots_a_day)})
 
 
+def slot_means(rows: DataFrame, slots_a_day: int) -> DataFrame:
+    """series_id, back, yest, week: for each row, the mean residual of the hour that ends there, and its mean over 7 days to there."""
+    w = Window.partitionBy(SERIES).orderBy("k")
+    hour = max(slots_a_day // 24, 1)
+    slot = Window.partitionBy(SERIES, F.pmod("k", F.lit(slots_a_day))).orderBy("k").rowsBetween(-6, 0)
+    past = rows.withColumn("yest", F.avg("r").over(w.rowsBetween(-(hour - 1), 0))).withColumn("week", F.avg("yest").over(slot))
+    return past.select(SERIES, F.col("k").alias("back"), "yest", "week")
+
+
 def cube(predicted: DataFrame, horizons: list[int], slots_a_day: int = C.SLOTS_A_DAY, every: int = 1) -> DataFrame:
     """series_id, h, s, actual, pred and the features of every issue and horizon.
 
@@ -30,10 +40,7 @@ def cube(predicted: DataFrame, horizons: list[int], slots_a_day: int = C.SLOTS_A
     """
     step = 86400 // slots_a_day
     rows = predicted.select(SERIES, (F.unix_timestamp("ts") / step).cast("long").alias("k"), F.col("load").alias("actual"), F.col("model").alias("pred"), (F.col("load") - F.col("model")).alias("r"))
-    w = Window.partitionBy(SERIES).orderBy("k")
-    hour = max(slots_a_day // 24, 1)
-    slot = Window.partitionBy(SERIES, F.pmod("k", F.lit(slots_a_day))).orderBy("k").rowsBetween(-6, 0)
-    past = rows.withColumn("yest", F.avg("r").over(w.rowsBetween(-(hour - 1), 0))).withColumn("week", F.avg("yest").over(slot)).select(SERIES, F.col("k").alias("back"), "yest", "week")
+    past = slot_means(rows, slots_a_day)
     issues = known_at(rows, slots_a_day).filter(F.pmod("k", F.lit(every)) == 0).select(SERIES, F.col("k").alias("s"), "x1", "xday")
     laid = issues.select("*", F.explode(F.array(*map(F.lit, horizons))).alias("h"))
     laid = laid.withColumn("k", F.col("s") + F.col("h")).withColumn("back", F.col("k") - slots_a_day * (F.floor(F.col("h") / slots_a_day) + 1))
@@ -45,6 +52,12 @@ def backtest(predicted: DataFrame, horizons: list[int], slots_a_day: int = C.SLO
     return correct_intraday(cube(predicted, horizons, slots_a_day, every), FEATURES)
 
 
+def coefficients(found: DataFrame) -> DataFrame:
+    """series_id, h and the coefficient of each feature, from all issues whose target is known: what a forecast from the end of the data
+    corrects with."""
+    return horizon_coefficients(found, FEATURES)
+
+
 def by_horizon(found: DataFrame) -> DataFrame:
     """Scores of the model and of the correction for each horizon, over the rows that have both."""
     both = found.filter("corrected is not null")

@@ -2,63 +2,110 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from dataclasses import replace
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadloom.functions import basis as B
+from loadloom import config as C
+from loadloom.functions import arrays as A
 from loadloom.functions import solar as S
 from loadloom.operators.timeaxis import SERIES
 from loadloom.plans import fit as M
 from loadloom.plans import scenario as Z
+from loadloom.plans.chunks import chunked
 from loadloom.plans.design import Layout
 
 #: Standard deviation of the model's own error, for hourly values and for monthly means.
 SD_HOUR, SD_MONTH = 15.0, 8.0
 
 
-def yearly_rate(layout: Layout, coefs: Column) -> Column:
-    """Change a day of the level over the last year of the fit, per series: the level's splines at the end and a year before."""
-    knots = B.level_knots(layout.span_days)
-    at = lambda d: B.level_basis(F.lit(float(d)), layout.span_days)
-    s = layout.slices()["level"]
-    part = F.slice(coefs, s.start + 1, s.stop - s.start)
-    end = min(float(layout.span_days), knots[-1])
-    return (B.dot(part, at(end)) - B.dot(part, at(max(end - 365, 0.0)))) / min(365.0, max(end, 1.0))
+#: Slow components that can go on: the level, the heating increment and the solar capacity.
+SLOW = ("level", "heating", "pv")
+
+
+def trend_weights(rule: str) -> dict[str, float]:
+    """``last`` continues each slow component at its last year's rate, ``hold`` keeps it; ``heating:0.5,pv:0`` damps single ones of ``last``."""
+    if rule in ("last", "hold"):
+        return dict.fromkeys(SLOW, float(rule == "last"))
+    found = {k: float(v) for k, v in (part.split(":") for part in rule.split(","))}
+    if set(found) - set(SLOW):
+        raise ValueError(f"not slow components: {sorted(set(found) - set(SLOW))}")
+    return dict.fromkeys(SLOW, 1.0) | found
+
+
+def last_full_ramp(span_days: float) -> float:
+    """Where the last ramp that the span holds whole ends."""
+    knot = float(C.PV["knot_days"])
+    return max(knot * int((span_days - knot) / knot + 1e-9) + knot, knot) if span_days >= 2 * knot else float(span_days)
+
+
+def rates(params: DataFrame, layout: Layout, weights: dict[str, float]) -> DataFrame:
+    """series_id and what each slow component changes a day: level, heating (an array over the daily shape) and pv, and where ramps end.
+
+    The change over the last year of the fit (or over all of a shorter one) by its days; the capacity doesn't fall.
+    """
 
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for series, span, coef in zip(pdf[SERIES], pdf["span"], pdf["coef"], strict=True):
+                lay, coef = replace(layout, span_days=int(span)), np.array(coef, float)
+                year = min(365.0, float(span))
+                level = np.diff(A.level_basis(np.array([span - year, float(span)]), span) @ coef[lay.slices["level"]])[0] / year
+                end = last_full_ramp(span)
+                back = min(365.0, end)
+                ramp = A.ramps(np.array([end - back, end]), span, lay.n_ramps)
+                trend = coef[lay.slices["trend"]].reshape(-1, lay.n_ramps) if lay.n_ramps else np.zeros((1 + 2 * C.HEATING["trend_harmonics"], 0))
+                heat = trend @ (ramp[1, 1:] - ramp[0, 1:]) / back
+                pv = max(float(np.diff(ramp @ coef[lay.slices["pv"]])[0]), 0.0) / back
+                out.append((series, weights["level"] * level, (weights["heating"] * heat).tolist(), weights["pv"] * pv, float(span), end))
+            yield pd.DataFrame(out, columns=[SERIES, "level_rate", "heating_rate", "pv_rate", "_span", "_end"])
 
-def capacity_rate(layout: Layout, coefs: Column) -> Column:
-    """Change a day of the solar capacity over the last year of the fit, not below 0."""
-    s = layout.slices()["pv"]
-    part = F.slice(coefs, s.start + 1, s.stop - s.start)
-    at = lambda d: B.ramps(F.lit(float(d)), layout.span_days)
-    end = float(layout.span_days)
-    return F.greatest((B.dot(part, at(end)) - B.dot(part, at(max(end - 365, 0.0)))) / min(365.0, max(end, 1.0)), F.lit(0.0))
+    return params.select(SERIES, "span", "coef").mapInPandas(run, f"{SERIES} string, level_rate double, heating_rate array<double>, pv_rate double, _span double, _end double")
 
 
-def forecast(history: DataFrame, horizon: DataFrame, params: DataFrame, layout: Layout, step_hours: float, weather: str = "scenarios", trend: float = 0.0, years: int = 1) -> DataFrame:
+def forecast(history: DataFrame, horizon: DataFrame, params: DataFrame, layout: Layout, step_hours: float, weather: str = "scenarios", trend: str = "last", years: int = 1, given: DataFrame | None = None) -> DataFrame:
     """Components and total of each instant and scenario; all scenarios run in one job, with the shift as part of the series' key.
 
     ``horizon``: series_id, ts and calendar columns. ``weather``: ``scenarios`` (past years laid on the horizon, temperature anchored
-    at the climatology) or ``normal``. ``trend``: 0 holds level and capacity at the end of the fit, 1 continues last year's rates.
+    at the climatology), ``normal``, or ``given`` (that of the frame ``given``). ``trend``: see ``trend_weights``. The last two months of history precede every scenario, so that
+    filters start from the weather that was.
     """
     values = ["temp", "sun", "wind"]
-    normal = Z.climatology(history, values)
-    if weather == "normal":
+    normal = Z.climatology(history, values) if weather != "given" else None
+    if weather == "given":
+        rows = horizon.join(given.select(SERIES, "ts", *values), [SERIES, "ts"]).withColumn("shift", F.lit(0))
+    elif weather == "normal":
         rows = Z.fill_normal(horizon.withColumns({v: F.lit(None).cast("double") for v in values}), normal, values).withColumn("shift", F.lit(0))
     else:
         ends = horizon.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
         shifts = Z.scenario_shifts(history, F.lit(ends["a"]), F.lit(ends["b"]), years)
         rows = Z.scenarios(history, horizon, shifts, values, normal)
-    rows = rows.withColumn("dark", S.darkness_of_slot(F.col("ts"))).withColumn("gloom", S.gloom(F.col("dark"), F.col("sun")))
-    keyed = rows.withColumns({"_series": F.col(SERIES), SERIES: F.concat_ws("|", SERIES, F.col("shift").cast("string"))})
-    own = params.select(F.col(SERIES).alias("_series"), "theta", "coef")
-    ids = keyed.select(SERIES, "_series").distinct().join(own, "_series").drop("_series")
-    told = M.predict(keyed, ids, layout, step_hours)
-    rates = params.select(F.col(SERIES).alias("_series"), (yearly_rate(layout, F.col("coef")) * trend).alias("_level"), (capacity_rate(layout, F.col("coef")) * trend).alias("_capacity"))
-    beyond = F.greatest(layout.days() - layout.span_days, F.lit(0.0))
-    told = told.join(rates, "_series")
-    more = {"base": F.col("base") + F.col("_level") * beyond, "pv": F.col("pv") + F.col("_capacity") * beyond * F.col("sun")}
-    told = told.withColumns(more)
+    rows = rows.withColumn("dark", S.darkness_of_slot(F.col("ts"))).withColumn("gloom", S.gloom(F.col("dark"), F.col("sun"))).withColumn("_ahead", F.lit(True))
+    first = horizon.groupBy(SERIES).agg(F.min("ts").alias("_first"))
+    before = history.join(first, SERIES).filter((F.col("ts") < F.col("_first")) & (F.col("ts") >= F.col("_first") - F.expr("interval 60 days"))).drop("_first")
+    before = before.join(rows.select(SERIES, "shift").distinct(), SERIES)
+    keyed = rows.unionByName(before, allowMissingColumns=True).withColumns({"_series": F.col(SERIES), SERIES: F.concat_ws("|", SERIES, F.col("shift").cast("string"))})
+    chunks = chunked(keyed.drop("load"), "scenario-chunks")
+    own = params.select(F.col(SERIES).alias("_series"), "span", "theta", "coef").join(rates(params, layout, trend_weights(trend)).withColumnRenamed(SERIES, "_series"), "_series")
+    ids = keyed.select(SERIES, "_series", "shift").distinct().join(F.broadcast(first.withColumnRenamed(SERIES, "_series")), "_series").join(own, "_series")
+    told = M.predict(chunks, ids.select(SERIES, F.lit("").alias("fold"), "span", "theta", "coef"), layout, step_hours)
+    told = told.join(ids.drop("theta", "coef", "span"), SERIES).filter(F.col("ts") >= F.col("_first"))
+    days = F.datediff("date_local", F.lit(layout.first)) + F.col("tod") / 24
+    beyond, beyond_ramps = F.greatest(days - F.col("_span"), F.lit(0.0)), F.greatest(days - F.col("_end"), F.lit(0.0))
+    angle = lambda k: F.col("tod") * (2 * math.pi * k / 24)
+    harmonics = range(1, C.HEATING["trend_harmonics"] + 1)
+    waves = [F.lit(1.0), *(F.cos(angle(k)) for k in harmonics), *(F.sin(angle(k)) for k in harmonics)]
+    more = sum((F.col("heating_rate")[i] * w for i, w in enumerate(waves)), F.lit(0.0)) * beyond_ramps
+    told = told.withColumns({
+        "base": F.col("base") + F.col("level_rate") * beyond,
+        "heating": F.col("heating") + more * F.col("heating_shape"),
+        "pv": F.col("pv") + F.col("pv_rate") * beyond_ramps * F.col("pv_shape"),
+    })
     return told.select(F.col("_series").alias(SERIES), "ts", "shift", "base", "heating", "cooling", "pv", (F.col("base") + F.col("heating") + F.col("cooling") - F.col("pv")).alias("pred"))
 
 

@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 from loadloom import config as C
 from loadloom.operators.timeaxis import SERIES
 from loadloom.plans import fit as M
-from loadloom.plans.design import Layout
+from loadloom.plans import intraday as I
+from loadloom.plans.design import NAMES, Layout
 from loadloom.sources.store import archive
 
 
+PARTS = ("base", "heating", "cooling", "pv")
+
+
 @dataclass(frozen=True)
 class State:
     """What a stored fit says of itself."""
@@ -40,28 +44,63 @@ def refit(state: State | None, now: datetime, revised_rows: int, force: str = "a
     return "linear" if stale or pins_changed or edited or force == "linear" else "keep"
 
 
-def update(df: DataFrame, hourly: DataFrame, params: DataFrame | None, layout: Layout, step_hours: float, what: str, passes: int = 6) -> DataFrame:
-    """Parameters after the decision: shapes from hourly means, coefficients from all rows."""
+def update(chunks: DataFrame, hourly: DataFrame, params: DataFrame | None, layout: Layout, step_hours: float, what: str, passes: int = 8) -> DataFrame:
+    """Parameters after the decision: shapes from chunks of hourly means (from scratch, or warm from ``params``), coefficients from all rows."""
     if what == "keep" and params is not None:
         return params
-    shapes = params if what == "linear" and params is not None else M.joint(hourly, layout, 1.0, passes=passes)
-    return M.joint(df, layout, step_hours, params=shapes, fix_shapes=True)
+    if what == "linear" and params is not None:
+        shapes = params
+    elif params is not None:
+        shapes = M.joint(None, layout, 1.0, passes=passes, params=params, chunks=hourly)
+    else:
+        shapes = M.from_scratch(None, layout, 1.0, passes=passes, chunks=hourly)
+    return M.linear(None, layout, step_hours, shapes, chunks)
+
+
+def pinned(params: DataFrame, pins: dict[str, float]) -> DataFrame:
+    """Parameters with shapes set by hand; a pin may lie outside the bounds."""
+    unknown = set(pins) - set(NAMES)
+    if unknown:
+        raise ValueError(f"not shapes: {sorted(unknown)}")
+    fixed = F.create_map(*(x for n, v in pins.items() for x in (F.lit(NAMES.index(n)), F.lit(float(v))))) if pins else None
+    return params if fixed is None else params.withColumn("theta", F.transform("theta", lambda x, i: F.coalesce(F.try_element_at(fixed, i), x)))
+
+
+def edits(shown: dict[str, float], stored: dict[str, float], digits: int = 6) -> dict[str, float]:
+    """Shapes whose shown value differs from the stored one at ``digits`` significant digits: someone edited them."""
+    short = lambda v: float(f"{v:.{digits}g}")
+    return {k: v for k, v in shown.items() if k in stored and short(v) != short(stored[k])}
+
+
+def changed_pins(pins: dict[str, float], stored: dict[str, float]) -> list[str]:
+    """Pinned shapes whose value isn't the stored one."""
+    return [k for k, v in pins.items() if stored.get(k) != v]
 
 
-def forecast(frame: DataFrame, params: DataFrame, layout: Layout, step_hours: float, path: str | None = None) -> DataFrame:
-    """Forecast of the rows without a load: the model plus the last residuals' mean, which fades with the horizon as it grows old.
+def forecast(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: float, coefs: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """Forecast of the rows after a series' last known load: the components, the model, the correction by horizon and their sum.
 
-    ``frame``: history and horizon with weather and calendar. With ``path``, the result is archived under its issue instant.
+    ``chunks``: history and horizon, with forecast weather in the place of measured after the end of the data; a row without weather
+    isn't forecast. ``coefs``: series_id, h and a coefficient for each of the intraday features (see ``plans.intraday``); without, there is
+    no correction. With ``path``, the result is archived under its issue instant.
     """
-    told = M.predict(frame, params, layout, step_hours)
-    known = told.filter("load is not null")
-    ends = known.groupBy(SERIES).agg(F.max("ts").alias("_end"))
-    n = C.CORRECTION["last"]
-    recent = known.join(ends, SERIES).filter(F.col("ts") > F.timestamp_seconds(F.unix_timestamp("_end") - int(n * step_hours * 3600)))
-    last = recent.groupBy(SERIES, "_end").agg(F.avg(F.col("load") - F.col("model")).alias("_r"))
-    ahead = told.filter("load is null").join(last, SERIES).withColumn("horizon", ((F.unix_timestamp("ts") - F.unix_timestamp("_end")) / (3600 * step_hours)).cast("int"))
-    fade = F.exp(-(F.col("horizon") - 1) * step_hours / 6.0)
-    out = ahead.select(SERIES, F.col("_end").alias("issued_at"), "ts", "horizon", "base", "heating", "cooling", "pv", "model", (F.col("_r") * fade).alias("correction"), (F.col("model") + F.col("_r") * fade).alias("pred"))
+    told = M.predict(chunks, params, layout, step_hours)
+    step = int(3600 * step_hours)
+    a_day = 86400 // step
+    rows = told.select(SERIES, "ts", (F.unix_timestamp("ts") / step).cast("long").alias("k"), "load", *PARTS, "model", (F.col("load") - F.col("model")).alias("r"))
+    ends = rows.filter("load is not null").groupBy(SERIES).agg(F.max("k").alias("_k"), (F.max("ts") + F.expr(f"interval {step} seconds")).alias("issued_at"))
+    ahead = rows.join(ends, SERIES).filter((F.col("k") > F.col("_k")) & F.col("model").isNotNull() & ~F.isnan("model")).withColumn("h", (F.col("k") - F.col("_k") - 1).cast("int"))
+    if coefs is None:
+        out = ahead.withColumn("correction", F.lit(0.0))
+    else:
+        known = I.known_at(rows.filter("load is not null"), a_day, ahead=1).select(SERIES, (F.col("k") + 1).alias("_s"), "x1", "xday")
+        past = I.slot_means(rows, a_day)
+        laid = ahead.withColumns({"_s": F.col("_k") + 1, "back": F.col("k") - a_day * (F.floor(F.col("h") / a_day) + 1)})
+        laid = laid.join(known, [SERIES, "_s"], "left").join(past, [SERIES, "back"], "left")
+        named = coefs.select(SERIES, "h", *(F.col(f).alias(f"coef_{f}") for f in I.FEATURES))
+        terms = sum((F.coalesce(F.col(f"coef_{f}") * F.col(f), F.lit(0.0)) for f in I.FEATURES), F.lit(0.0))
+        out = laid.join(named, [SERIES, "h"], "left").withColumn("correction", terms)
+    out = out.select(SERIES, "issued_at", "ts", "h", *PARTS, "model", "correction", (F.col("model") + F.col("correction")).alias("pred"))
     if path is not None:
         archive(out, path)
     return out

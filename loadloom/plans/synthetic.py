@@ -19,10 +19,12 @@ def noise(*keys: Column | int) -> Column:
     return (F.pmod(F.xxhash64(*(k if isinstance(k, Column) else F.lit(k) for k in keys)), F.lit(20001)) - 10000) / 10000.0
 
 
-def weather(spark: SparkSession, first: str, days: int, series: int = 1, minutes: int = 15) -> DataFrame:
-    """temp, sun and wind on a regular axis: seasons, days, and smooth noise from day to day."""
+def weather(spark: SparkSession, first: str, days: int, series: int | DataFrame = 1, minutes: int = 15) -> DataFrame:
+    """temp, sun and wind on a regular axis: seasons, days, and smooth noise from day to day; for so many series, or those of a table's
+    ``series_id``."""
     n = days * 1440 // minutes
-    rows = spark.range(series).select(F.concat(F.lit("s"), "id").alias("series_id")).select("series_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    names = spark.range(series).select(F.concat(F.lit("s"), "id").alias("series_id")) if isinstance(series, int) else series
+    rows = names.select("series_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     rows = rows.withColumn("ts", F.timestamp_seconds(F.unix_timestamp(F.lit(first).cast("timestamp")) + F.col("k") * 60 * minutes))
     day, part = F.floor(F.col("k") * minutes / 1440), F.pmod(F.col("k") * minutes, F.lit(1440)) / 1440.0
     smooth = lambda salt: noise(F.col("series_id"), day, salt) * (1 - part) + noise(F.col("series_id"), day + 1, salt) * part
@@ -37,7 +39,7 @@ def weather(spark: SparkSession, first: str, days: int, series: int = 1, minutes
     )
 
 
-def load_series(spark: SparkSession, first: str, last: str, days: int, series: int = 1, minutes: int = 15, sd: float = 4.0, truth: dict | None = None) -> DataFrame:
+def load_series(spark: SparkSession, first: str, last: str, days: int, series: int | DataFrame = 1, minutes: int = 15, sd: float = 4.0, truth: dict | None = None) -> DataFrame:
     """The weather with calendar columns and a load made of known components plus noise."""
     t = TRUTH | (truth or {})
     rows = K.with_calendar(weather(spark, first, days, series, minutes), K.date_dimension(spark, first, last))

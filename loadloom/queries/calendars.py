@@ -9,14 +9,14 @@ from loadloom.operators import calendar as K
 from loadloom.operators.timeaxis import on_axis, fill
 from loadloom.queries.base import AXIS, daily, quarter, query, table, tidy
 
-YEARS = "y AS (SELECT unnest(generate_series(1994, 2002))::INT AS y)"
+YEARS = "y AS (SELECT unnest(generate_series((SELECT min(year(o_orderdate)) - 1 FROM orders), (SELECT max(year(o_orderdate)) + 1 FROM orders)))::INT AS y)"
 EASTER = YEARS + """, e1 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y), e2 AS (SELECT *, (19 * a + b - b // 4 - ((b - (b + 8) // 25 + 1) // 3) + 15) % 30 AS h FROM e1),
 e3 AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS m FROM e2), e4 AS (SELECT *, h + m - 7 * ((a + 11 * h + 22 * m) // 451) + 114 AS t FROM e3),
 easter AS (SELECT y, make_date(y, (t // 31)::INT, (t % 31 + 1)::INT) AS easter FROM e4)"""
 FIXED = ", ".join(f"('{d}')" for d in C.FIXED_HOLIDAYS)
 HOLIDAYS = EASTER + f""", holidays AS (SELECT DISTINCT d FROM (SELECT (y || '-' || md)::DATE AS d FROM y, (VALUES {FIXED}) AS t(md)
 UNION ALL SELECT (easter - INTERVAL 2 DAY)::DATE FROM easter UNION ALL SELECT (easter + INTERVAL 1 DAY)::DATE FROM easter))"""
-DAYS = HOLIDAYS + """, d0 AS (SELECT unnest(generate_series(TIMESTAMP '1994-11-01', TIMESTAMP '2002-01-31', INTERVAL 1 DAY))::DATE AS d),
+DAYS = HOLIDAYS + """, d0 AS (SELECT unnest(generate_series((SELECT date_trunc('year', min(o_orderdate)) - INTERVAL 61 DAY FROM orders)::TIMESTAMP, (SELECT date_trunc('year', max(o_orderdate)) + INTERVAL 400 DAY FROM orders)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d),
 d1 AS (SELECT d0.d, h.d IS NOT NULL AS hol, h.d IS NOT NULL OR isodow(d0.d) >= 6 AS off FROM d0 LEFT JOIN holidays h ON h.d = d0.d),
 d2 AS (SELECT *, sum(off::INT) OVER (ORDER BY d) AS run, lag(hol) OVER (ORDER BY d) AS hb, lead(hol) OVER (ORDER BY d) AS ha, lag(off) OVER (ORDER BY d) AS ob, lead(off) OVER (ORDER BY d) AS oa FROM d1),
 d3 AS (SELECT *, sum((NOT off)::INT) OVER (PARTITION BY run) AS len, max((NOT off AND (hb OR ha))::INT) OVER (PARTITION BY run) AS near FROM d2),
@@ -24,26 +24,42 @@ dim AS (SELECT d, off, hol, ob, oa, CASE WHEN NOT off AND len <= 2 AND near = 1
 DATES = "od AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders)"
 
 
+def dimension(spark, stamps):
+    """The date dimension over all years that a column of stamps touches."""
+    years = stamps.select(F.year(F.min(stamps.columns[0])), F.year(F.max(stamps.columns[0]))).first()
+    return K.date_dimension(spark, f"{years[0] - 1}-12-01", f"{years[1] + 1}-01-31")
+
+
+def order_years(spark, sf):
+    """From the year before the first order to the one after the last."""
+    first, last = table(spark, sf, "orders").select(F.year(F.min("o_orderdate")), F.year(F.max("o_orderdate"))).first()
+    return first - 1, last + 1
+
+
+def order_days(spark, sf):
+    return dimension(spark, table(spark, sf, "orders").select("o_orderdate"))
+
+
 def of_orders(spark, sf):
     """The dimension at the orders' dates."""
     dates = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
-    return dates.join(F.broadcast(K.date_dimension(spark, "1995-01-01", "2001-12-31")), "date")
+    return dates.join(F.broadcast(order_days(spark, sf)), "date")
 
 
 @query(f"WITH {EASTER} SELECT y::BIGINT AS year, easter::VARCHAR AS easter FROM easter")
 def easter_sundays(spark, sf):
-    return tidy(K.years(spark, 1994, 2002).select("year", K.easter(F.col("year")).alias("easter")))
+    return tidy(K.years(spark, *order_years(spark, sf)).select("year", K.easter(F.col("year")).alias("easter")))
 
 
 @query(f"WITH {HOLIDAYS} SELECT d::VARCHAR AS date FROM holidays")
 def public_holidays(spark, sf):
-    return tidy(K.holidays(spark, 1994, 2002))
+    return tidy(K.holidays(spark, *order_years(spark, sf)))
 
 
 @query(f"""WITH {EASTER} SELECT DISTINCT date FROM (SELECT ((y || '-' || md)::DATE)::VARCHAR AS date FROM y, (VALUES {", ".join(f"('{d}')" for d in C.SHOPS_CLOSED)}) AS t(md)
 UNION ALL SELECT ((easter + INTERVAL 1 DAY)::DATE)::VARCHAR FROM easter)""")
 def shop_closing_days(spark, sf):
-    return tidy(K.shops_closed(spark, 1994, 2002))
+    return tidy(K.shops_closed(spark, *order_years(spark, sf)))
 
 
 @query(f"WITH {DAYS}, {DATES} SELECT dim.d::VARCHAR AS date, bridge_len::BIGINT AS bridge_len FROM dim JOIN od ON od.d = dim.d WHERE bridge_len > 0")
@@ -81,7 +97,7 @@ def irregular_days(spark, sf):
 
 @query(f"""WITH {YEARS} SELECT y::BIGINT AS year, (make_date(y, 4, 1) - ((isodow(make_date(y, 3, 31)) % 7) + 1)::INT)::VARCHAR AS spring, (make_date(y, 11, 1) - ((isodow(make_date(y, 10, 31)) % 7) + 1)::INT)::VARCHAR AS autumn FROM y""")
 def clock_changes(spark, sf):
-    return tidy(K.clock_changes(spark, 1994, 2002))
+    return tidy(K.clock_changes(spark, *order_years(spark, sf)))
 
 
 @query("""WITH g AS (SELECT o_orderdate::DATE AS d, o_totalprice AS p, strftime(o_orderdate, '%m-%d') AS md FROM orders), l AS (SELECT *,
@@ -95,7 +111,7 @@ def christmas_by_season(spark, sf):
     return tidy(o.groupBy("christmas", "season").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean_price")), 2)
 
 
-PROFILE_DAYS = DAYS.replace("1994-11-01", "2023-11-01").replace("2002-01-31", "2024-03-31").replace("generate_series(1994, 2002)", "generate_series(2022, 2025)")
+PROFILE_DAYS = DAYS.replace("o_orderdate", "ts").replace("FROM orders", "FROM events")
 
 
 @query(f"""WITH {PROFILE_DAYS}, {AXIS}, l AS (SELECT *, timezone('Europe/Prague', timezone('UTC', ts)) AS lt FROM lim)
@@ -104,7 +120,7 @@ FROM l JOIN dim ON dim.d = lt::DATE GROUP BY ALL""")
 def day_role_profile(spark, sf):
     """Flagship: mean profile of the day for each day role, over a gap-filled quarter-hourly axis in local time."""
     series = fill(on_axis(quarter(spark, sf)), "value")
-    rows = K.with_calendar(series, K.date_dimension(spark, "2023-12-01", "2024-02-28"))
+    rows = K.with_calendar(series, dimension(spark, table(spark, sf, "events").select("ts")))
     return tidy(rows.groupBy("series_id", "daytype", "tod").agg(F.avg("value").alias("value"), F.count("value").alias("n")))
 
 
@@ -113,17 +129,17 @@ SELECT daily.d::VARCHAR AS date, round(total, 2) AS total FROM daily JOIN dim ON
 def regular_days_only(spark, sf):
     """Anti join against the irregular days."""
     d = daily(spark, sf).withColumnRenamed("d", "date")
-    odd = K.date_dimension(spark, "1995-01-01", "2001-12-31").filter("irregular").select("date")
+    odd = order_days(spark, sf).filter("irregular").select("date")
     return tidy(d.join(F.broadcast(odd), "date", "left_anti").select("date", "total"), 2)
 
 
 @query(f"""WITH {DAYS}, t AS (SELECT o_orderdate::DATE AS d, o_totalprice AS p FROM orders), cut AS (SELECT DATE '2000-06-30' AS c)
-SELECT count(*)::BIGINT AS n_rows, round(sum(p), 0) AS total FROM t JOIN (SELECT d, max((hol OR bridge_len > 0 OR md >= '12-22' OR md <= '01-03')::INT) OVER (ORDER BY d ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) = 1 AS context FROM dim) k ON k.d = t.d, cut
+SELECT count(*)::BIGINT AS n_rows, round(sum(p), 2) AS total FROM t JOIN (SELECT d, max((hol OR bridge_len > 0 OR md >= '12-22' OR md <= '01-03')::INT) OVER (ORDER BY d ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) = 1 AS context FROM dim) k ON k.d = t.d, cut
 WHERE t.d < c AND (t.d >= c - 365 OR context)""")
 def training_rows(spark, sf):
     """Rows before a cutoff: the last year, and holidays with their neighbourhood from all history."""
     o = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), "o_totalprice")
-    rows = o.join(F.broadcast(K.date_dimension(spark, "1995-01-01", "2001-12-31").select("date", "context")), "date")
+    rows = o.join(F.broadcast(order_days(spark, sf).select("date", "context")), "date")
     cut = F.lit("2000-06-30").cast("date")
     rows = rows.filter((F.col("date") < cut) & ((F.col("date") >= F.date_sub(cut, 365)) | F.col("context")))
-    return tidy(rows.agg(F.count("*").alias("n_rows"), F.sum("o_totalprice").alias("total")), 0)
+    return tidy(rows.agg(F.count("*").alias("n_rows"), F.sum("o_totalprice").alias("total")), 2)

@@ -1,79 +1,208 @@
-"""Fits, backtests, scenarios and streams as queries. Model queries run on a synthetic year with known truth."""
+"""Fits, backtests, scenarios and streams as queries. Model queries run on a series with known truth for each region of the tables."""
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import functions as F
 
+from loadloom import config as C
 from loadloom.operators import calendar as K
-from loadloom.operators.timeaxis import SERIES
-from loadloom.plans import backtest, intraday, longterm, synthetic
+from loadloom.operators.timeaxis import SERIES, resample
+from loadloom.plans import backtest, intraday, longterm, operation, scenario, synthetic
 from loadloom.plans import fit as M
+from loadloom.plans.chunks import chunked
 from loadloom.plans.design import Layout
 from loadloom.queries.base import query, table, tidy
-from loadloom.sources.store import materialised
+from loadloom.sources.store import exists, written
 from loadloom.streaming import series as X
 
-FIRST, LAST, DAYS = "2022-01-01", "2023-01-10", 365
+#: Two years of quarter hours for each region; the backtest rolls over the second one.
+FIRST, DAYS = "2022-01-01", 730
+LAST, BEYOND = "2023-12-31", "2025-01-15"
 LAYOUT = Layout(FIRST, DAYS)
+MEASURES, CALENDAR = ["load", "temp", "sun", "wind", "dark", "gloom"], ["date_local", "daytype", "holiday", "after_off", "bridge", "bridge_len", "periods", "summer_day", "irregular", "context"]
+_kept: dict[tuple, tuple] = {}
+
+
+def kept(spark, sf, name, make):
+    """A table that several queries read: written once for a session and folder, and again if it is gone."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _kept or not exists(spark, _kept[key][0]):
+        df = make()
+        _kept[key] = (written(df, name), df.schema)
+    path, schema = _kept[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def quarters(spark, sf):
+    """Quarter-hourly load, weather and calendar of each region's series."""
+    names = table(spark, sf, "region").select(F.col("r_name").alias(SERIES)).distinct()
+    return kept(spark, sf, "series-quarters", lambda: synthetic.load_series(spark, FIRST, BEYOND, DAYS, names))
+
+
+def hours(spark, sf):
+    """Their hourly means."""
+    return kept(spark, sf, "series-hours", lambda: resample(quarters(spark, sf), 60, MEASURES, CALENDAR).withColumn("tod", F.hour(F.convert_timezone(F.lit("UTC"), F.lit(C.ZONE), F.col("ts").cast("timestamp_ntz"))).cast("double")))
+
+
+def hour_chunks(spark, sf):
+    return kept(spark, sf, "chunks-hours", lambda: chunked(hours(spark, sf)))
+
+
+def quarter_chunks(spark, sf):
+    return kept(spark, sf, "chunks-quarters", lambda: chunked(quarters(spark, sf)))
 
 
-@cache
-def year(spark):
-    return materialised(synthetic.load_series(spark, FIRST, LAST, DAYS, minutes=60), "synthetic-year")
+def hourly_fit(spark, sf):
+    """Shapes and coefficients of the hourly series, by the staged chain from the default start."""
+    return kept(spark, sf, "fit-hours", lambda: M.from_scratch(None, LAYOUT, 1.0, chunks=hour_chunks(spark, sf)))
 
 
-@cache
-def fitted(spark):
-    return M.joint(year(spark), LAYOUT, 1.0)
+def fitted(spark, sf):
+    """Shapes from hours, coefficients from quarter hours."""
+    return kept(spark, sf, "fit-quarters", lambda: M.linear(None, LAYOUT, 0.25, hourly_fit(spark, sf), quarter_chunks(spark, sf)))
 
 
-def predicted(spark):
-    return materialised(M.predict(year(spark), fitted(spark), LAYOUT, 1.0), "synthetic-predicted")
+def shape_rows(params, *others):
+    return params.select(SERIES, *others, "n", F.col("rmse"), F.posexplode("theta").alias("i", "value")).withColumn("name", F.element_at(F.array(*map(F.lit, M.NAMES)), F.col("i") + 1)).drop("i")
 
 
 @query()
 def joint_fit_params(spark, sf):
-    p = fitted(spark)
-    return p.select(SERIES, "n", F.round("rmse", 3).alias("rmse"), F.posexplode("theta").alias("i", "value")).withColumn("name", F.element_at(F.array(*map(F.lit, M.NAMES)), F.col("i") + 1)).drop("i")
+    """The shapes of all series from the default start: staged chain and joint fit on hours, coefficients and errors on quarter hours."""
+    return shape_rows(fitted(spark, sf))
+
+
+@query()
+def joint_fit_direct(spark, sf):
+    """All components at once from the default start, without the stages before."""
+    return shape_rows(M.joint(None, LAYOUT, 1.0, chunks=hour_chunks(spark, sf)))
+
+
+@query()
+def staged_fit_report(spark, sf):
+    """RMSE of each stage of the chain: base on mild days, heating on cold ones, cooling with generation on all, everything."""
+    chunks = hour_chunks(spark, sf)
+    now, out = M.start(chunks.select(SERIES).distinct(), LAYOUT), None
+    for number, stage in enumerate(M.staged(LAYOUT, passes=4)):
+        now = M.run_stages(chunks, now, LAYOUT, 1.0, [stage])
+        row = now.select(SERIES, F.lit(number).alias("stage"), F.lit(stage.rows).alias("rows"), "n", "rmse")
+        row = kept(spark, sf, f"stage-{number}", lambda row=row: row)
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query()
 def fit_components(spark, sf):
-    return M.explained(predicted(spark))
+    """Eleven additive parts of the load of every quarter hour."""
+    return M.explained(M.predict(quarter_chunks(spark, sf), fitted(spark, sf), LAYOUT, 0.25))
 
 
 @query()
 def weather_effects(spark, sf):
-    return M.weather_effects(year(spark), fitted(spark), LAYOUT, 1.0)
+    return M.weather_effects(quarter_chunks(spark, sf), fitted(spark, sf), LAYOUT, 0.25)
+
+
+def issues(spark, sf):
+    """The issue days of a year: every target is a whole day of the series' last 365 but for the first."""
+    days = F.sequence(F.to_date(F.lit("2023-01-01")), F.to_date(F.lit("2023-12-30")), F.expr("interval 1 day"))
+    return backtest.shape_days(table(spark, sf, "region").select(F.col("r_name").alias(SERIES)).distinct().select(SERIES, F.explode(days).alias("issue")))
+
+
+def backtested(spark, sf):
+    """Daily issues over a year: shapes refitted every week on what was known, coefficients every day."""
+
+    def make():
+        chunks, days = hour_chunks(spark, sf), issues(spark, sf)
+        first = days.groupBy(SERIES).agg(F.min("day").alias("day"))
+        begun = backtest.weekly_shapes(chunks, first, LAYOUT, 1.0, passes=8)
+        shapes = backtest.weekly_shapes(chunks, days, LAYOUT, 1.0, params=begun, passes=3)
+        shapes = kept(spark, sf, "backtest-shapes", lambda: shapes)
+        return backtest.rolling(chunks, days, shapes, LAYOUT, 1.0)
+
+    return kept(spark, sf, "backtest", make)
 
 
 @query()
 def d1_backtest(spark, sf):
-    issues = year(spark).select(SERIES).distinct().select(SERIES, F.explode(F.sequence(F.to_date(F.lit("2022-11-01")), F.to_date(F.lit("2022-12-10")), F.expr("interval 13 days"))).alias("issue"))
-    shapes = fitted(spark).select(SERIES, F.to_date(F.lit("2022-06-06")).alias("day"), "theta")
-    found = backtest.rolling(year(spark), shapes, LAYOUT, 1.0, issues)
-    return backtest.report(found)
+    """Scores of each month, of the model alone and with the online correction."""
+    found = backtest.corrected(backtested(spark, sf), K.date_dimension(spark, FIRST, BEYOND))
+    plain = backtest.report(found)
+    better = backtest.report(found, "corrected")
+    return plain.join(better.select(SERIES, "month", F.col("rmse").alias("rmse_corrected"), F.col("mape").alias("mape_corrected")), [SERIES, "month"])
+
+
+@query()
+def d1_forecasts(spark, sf):
+    """Every forecast of the backtest, with its correction."""
+    found = backtest.corrected(backtested(spark, sf), K.date_dimension(spark, FIRST, BEYOND))
+    return found.select(SERIES, "issue", "ts", "load", "base", "heating", "cooling", "pv", "model", "correction", "corrected")
 
 
 @query()
 def leave_out_folds(spark, sf):
-    folds = year(spark).select(SERIES).distinct().select(SERIES, F.inline(F.array(*(F.struct(F.lit(n).alias("fold"), F.to_date(F.lit(a)).alias("first"), F.to_date(F.lit(b)).alias("last")) for n, a, b in (("spring", "2022-04-04", "2022-04-17"), ("autumn", "2022-10-03", "2022-10-16"))))))
-    return backtest.left_out(year(spark), LAYOUT, 1.0, folds)
+    """Each year left out, and the second year from the first alone."""
+    cases = [("2022", "2022-01-01", "2022-12-31", False), ("2023", "2023-01-01", "2023-12-30", False), ("forward", "2023-01-01", "2023-12-30", True)]
+    fold = F.array(*(F.struct(F.lit(n).alias("fold"), F.to_date(F.lit(a)).alias("first"), F.to_date(F.lit(b)).alias("last"), F.lit(f).alias("forward")) for n, a, b, f in cases))
+    folds = table(spark, sf, "region").select(F.col("r_name").alias(SERIES)).distinct().select(SERIES, F.inline(fold))
+    return backtest.left_out(hour_chunks(spark, sf), LAYOUT, 1.0, folds)
 
 
 @query()
 def intraday_horizons(spark, sf):
-    return intraday.by_horizon(intraday.backtest(predicted(spark), [0, 1, 3, 6, 24], 24))
+    """Every hourly issue of two years at all horizons up to 39 hours."""
+    told = M.predict(hour_chunks(spark, sf), hourly_fit(spark, sf), LAYOUT, 1.0)
+    return intraday.by_horizon(intraday.backtest(told, list(range(39)), 24))
 
 
 @query()
 def scenario_year(spark, sf):
-    d = K.date_dimension(spark, "2023-01-01", "2023-01-31")
-    axis = year(spark).select(SERIES).distinct().select(SERIES, F.explode(F.sequence(F.lit("2023-01-03").cast("timestamp"), F.lit("2023-01-09 23:00:00").cast("timestamp"), F.expr("interval 1 hour"))).alias("ts"))
-    found = longterm.forecast(year(spark), K.with_calendar(axis, d), fitted(spark), LAYOUT, 1.0)
-    return longterm.summary(found)
+    """A year ahead under past years' weather, by the hour, with its band."""
+    return longterm.summary(scenario_rows(spark, sf))
+
+
+def scenario_rows(spark, sf):
+    return kept(spark, sf, "scenario-rows", lambda: year_ahead(spark, sf, "scenarios"))
+
+
+def year_ahead(spark, sf, weather, trend="last"):
+    span = F.sequence(F.lit("2024-01-01").cast("timestamp"), F.lit("2024-12-30 23:00:00").cast("timestamp"), F.expr("interval 1 hour"))
+    axis = table(spark, sf, "region").select(F.col("r_name").alias(SERIES)).distinct().select(SERIES, F.explode(span).alias("ts"))
+    ahead = K.with_calendar(axis, K.date_dimension(spark, "2023-12-01", "2025-01-15"))
+    return longterm.forecast(hours(spark, sf), ahead, hourly_fit(spark, sf), LAYOUT, 1.0, weather=weather, trend=trend, years=2)
+
+
+@query()
+def scenario_months(spark, sf):
+    """Monthly means over scenarios and their quantiles, and those of normal weather with a held and with a half-damped heating trend."""
+    wide = scenario.monthly(scenario_rows(spark, sf), "pred").withColumn("rule", F.lit("scenarios"))
+    for rule in ("hold", "heating:0.5"):
+        wide = wide.unionByName(scenario.monthly(year_ahead(spark, sf, "normal", rule), "pred").withColumn("rule", F.lit(f"normal, {rule}")))
+    return wide
+
+
+@query()
+def weather_cleaned_load(spark, sf):
+    """Load without weather, and with that of normal weather, by month."""
+    chunks, params = hour_chunks(spark, sf), hourly_fit(spark, sf)
+    normal = chunked(scenario.normal_weather(hours(spark, sf), ["temp", "sun", "wind"]), "normal-chunks")
+    both = M.cleaned(M.predict(chunks, params, LAYOUT, 1.0), M.predict(normal, params, LAYOUT, 1.0))
+    return both.groupBy(SERIES, F.date_format("ts", "yyyy-MM").alias("month")).agg(*(F.avg(c).alias(c) for c in ("load", "cleaned", "normalised")))
+
+
+@query()
+def production_forecast(spark, sf):
+    """From the end of the data to 39 hours ahead: the refit decision, forecast weather, the model's parts and the correction by horizon."""
+    rows = quarters(spark, sf)
+    end = F.lit("2023-11-20 09:00:00").cast("timestamp")
+    horizon = F.col("ts") < end + F.expr("interval 39 hours")
+    frame = rows.filter(horizon).withColumn("load", F.when(F.col("ts") < end, F.col("load")))
+    layout = Layout(FIRST, 688)
+    known = chunked(frame, "production-chunks")
+    hourly = chunked(resample(frame.filter(F.col("ts") < end), 60, MEASURES, CALENDAR).withColumn("tod", F.hour(F.convert_timezone(F.lit("UTC"), F.lit(C.ZONE), F.col("ts").cast("timestamp_ntz"))).cast("double")), "production-hours")
+    params = kept(spark, sf, "production-fit", lambda: operation.update(known, hourly, None, layout, 0.25, operation.refit(None, None, 0)))
+    told = M.predict(known, params, layout, 0.25).filter(F.col("ts") < end)
+    coefs = intraday.coefficients(intraday.cube(told.filter(F.col("ts") >= end - F.expr("interval 90 days")), list(range(0, 156))))
+    return operation.forecast(known, params, layout, 0.25, coefs)
 
 
 def event_stream(spark, sf):
@@ -88,6 +217,26 @@ def stream_tumbling_windows(spark, sf):
     return tidy(X.latest(spark, X.run_available(found, "update"), found.schema, [SERIES, "ts"]))
 
 
+@query("""WITH o AS (SELECT unnest(generate_series(0, 3)) AS k)
+SELECT event_type AS series_id, strftime(time_bucket(INTERVAL 6 HOUR, ts) - to_hours((6 * k)::BIGINT), '%Y-%m-%d %H:%M:%S') AS ts, round(avg(value), 4) AS value, count(value)::BIGINT AS n FROM events, o GROUP BY ALL""")
+def stream_sliding_windows(spark, sf):
+    """Means of 24 hours, every 6 hours."""
+    found = X.tumbling(event_stream(spark, sf), "value", "24 hours", late="60 days", slide="6 hours")
+    return tidy(X.latest(spark, X.run_available(found, "update"), found.schema, [SERIES, "ts"]))
+
+
+@query("""WITH s AS (SELECT event_type, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts) AS g FROM s)
+SELECT event_type AS series_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS ts, strftime(max(ts) + INTERVAL 20 MINUTE, '%Y-%m-%d %H:%M:%S') AS until, round(avg(value), 4) AS value, count(value)::BIGINT AS n FROM g GROUP BY event_type, g
+HAVING max(ts) + INTERVAL 20 MINUTE < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_sessions(spark, sf):
+    """Runs of events without a pause of 20 minutes, of those that the watermark has closed."""
+    found = X.sessions(event_stream(spark, sf), "value", "20 minutes", "1 hour")
+    end = table(spark, sf, "events").agg(F.max("ts").cast("timestamp").alias("e")).first()["e"]
+    rows = spark.read.schema(found.schema).option("recursiveFileLookup", True).parquet(X.run_available(found))
+    return tidy(rows.filter(F.col("until") < F.lit(end) - F.expr("interval 1 hour")))
+
+
 @query()
 def stream_exponential_filter(spark, sf):
     found = X.filtered(event_stream(spark, sf), "value", 6.0)

@@ -104,11 +104,11 @@ def wall_clock_cutoff(spark, sf):
     return tidy(d.withColumn("cutoff", A.wall(F.col("d"), 9)))
 
 
-@query("""WITH e AS (SELECT ts, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) - 1 AS k FROM events), r AS (SELECT ts::DATE AS d, k FROM e WHERE k < 100)
+@query("""WITH e AS (SELECT ts, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) - 1 AS k FROM events), r AS (SELECT DISTINCT ts::DATE AS d, k % 100 AS k FROM e)
 SELECT d::VARCHAR AS d, k::BIGINT AS k, strftime(timezone('UTC', timezone('Europe/Prague', d::TIMESTAMP)) + to_minutes((15 * k)::BIGINT), '%Y-%m-%d %H:%M:%S') AS ts FROM r""")
 def ordinal_positions_to_utc(spark, sf):
     from pyspark.sql import Window
 
     e = table(spark, sf, "events").withColumn("d", F.to_date("ts"))
-    e = e.withColumn("k", F.row_number().over(Window.partitionBy("d").orderBy("ts", "event_id")) - 1).filter("k < 100")
+    e = e.withColumn("k", F.pmod(F.row_number().over(Window.partitionBy("d").orderBy("ts", "event_id")) - 1, F.lit(100))).select("d", "k").distinct()  # a day has 100 quarters at most
     return tidy(e.select("d", "k", A.ordinal_utc(F.col("d"), F.col("k"), 15).alias("ts")))

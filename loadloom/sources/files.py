@@ -1,7 +1,9 @@
-"""Readers of the input files: measured series, forecast archives, market and grid data, parameters in YAML."""
+"""Readers of the input files: measured series, forecast archives, market and grid data."""
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 
 from loadloom import config as C
 from loadloom.operators import timeaxis as A
-
+from loadloom.sources.store import dropped, exists
 
 
 def number(c: str | Column) -> Column:
@@ -24,13 +26,24 @@ def stamp(c: str | Column) -> Column:
     return parsed.cast("timestamp_ntz")
 
 
-def raw_csv(spark: SparkSession, path: str | list[str], names: list[str], skip: int = 0, nulls: tuple[str, ...] = (), header: bool = True) -> DataFrame:
-    """Strings by position, with the file and the row's place in it. ``skip`` lines before the header are dropped, as is a BOM."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"))
-    w = Window.partitionBy("file").orderBy("pos")
-    lines = lines.withColumn("place", F.row_number().over(w)).filter(F.col("place") > skip + int(header)).filter(F.length(F.trim("line")) > 0)
+def raw_csv(spark: SparkSession, path: str | list[str], names: list[str], skip: int = 0, nulls: tuple[str, ...] = (), header: bool = True, header_cell: str | None = None) -> DataFrame:
+    """Strings by position, with the file and the row's place in it (ordered within a file). A BOM goes, and ``skip`` lines before the
+    header; or, with ``header_cell``, all lines up to the first one of ten whose first cell it is.
+
+    Lines are numbered in the first block of each file only, so a file isn't gathered in one task; elsewhere their place is enough.
+    """
+    start = F.col("_metadata.file_block_start").alias("start")
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line"), F.col("_metadata.file_path").alias("file"), start, F.monotonically_increasing_id().alias("pos"))
+    lines = lines.select("line", "file", "start", F.struct("start", "pos").alias("place"))
+    head = lines.filter("start = 0").withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("place")))
+    if header_cell is None:
+        head = head.filter(F.col("_n") > skip + int(header))
+    else:
+        is_header = (F.col("_n") <= 10) & (F.trim(F.split("line", ";")[0]) == header_cell)
+        head = head.withColumn("_h", F.min(F.when(is_header, F.col("_n"))).over(Window.partitionBy("file"))).filter(F.col("_n") > F.coalesce("_h", F.lit(0)))
+    kept = head.select("line", "file", "place").union(lines.filter("start > 0").select("line", "file", "place")).filter(F.length(F.trim("line")) > 0)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = lines.select(F.from_csv("line", schema.simpleString()[7:-1].replace(":", " "), {"sep": ";"}).alias("r"), "file", "place").select("r.*", "file", "place")
+    rows = kept.select(F.from_csv("line", schema.simpleString()[7:-1].replace(":", " "), {"sep": ";"}).alias("r"), "file", "place").select("r.*", "file", "place")
     return rows.withColumns({n: F.when(~F.col(n).isin(*nulls), F.col(n)) for n in names}) if nulls else rows
 
 
@@ -87,9 +100,10 @@ def forecast_archive(spark: SparkSession, path: str, series_id: str) -> DataFram
 def market(spark: SparkSession, paths: list[str], names: list[str], energy: bool) -> DataFrame:
     """Hourly values of files with one row a quarter or hour: energies are summed, other measures averaged; a later file wins.
 
-    The step follows from the number of rows of a day: more than 25 are quarter hours.
+    Lines before the header, whose first cell is "Den", are left out. The step follows from the number of rows of a day: more than 25
+    are quarter hours. Name the columns that are wanted by position; others may follow in the file.
     """
-    rows = raw_csv(spark, paths, ["day", "period", *names]).withColumn("_day", F.to_date(stamp("day")))
+    rows = raw_csv(spark, paths, ["day", "period", *names], header_cell="Den").withColumn("_day", F.to_date(stamp("day")))
     per_day = Window.partitionBy("file", "_day")
     rows = rows.withColumn("_step", F.when(F.count("*").over(per_day) > 25, 15).otherwise(60))
     rows = rows.withColumn("ts", A.floor_to(A.ordinal_utc(F.col("_day"), F.col("period").cast("int") - 1, F.col("_step")), 60))
@@ -118,8 +132,28 @@ def transparency(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Path, size and modification time of the files of a folder, as the key of a cached load."""
-    f = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
-    return f
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select("path", "length", "modificationTime")
+
+
+def manifest_key(spark: SparkSession, path: str) -> str:
+    """One key for all files: it changes with any file's path, size or time."""
+    one = F.concat_ws("|", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
+    return manifest(spark, path).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(one)), ","), 256).alias("k")).first()["k"]
+
+
+def stable_load(spark: SparkSession, path: str, read: Callable[[], DataFrame], cache: str, tries: int = 4, wait: float = 2.0) -> DataFrame:
+    """The table that ``read`` makes of a folder's files, stored under their manifest's key; read again while files change underneath."""
+    for _ in range(tries):
+        key = manifest_key(spark, path)
+        target = f"{cache.rstrip('/')}/{key}"
+        if exists(spark, f"{target}/_SUCCESS"):
+            return spark.read.parquet(target)
+        read().write.mode("overwrite").parquet(target)
+        if manifest_key(spark, path) == key:
+            return spark.read.parquet(target)
+        dropped(spark, target)
+        time.sleep(wait)
+    raise RuntimeError(f"files of {path} kept changing while they were read")
 
 
 def workspace(root: str, name: str, fallback: str) -> str:

@@ -10,19 +10,33 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one serves a local master; elsewhere that
+    would be a folder of one machine, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """Written and read back: cuts the lineage of iterations and survives lost executors."""
+def written(df: DataFrame, name: str) -> str:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """Written and read back: cuts the lineage of iterations and survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that no later step reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def save_params(params: DataFrame, path: str) -> None:
@@ -47,3 +61,8 @@ def export_csv(df: DataFrame, path: str, places: int = 3) -> None:
     numbers = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")}
     comma = lambda c: F.regexp_replace(F.format_string(f"%.{places}f", c), r"\.", ",")
     df.select(*(F.when(F.col(c).isNotNull(), comma(c)).alias(c) if c in numbers else F.col(c) for c in df.columns)).coalesce(1).write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
