@@ -65,7 +65,7 @@ def chunked(df: DataFrame, name: str = "chunks", forecast: DataFrame | None = No
     w = Window.partitionBy(SERIES).orderBy("chunk")
     none = F.array().cast("array<double>")
     lagged = lambda c: F.concat(*(F.coalesce(F.lag(c, k).over(w), none) for k in range(BEFORE, 0, -1)))
-    each = each.withColumns({f"before_{x}": lagged(x) for x in WEATHER})
+    each = each.withColumns({f"before_{x}": lagged(x) for x in WEATHER} | {f"before_{c}": F.coalesce(F.lag(c).over(w), none) for c in FORECAST[: len(WEATHER)]})
     # the chunks of few series spread over as many tasks as there are; those of many stay together, so that a task sends one sum for each
     spark = df.sparkSession
     cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -113,10 +113,13 @@ class Layout:
 
 
 class Rows:
-    """The rows of one chunk as arrays; see ``plans.chunks`` for the fields. ``before`` rows of weather precede them."""
+    """The rows of one chunk as arrays; see ``plans.chunks`` for the fields. ``before`` rows of weather precede them.
 
-    def __init__(self, fields: dict[str, np.ndarray], layout: Layout):
-        self.f, self.layout = fields, layout
+    ``kept`` holds what doesn't depend on the layout's span, for the folds of a chunk that differ in it.
+    """
+
+    def __init__(self, fields: dict[str, np.ndarray], layout: Layout, kept: dict | None = None):
+        self.f, self.layout, self.kept = fields, layout, {} if kept is None else kept
         first = np.datetime64(layout.first, "D").astype(int)
         self.days = fields["day"] - first + fields["tod"] / 24
         self.off = fields["daytype"] >= 2
@@ -129,14 +132,26 @@ class Rows:
     def has(self, flag: str) -> np.ndarray:
         return (self.f["flags"] >> FLAGS.index(flag) & 1).astype(bool)
 
+    def once(self, name: str, make) -> np.ndarray | dict:
+        if name not in self.kept:
+            self.kept[name] = make()
+        return self.kept[name]
+
     def base_blocks(self) -> dict[str, np.ndarray]:
+        return {"level": A.level_basis(self.days, self.layout.span_days)} | self.once("blocks", self._fixed_blocks)
+
+    def base(self) -> np.ndarray:
+        """All blocks of the base side by side."""
+        return np.hstack([A.level_basis(self.days, self.layout.span_days), self.once("fixed", lambda: np.hstack(list(self.once("blocks", self._fixed_blocks).values())))])
+
+    def _fixed_blocks(self) -> dict[str, np.ndarray]:
         f, kp, kh, kb = self.f, C.BASE["profile"], C.BASE["holiday"], C.BASE["bridge"]
         waves = self.by_tod(lambda t: A.fourier(t, kp))
         ones = np.ones((len(waves), 1))
         const = lambda k: np.hstack([ones, waves[:, :k], waves[:, kp : kp + k]])
         where = lambda cond, arr: arr * np.asarray(cond)[:, None]
         working, bridge = ~self.off, self.has("bridge")
-        out = {"level": A.level_basis(self.days, self.layout.span_days), "dt0": waves}
+        out = {"dt0": waves}
         full = const(kp)
         for k in (1, 2, 3):
             out[f"dt{k}"] = where(f["daytype"] == k, full)
@@ -159,6 +174,9 @@ class Rows:
 
     def k_shape(self) -> np.ndarray:
         """Daily shape of a response, offsets of the day roles, and the shape's change on days off."""
+        return self.once("k_shape", self._k_shape)
+
+    def _k_shape(self) -> np.ndarray:
         waves = self.by_tod(lambda t: A.fourier(t, C.HEATING["harmonics"]))
         changed = self.by_tod(lambda t: A.fourier(t, C.HEATING["off_harmonics"])) * self.off[:, None]
         roles = np.column_stack([self.f["daytype"] == d for d in (1, 2, 3)])
@@ -168,7 +186,7 @@ class Rows:
         return A.ramps(self.days, self.layout.span_days, self.layout.n_ramps)
 
     def trend(self) -> np.ndarray:
-        waves = self.by_tod(lambda t: A.fourier(t, C.HEATING["trend_harmonics"]))
+        waves = self.once("trend_waves", lambda: self.by_tod(lambda t: A.fourier(t, C.HEATING["trend_harmonics"])))
         return A.row_product(np.hstack([np.ones((len(waves), 1)), waves]), self.ramps()[:, 1:])
 
     def signals(self) -> dict[str, np.ndarray]:

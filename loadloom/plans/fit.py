@@ -100,27 +100,33 @@ def counted(rows: Rows, fold: dict, which: str) -> np.ndarray:
     return seen if which == "all" else seen & rows.has(which)
 
 
-def design(rows: Rows, base: np.ndarray, q: dict[str, float], coef: np.ndarray, moving: tuple[str, ...], step_hours: float, responses: Responses) -> np.ndarray:
-    """[base, heating, trend, cooling, generation, derivatives of the load by the moving shapes]."""
+def design(rows: Rows, q: dict[str, float], coef: np.ndarray, moving: tuple[str, ...], responses: Responses) -> np.ndarray:
+    """[base, heating, trend, cooling, generation, derivatives of the load by the moving shapes], and a last column for the target."""
     lay, k, trend, ramps = rows.layout, rows.k_shape(), rows.trend(), rows.ramps()
     heat, cool, sun = responses.heating(q), responses.cooling(q), responses.generation(q)
-    parts = [base, k * heat[:, None], trend * heat[:, None], k * cool[:, None], ramps * -sun[:, None]]
-    if moving:
-        c = {name: coef[lay.slices[name]] for name in ("heating", "trend", "cooling", "pv")} if len(coef) else None
-        for name in moving:
-            s = next(x for x in SHAPES if x.name == name)
-            delta = BUMP * (q[name] if name.startswith("tau") else s.high - s.low)
-            other = q | {name: q[name] + delta}
-            if c is None:
-                change = np.zeros(len(heat))
-            elif s in C.HEATING_SHAPES:
-                change = (k @ c["heating"] + trend @ c["trend"]) * (responses.heating(other) - heat) / delta
-            elif s in C.COOLING_SHAPES:
-                change = k @ c["cooling"] * (responses.cooling(other) - cool) / delta
-            else:
-                change = -(ramps @ c["pv"]) * (responses.generation(other) - sun) / delta
-            parts.append(change[:, None])
-    return np.hstack(parts)
+    x, s, p = np.empty((len(heat), lay.width + len(moving) + 1)), lay.slices, lay.width
+    x[:, : s["heating"].start] = rows.base()
+    np.multiply(k, heat[:, None], out=x[:, s["heating"]])
+    np.multiply(trend, heat[:, None], out=x[:, s["trend"]])
+    np.multiply(k, cool[:, None], out=x[:, s["cooling"]])
+    np.multiply(ramps, -sun[:, None], out=x[:, s["pv"]])
+    c = {name: coef[s[name]] for name in ("heating", "trend", "cooling", "pv")} if len(coef) and moving else None
+    if c is not None:
+        amplitude = {"heating": k @ c["heating"] + trend @ c["trend"], "cooling": k @ c["cooling"], "pv": -(ramps @ c["pv"])}
+    for i, name in enumerate(moving):
+        shape = SHAPES[NAMES.index(name)]
+        delta = BUMP * (q[name] if name.startswith("tau") else shape.high - shape.low)
+        other = q | {name: q[name] + delta}
+        if c is None:
+            x[:, p + i] = 0.0
+        elif shape in C.HEATING_SHAPES:
+            x[:, p + i] = amplitude["heating"] * (responses.heating(other) - heat) / delta
+        elif shape in C.COOLING_SHAPES:
+            x[:, p + i] = amplitude["cooling"] * (responses.cooling(other) - cool) / delta
+        else:
+            x[:, p + i] = amplitude["pv"] * (responses.generation(other) - sun) / delta
+    x[:, -1] = rows.f["load"]
+    return x
 
 
 def packed(x: np.ndarray) -> tuple[int, bytes]:
@@ -185,34 +191,27 @@ def _frozen(sums: dict) -> dict:
 
 
 def add(sums: dict, fields: dict, folds: list[dict], layout: Layout, step_hours: float, stage: Stage) -> None:
-    """Add a chunk's rows to the sums of each fold and segment; bases are built once for each span."""
-    bases: dict[int, tuple] = {}
-    responses = None
+    """Add a chunk's rows to the sums of each fold and segment; what doesn't depend on a fold's span or shapes is built once."""
+    kept: dict = {}
+    responses = Responses(Rows(fields, layout), step_hours)
     for fold in folds:
         if fields["t"][0] >= fold["until"]:
             continue
-        lay = replace(layout, span_days=fold["span"])
-        if fold["span"] not in bases:
-            rows = Rows(fields, lay)
-            bases[fold["span"]] = (rows, np.hstack(list(rows.base_blocks().values())))
-        rows, base = bases[fold["span"]]
+        rows = Rows(fields, replace(layout, span_days=fold["span"]), kept)
         seen = counted(rows, fold, stage.rows)
         if not seen.any():
             continue
-        if responses is None:
-            responses = Responses(rows, step_hours)
-        q = dict(zip(NAMES, fold["theta"], strict=True))
-        x = np.hstack([design(rows, base, q, np.array(fold["coef"]), stage.shapes, step_hours, responses), fields["load"][:, None]])
+        x = design(rows, dict(zip(NAMES, fold["theta"], strict=True)), np.array(fold["coef"]), stage.shapes, responses)
         segment = np.searchsorted(np.array(fold["cuts"]), fields["t"], side="right") if fold["cuts"] else np.zeros(len(seen), int)
         mild = rows.has("mild")
         for k in np.unique(segment[seen]):
             picked = seen & (segment == k)
             gram, few, n, n_mild = sums.get((fold["fold"], int(k)), (None, [], 0, 0))
-            block = x[picked]
+            block = x if picked.all() else x[picked]
             if len(block) + sum(map(len, few)) < x.shape[1] // 2:
-                few = [*few, block]
+                few = [*few, block.copy()]
             else:
-                whole = np.vstack([*few, block])
+                whole = np.vstack([*few, block]) if few else block
                 gram, few = (whole.T @ whole if gram is None else gram + whole.T @ whole), []
             sums[fold["fold"], int(k)] = (gram, few, n + len(block), n_mild + int((mild & picked).sum()))
 

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import replace
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadloom import config as C
+from loadloom.functions import arrays as A
 from loadloom.operators.aggregates import scores
 from loadloom.operators.timeaxis import SERIES
+from loadloom.plans import fit as M
+from loadloom.plans.chunks import FIELDS, FORECAST, WEATHER
 from loadloom.plans.correction import correct_intraday, horizon_coefficients
+from loadloom.plans.design import NAMES, Layout, Rows
 
 FEATURES = ["x1", "xday", "yest", "week"]
+#: The same of the error that forecast weather makes in the model.
+WEATHER_FEATURES = [f"{f}_w" for f in FEATURES]
 
 
 def known_at(rows: DataFrame, slots_a_day: int, ahead: int = 0) -> DataFrame:
@@ -47,6 +58,99 @@ def cube(predicted: DataFrame, horizons: list[int], slots_a_day: int = C.SLOTS_A
     return laid.join(rows.select(SERIES, "k", "actual", "pred"), [SERIES, "k"]).join(past, [SERIES, "back"]).select(SERIES, "h", "s", "actual", "pred", *FEATURES)
 
 
+def remade(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: float, horizons: list[int]) -> DataFrame:
+    """The model's prediction for every issue and horizon with the weather that the issue knows: measured before it, forecast from it on.
+
+    series_id, h, s (issue number), actual, pred. ``chunks`` hold the forecasts; where there is none, the measured value stands. Filters are
+    linear, so an issue's filter is the forecast's plus the decayed gap between the measured and the forecast's at the issue: no filter is run
+    again for an issue.
+    """
+    own = params.select(SERIES, "span", "theta", "coef")
+    before = [f"before_{x}" for x in (*WEATHER, *FORECAST[: len(WEATHER)])]
+    rows = chunks.select(SERIES, *FIELDS, *FORECAST, *before).join(own, SERIES)
+    step, reach = int(step_hours * 3600), max(horizons) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                fields = M.read_chunk(batch, i) | {b: batch.column(b)[i].values.to_numpy(zero_copy_only=False) for b in before}
+                theta, coef = batch.column("theta")[i].as_py(), np.array(batch.column("coef")[i].as_py())
+                h, s, actual, pred = predictions(fields, replace(layout, span_days=batch.column("span")[i].as_py()), dict(zip(NAMES, theta, strict=True)), coef, step_hours, horizons, reach)
+                k = fields["t"] // step
+                name = pa.array([batch.column(SERIES)[i].as_py()] * len(h))
+                yield pa.RecordBatch.from_arrays([name, pa.array(h, pa.int32()), pa.array(k[0] + s, pa.int64()), pa.array(actual, from_pandas=True), pa.array(pred, from_pandas=True)], names=[SERIES, "h", "s", "actual", "pred"])
+
+    return rows.mapInArrow(run, f"{SERIES} string, h int, s long, actual double, pred double")
+
+
+def predictions(fields: dict, layout: Layout, q: dict[str, float], coef: np.ndarray, step_hours: float, horizons: list[int], reach: int) -> tuple[np.ndarray, ...]:
+    """For the targets of one chunk: horizon, issue (rows from the chunk's first), load and prediction."""
+    measured = Rows(fields, layout).signals()
+    told = {}
+    for x in WEATHER:
+        past, ahead = fields[f"before_{x}"], fields[f"forecast_{x}"]
+        lately = fields[f"before_forecast_{x}"]
+        past = past.copy()
+        if len(lately):
+            past[-len(lately) :] = np.where(np.isnan(lately), past[-len(lately) :], lately)
+        told[x] = np.concatenate([past, np.where(np.isnan(ahead), fields[x], ahead)])
+    n, at = len(fields["t"]), len(fields["before_temp"])
+    now = {x: told[x][at:] for x in WEATHER}
+    future = Rows({**fields, **now, "gloom": np.where(np.isnan(fields["forecast_gloom"]), fields["gloom"], fields["forecast_gloom"])}, layout)
+    s = layout.slices
+    base = sum(x @ coef[s[name]] for name, x in future.base_blocks().items())
+    k = future.k_shape()
+    heat, cool = k @ coef[s["heating"]] + future.trend() @ coef[s["trend"]], k @ coef[s["cooling"]]
+    pv = future.ramps() @ coef[s["pv"]] * now["sun"] * (1 - q["gamma"] * (now["temp"] - C.PV["reference"]))
+    told = told | {"wind": told["wind"] * np.maximum(C.HEATING["inside"] - told["temp"], 0.0)}
+    cop = np.maximum(1 + q["alpha"] * now["temp"], C.HEATING["cop_floor"])
+    eer = np.maximum(1 - q["alpha_c"] * (now["temp"] - C.COOLING["reference"]), C.COOLING["eer_floor"])
+    decays = {mode: float(np.exp(-step_hours / q[tau])) for mode, tau in (("h", "tau"), ("c", "tau_c"))}
+    mix = {mode: (lambda v, a=a, b=b: v["temp"] + a * v["sun"] - b * v["wind"]) for mode, a, b in (("h", q["a"], q["b"]), ("c", q["a_c"], 0.0))}
+    felt_now = {m: mix[m](told)[at:] for m in mix}
+    smooth_told, smooth_measured = ({m: A.smoothed(mix[m](x), decays[m]) for m in mix} for x in (told, measured))
+    out = []
+    for h in horizons:
+        first = max(h + 1 - at, 0)  # targets whose issue lies in the rows that are held
+        if first >= n:
+            continue
+        target, issue = np.arange(first, n), np.arange(first, n) - h
+        felt = {}
+        for m, w in (("h", q["w"]), ("c", q["w_c"])):
+            gap = smooth_measured[m][at + issue - 1] - smooth_told[m][at + issue - 1]
+            felt[m] = w * felt_now[m][target] + (1 - w) * (smooth_told[m][at + target] + decays[m] ** (h + 1) * gap)
+        heating = heat[target] * A.softplus(q["t_b"] - felt["h"], q["s"]) / cop[target]
+        cooling = cool[target] * A.softplus(felt["c"] - q["t_bc"], q["s_c"]) / eer[target]
+        out.append((np.full(len(target), h), issue, fields["load"][target], base[target] + heating + cooling - pv[target]))
+    if not out:
+        return tuple(np.zeros(0) for _ in range(4))
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
+
+
+def remade_cube(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: float, horizons: list[int]) -> DataFrame:
+    """The cube of issues and horizons with predictions as remade at each issue, and the features of two series known at it: the residuals
+    under measured weather, and what forecast weather would have changed in the model."""
+    a_day = int(round(24 / step_hours))
+    step = 86400 // a_day
+    wide = params.select(SERIES, F.lit("").alias("fold"), "span", "theta", "coef", F.lit(M.FAR).alias("until"), F.lit(-(10**6)).alias("first"), F.lit(10**6).alias("last"))
+    number = (F.unix_timestamp("ts") / step).cast("long").alias("k")
+    known = M.predict(chunks, wide, layout, step_hours, ahead=True).select(SERIES, number, (F.col("load") - F.col("model")).alias("r"), F.col("model").alias("_m"))
+    told = M.predict(chunks, wide.withColumn("until", F.lit(-M.FAR)), layout, step_hours, ahead=True).select(SERIES, number, F.col("model").alias("_f"))
+    both = known.join(told, [SERIES, "k"])
+    laid = remade(chunks, params, layout, step_hours, horizons)
+    laid = laid.withColumn("back", F.col("s") + F.col("h") - a_day * (F.floor(F.col("h") / a_day) + 1))
+    for tail, series in (("", both.select(SERIES, "k", "r")), ("_w", both.select(SERIES, "k", (F.col("_m") - F.col("_f")).alias("r")))):
+        at_issue = known_at(series, a_day).select(SERIES, F.col("k").alias("s"), F.col("x1").alias(f"x1{tail}"), F.col("xday").alias(f"xday{tail}"))
+        past = slot_means(series, a_day).select(SERIES, "back", F.col("yest").alias(f"yest{tail}"), F.col("week").alias(f"week{tail}"))
+        laid = laid.join(at_issue, [SERIES, "s"]).join(past, [SERIES, "back"])
+    return laid.select(SERIES, "h", "s", "actual", "pred", *FEATURES, *WEATHER_FEATURES)
+
+
+def backtest_remade(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: float, horizons: list[int]) -> DataFrame:
+    """Every issue and horizon with its corrected forecast, under forecast weather."""
+    return correct_intraday(remade_cube(chunks, params, layout, step_hours, horizons), [*FEATURES, *WEATHER_FEATURES])
+
+
 def backtest(predicted: DataFrame, horizons: list[int], slots_a_day: int = C.SLOTS_A_DAY, every: int = 1) -> DataFrame:
     """Every issue and horizon with its corrected forecast. Issues must be a regular series: ``every`` divides the horizons' delay."""
     return correct_intraday(cube(predicted, horizons, slots_a_day, every), FEATURES)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loadloom import config as C
 from loadloom.operators import calendar as K
-from loadloom.operators.timeaxis import SERIES, resample
+from loadloom.operators.timeaxis import SERIES, floor_to, resample
 from loadloom.plans import backtest, intraday, longterm, operation, scenario, synthetic
 from loadloom.plans import fit as M
 from loadloom.plans.chunks import chunked
@@ -154,6 +155,16 @@ def intraday_horizons(spark, sf):
     return intraday.by_horizon(intraday.backtest(told, list(range(39)), 24))
 
 
+@query()
+def intraday_forecast_weather(spark, sf):
+    """The same with forecast weather (a bias of the hour and noise), as it stood at each issue: predictions are remade for it."""
+    noisy = lambda salt: synthetic.noise(F.col(SERIES), F.unix_timestamp("ts"), salt)
+    rows = hours(spark, sf).filter("ts >= '2023-07-01'")
+    told = rows.select(SERIES, "ts", (F.col("temp") + 1 + 0.5 * noisy(21)).alias("temp"), (F.col("sun") * (1 + 0.2 * noisy(22))).alias("sun"), F.greatest(F.col("wind") + noisy(23), F.lit(0.0)).alias("wind"), "gloom")
+    chunks = chunked(rows, "intraday-chunks", forecast=told)
+    return intraday.by_horizon(intraday.backtest_remade(chunks, hourly_fit(spark, sf), LAYOUT, 1.0, list(range(39))))
+
+
 @query()
 def scenario_year(spark, sf):
     """A year ahead under past years' weather, by the hour, with its band."""
@@ -243,3 +254,18 @@ def stream_exponential_filter(spark, sf):
     path = X.run_available(found)
     rows = spark.read.schema(found.schema).option("recursiveFileLookup", True).parquet(path)
     return tidy(rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")))  # whole instants, since several lie in one second
+
+
+@query("""WITH q AS (SELECT event_type AS series_id, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, avg(value) AS v FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS k FROM q),
+i AS (SELECT series_id, max(ts) + INTERVAL 15 MINUTE AS issued, avg(CASE WHEN k <= 4 THEN v END) AS pred FROM r GROUP BY 1), h AS (SELECT unnest(generate_series(0, 3)) AS h)
+SELECT series_id, strftime(issued, '%Y-%m-%d %H:%M:%S') AS issued_at, strftime(issued + to_minutes((15 * h)::BIGINT), '%Y-%m-%d %H:%M:%S') AS ts, round(pred, 4) AS pred FROM i, h""")
+def stream_forecast_on_arrival(spark, sf):
+    """A forecast of the next hour after each arrival: the mean of the last four quarter hours."""
+
+    def ahead(batch):
+        q = batch.groupBy(SERIES, floor_to(F.col("ts"), 15).alias("slot")).agg(F.avg("value").alias("v"))
+        last = q.withColumn("k", F.row_number().over(Window.partitionBy(SERIES).orderBy(F.desc("slot")))).groupBy(SERIES).agg((F.max("slot") + F.expr("interval 15 minutes")).alias("issued_at"), F.avg(F.when(F.col("k") <= 4, F.col("v"))).alias("pred"))
+        steps = F.explode(F.sequence(F.col("issued_at"), F.col("issued_at") + F.expr("interval 45 minutes"), F.expr("interval 15 minutes")))
+        return last.select(SERIES, "issued_at", steps.alias("ts"), "pred")
+
+    return tidy(spark.read.parquet(X.on_arrival(event_stream(spark, sf), ahead)).withColumn("issued_at", F.col("issued_at").cast("timestamp")).select(SERIES, "issued_at", "ts", "pred"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loadloom.operators.timeaxis import SERIES
-from loadloom.sources.store import shared_folder
+from loadloom.sources.store import archive, shared_folder
 
 
 def tumbling(stream: DataFrame, value: str, width: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
@@ -78,3 +78,16 @@ def latest(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame
     rows = spark.read.schema(schema).option("basePath", path).parquet(path).withColumn("batch", F.regexp_extract(F.input_file_name(), r"batch=(\d+)", 1).cast("long"))
     rest = [c for c in schema.names if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+
+
+def on_arrival(stream: DataFrame, act: Callable[[DataFrame], DataFrame], path: str | None = None) -> str:
+    """After each arrival, a forecast from what has come: ``act`` makes it of the batch, with a column ``issued_at``; it is archived under its
+    issue, so that a batch that is tried again replaces itself. Returns the archive's folder."""
+    path = path or f"{shared_folder(stream.sparkSession)}/arrivals-{uuid.uuid4().hex}"
+
+    def forecast(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            archive(act(batch), f"{path}/out")
+
+    stream.writeStream.foreachBatch(forecast).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return f"{path}/out"
