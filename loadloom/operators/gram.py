@@ -1,56 +1,16 @@
-"""Moments of wide designs: partial Gram matrices in Arrow, finished for each series in its own task."""
+"""Least squares from moments, with lower bounds."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
-from loadloom.operators.timeaxis import SERIES
-
-
-def partial_grams(df: DataFrame, column: str, series: str = SERIES) -> DataFrame:
-    """For each partition and series, X'X of the array column (which may end with the target) and the row count.
-
-    A partition sends one packed matrix for each series it holds, however many rows it has.
-    """
-
-    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, tuple[np.ndarray, int]] = {}
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            lists = batch.column(1)
-            if not len(ids):
-                continue
-            x = np.asarray(lists.flatten()).reshape(len(ids), -1)
-            for s in dict.fromkeys(ids):
-                rows = x[[i == s for i in ids]] if len(set(ids)) > 1 else x
-                g, n = sums.get(s, (0.0, 0))
-                sums[s] = (g + rows.T @ rows, n + len(rows))
-        for s, (g, n) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([g.astype("<f8").tobytes()], pa.binary()), pa.array([n], pa.int64())], names=[series, "gram", "n"])
-
-    return df.select(series, column).mapInArrow(accumulate, f"{series} string, gram binary, n long")
-
-
-def solved(grams: DataFrame, finish: Callable[[str, np.ndarray, int], dict], schema: str, series: str = SERIES) -> DataFrame:
-    """Sum a series' partial matrices and finish them; ``finish(series, gram, n)`` returns a row of ``schema``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, dtype="<f8") for b in pdf["gram"])
-        p = int(round(len(total) ** 0.5))
-        return pd.DataFrame([finish(pdf[series].iloc[0], total.reshape(p, p), int(pdf["n"].sum()))])
-
-    return grams.groupBy(series).applyInPandas(run, schema)
 
 
-def bounded(g: np.ndarray, c: np.ndarray, low: np.ndarray, penalty: np.ndarray | None = None, ridge: float = 1e-9) -> np.ndarray:
+def bounded(g: np.ndarray, c: np.ndarray, low: np.ndarray, penalty: np.ndarray | None = None, ridge: float = 1e-9, held: np.ndarray | None = None) -> np.ndarray:
     """Least squares from moments with lower bounds: columns scaled, lightly ridged, then an active set.
 
-    Coefficients that would pass their bound are held at it; a held one is freed while its gradient points inwards.
+    Coefficients are exchanged between those at their bound and the free ones while the conditions of optimality (none below its bound,
+    no gradient inwards at one) fail: all that fail at once as long as that makes them fewer, else the last of them only, which ends.
+    ``held`` may name the coefficients to try at their bound first.
     """
     p = len(c)
     a = g + (penalty if penalty is not None else 0.0)
@@ -59,18 +19,22 @@ def bounded(g: np.ndarray, c: np.ndarray, low: np.ndarray, penalty: np.ndarray |
     a = a / np.outer(scale, scale)
     a[np.diag_indices(p)] += ridge * np.trace(a) / p
     b, floor = c / scale, np.where(np.isfinite(low), low * scale, -np.inf)
-    free, x = np.ones(p, dtype=bool), np.zeros(p)
-    for _ in range(3 * p + 10):
-        held = ~free
-        x[held] = floor[held]
-        x[free] = np.linalg.solve(a[np.ix_(free, free)], b[free] - a[np.ix_(free, held)] @ x[held])
-        under = free & (x < floor - 1e-12)
-        if under.any():
-            free[under] = False
-            continue
-        gradient = a @ x - b
-        inward = held & (gradient < -1e-10 * np.abs(b).max())
-        if not inward.any():
+    free = np.ones(p, dtype=bool) if held is None else ~(held & np.isfinite(low))
+    x, fewest, tries, tolerance = np.zeros(p), p + 1, 3, 1e-10 * max(np.abs(b).max(), 1e-300)
+    for _ in range(5 * p + 50):
+        x[~free] = floor[~free]
+        x[free] = np.linalg.solve(a[np.ix_(free, free)], b[free] - a[np.ix_(free, ~free)] @ x[~free])
+        wrong = (free & (x < floor - 1e-12)) | (~free & (a @ x - b < -tolerance))
+        n = int(wrong.sum())
+        if not n:
             break
-        free[np.argmin(np.where(inward, gradient, np.inf))] = True
-    return x / scale
+        if n < fewest:
+            fewest, tries = n, 3
+        elif tries:
+            tries -= 1
+        else:
+            last = np.flatnonzero(wrong)[-1]
+            wrong = np.zeros(p, dtype=bool)
+            wrong[last] = True
+        free ^= wrong
+    return np.maximum(x, floor) / scale

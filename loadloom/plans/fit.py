@@ -216,8 +216,9 @@ def add(sums: dict, fields: dict, folds: list[dict], layout: Layout, step_hours:
             sums[fold["fold"], int(k)] = (gram, few, n + len(block), n_mild + int((mild & picked).sum()))
 
 
-def solved(stage: Stage, lay: Layout, g: np.ndarray, n: int, n_mild: int, coef: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """Coefficients (those of other blocks stay), sum of squares, and the moments S and g of the shapes' step."""
+def solved(stage: Stage, lay: Layout, g: np.ndarray, n: int, n_mild: int, coef: np.ndarray, near: np.ndarray | None = None) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Coefficients (those of other blocks stay), sum of squares, and the moments S and g of the shapes' step. ``near``: coefficients of a
+    similar fit, whose bounds are tried first."""
     p, d = lay.width, len(stage.shapes)
     if not len(coef):
         coef = np.zeros(p)
@@ -235,7 +236,7 @@ def solved(stage: Stage, lay: Layout, g: np.ndarray, n: int, n_mild: int, coef:
     sub = np.ix_(free, free)
     low = lay.lower()
     found = fixed.copy()
-    found[free] = bounded(a[sub], c[free], low[free], penalty[sub])
+    found[free] = bounded(a[sub], c[free], low[free], penalty[sub], held=None if near is None or not len(near) else near[free] <= low[free])
     x = found[free]
     sse = max(yy - 2 * x @ c[free] + x @ a[sub] @ x, 0.0)
     if not d or not np.any(np.diag(g)[p : p + d] > 0):
@@ -293,7 +294,7 @@ def one_pass(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: f
             g = sum(unpacked(k, b, width) for k, b in zip(sums["kind"], sums["data"], strict=True))
             n, n_mild = int(sums["n"].sum()), int(sums["n_mild"].sum())
             theta, coef = np.array(p["theta"], float), np.array(p["coef"], float)
-            new, sse, s, right = solved(stage, lay, g, n, n_mild, coef)
+            new, sse, s, right = solved(stage, lay, g, n, n_mild, coef, near=coef)
             cost = sse + prior(theta, n, stage.shapes)[0]
             here = {"theta": theta.tolist(), "coef": new.tolist(), "cost": float(cost), "rmse": float(np.sqrt(sse / max(n, 1))), "n": n, "s": s.ravel().tolist(), "g": right.tolist()}
             best, damping = p["best"], float(p["damping"])
@@ -325,21 +326,35 @@ def run_stages(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours:
     return now
 
 
-def joint(df: DataFrame, layout: Layout, step_hours: float, passes: int = 8, params: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+def pinned(params: DataFrame, pins: dict[str, float]) -> DataFrame:
+    """Parameters with shapes set by hand; a pin may lie outside the bounds."""
+    unknown = set(pins) - set(NAMES)
+    if unknown:
+        raise ValueError(f"not shapes: {sorted(unknown)}")
+    fixed = F.create_map(*(x for n, v in pins.items() for x in (F.lit(NAMES.index(n)), F.lit(float(v))))) if pins else None
+    return params if fixed is None else params.withColumn("theta", F.transform("theta", lambda x, i: F.coalesce(F.try_element_at(fixed, i), x)))
+
+
+def joint(df: DataFrame, layout: Layout, step_hours: float, passes: int = 8, params: DataFrame | None = None, chunks: DataFrame | None = None, pins: dict[str, float] | None = None) -> DataFrame:
     """Parameters of each series (or fold, where ``params`` has several): shapes, coefficients, RMSE.
 
     ``df``: series_id, ts, load, weather and calendar columns, dark and gloom. From the starting shapes, all components at once.
+    ``pins`` are shapes that stay at a value, which may lie outside the bounds.
     """
     chunks = chunked(df) if chunks is None else chunks
-    now = start(chunks.select(SERIES).distinct(), layout) if params is None else params
-    return run_stages(chunks, now, layout, step_hours, [Stage(passes=passes)])
+    now = pinned(start(chunks.select(SERIES).distinct(), layout) if params is None else params, pins or {})
+    return run_stages(chunks, now, layout, step_hours, [without(Stage(passes=passes), pins or {})])
+
+
+def without(stage: Stage, pins: dict[str, float]) -> Stage:
+    return replace(stage, shapes=tuple(n for n in stage.shapes if n not in pins))
 
 
-def from_scratch(df: DataFrame, layout: Layout, step_hours: float, passes: int = 8, params: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+def from_scratch(df: DataFrame, layout: Layout, step_hours: float, passes: int = 8, params: DataFrame | None = None, chunks: DataFrame | None = None, pins: dict[str, float] | None = None) -> DataFrame:
     """The staged chain: base on mild days, heating on cold ones, cooling with generation, then the joint fit from what they found."""
     chunks = chunked(df) if chunks is None else chunks
-    now = start(chunks.select(SERIES).distinct(), layout) if params is None else params
-    return run_stages(chunks, now, layout, step_hours, staged(layout, passes))
+    now = pinned(start(chunks.select(SERIES).distinct(), layout) if params is None else params, pins or {})
+    return run_stages(chunks, now, layout, step_hours, [without(stage, pins or {}) for stage in staged(layout, passes)])
 
 
 def linear(df: DataFrame, layout: Layout, step_hours: float, params: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
@@ -362,13 +377,13 @@ def refits(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: flo
             return pd.DataFrame()
         p = now["p"].iloc[0]
         lay = replace(layout, span_days=int(p["span"]))
-        g, n, n_mild, out = np.zeros((lay.width + 1, lay.width + 1)), 0, 0, []
+        g, n, n_mild, out, coef = np.zeros((lay.width + 1, lay.width + 1)), 0, 0, [], None
         for k, cut in enumerate(p["cuts"]):
             for part in sums[sums["segment"] == k].itertuples():
                 g = g + unpacked(part.kind, part.data, lay.width + 1)
                 n, n_mild = n + part.n, n_mild + part.n_mild
             if n:
-                coef, sse, _, _ = solved(stage, lay, g, n, n_mild, np.zeros(0))
+                coef, sse, _, _ = solved(stage, lay, g, n, n_mild, np.zeros(0), near=coef)
                 out.append({SERIES: keys[0], "fold": keys[1], "span": lay.span_days, "until": int(cut), "theta": list(p["theta"]), "coef": coef.tolist(), "rmse": float(np.sqrt(sse / n)), "n": n})
         return pd.DataFrame(out)
 

@@ -22,9 +22,10 @@ def noise(*keys: Column | int) -> Column:
 def weather(spark: SparkSession, first: str, days: int, series: int | DataFrame = 1, minutes: int = 15) -> DataFrame:
     """temp, sun and wind on a regular axis: seasons, days, and smooth noise from day to day; for so many series, or those of a table's
     ``series_id``."""
-    n = days * 1440 // minutes
     names = spark.range(series).select(F.concat(F.lit("s"), "id").alias("series_id")) if isinstance(series, int) else series
-    rows = names.select("series_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    a_day = 1440 // minutes
+    whole = names.select("series_id", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("_day")).repartition("series_id", "_day")  # days spread, few as the names may be
+    rows = whole.select("series_id", F.explode(F.sequence(F.col("_day") * a_day, (F.col("_day") + 1) * a_day - 1)).alias("k"))
     rows = rows.withColumn("ts", F.timestamp_seconds(F.unix_timestamp(F.lit(first).cast("timestamp")) + F.col("k") * 60 * minutes))
     day, part = F.floor(F.col("k") * minutes / 1440), F.pmod(F.col("k") * minutes, F.lit(1440)) / 1440.0
     smooth = lambda salt: noise(F.col("series_id"), day, salt) * (1 - part) + noise(F.col("series_id"), day + 1, salt) * part

@@ -26,6 +26,11 @@ around AS (SELECT *,
 lim AS (SELECT series_id, ts, value AS raw, coalesce(value, CASE WHEN (epoch(ts) - t0) / 900 <= 4 THEN coalesce(v0 + (v1 - v0) * (epoch(ts) - t0) / nullif(t1 - t0, 0), v0) END) AS value FROM around),
 bothways AS (SELECT series_id, ts, coalesce(value, v0 + (v1 - v0) * (epoch(ts) - t0) / nullif(t1 - t0, 0), v0, v1) AS value FROM around)"""
 DAILY = "daily AS (SELECT o_orderdate::DATE AS d, sum(o_totalprice) AS total, count(*) AS n FROM orders GROUP BY 1)"
+#: Ridge coefficients c1 to c3 of ``error`` on x1 to x3 of the table ft, from the days up to two before each, by Cramer's rule.
+SOLVED = """mo AS (SELECT d, sum(x1*x1) AS a, sum(x1*x2) AS b, sum(x1*x3) AS c, sum(x2*x2) AS e, sum(x2*x3) AS f, sum(x3*x3) AS i, sum(x1*error) AS p, sum(x2*error) AS q, sum(x3*error) AS r, 1 AS k FROM ft WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AND error IS NOT NULL GROUP BY 1),
+al AS (SELECT DISTINCT d FROM ft), rn AS (SELECT al.d, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(e) AS e, sum(f) AS f, sum(i) AS i, sum(p) AS p, sum(q) AS q, sum(r) AS r, sum(k) AS k FROM al JOIN mo ON mo.d <= al.d - 2 GROUP BY 1),
+rg AS (SELECT d, a + z AS a, b, c, e + z AS e, f, i + z AS i, p, q, r FROM (SELECT *, 0.001 * (a + e + i) / 3 AS z FROM rn WHERE k >= {least})),
+co AS (SELECT d, (p*(e*i - f*f) - b*(q*i - f*r) + c*(q*f - e*r)) / t AS c1, (a*(q*i - f*r) - p*(b*i - f*c) + c*(b*r - q*c)) / t AS c2, (a*(e*r - q*f) - b*(b*r - q*c) + p*(b*f - e*c)) / t AS c3 FROM (SELECT *, a*(e*i - f*f) - b*(b*i - f*c) + c*(b*f - e*c) AS t FROM rg))"""
 STAMP = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
 
 

@@ -22,7 +22,7 @@ from loadloom.plans import backtest, correction, longterm
 from loadloom.plans import fit as M
 from loadloom.plans.design import NAMES
 from loadloom.queries import models as Q
-from loadloom.queries.base import DAILY, daily, query, rounded, table, tidy
+from loadloom.queries.base import DAILY, SOLVED, daily, query, rounded, table, tidy
 
 TEMP = "10 - 12 * cos(2 * pi() * dayofyear(d) / 365) + n % 7"
 SUN = "120 - 90 * cos(2 * pi() * dayofyear(d) / 365) + 5 * (n % 5)"
@@ -294,13 +294,7 @@ def day_ahead_features(spark, sf):
     return tidy(correction.day_ahead_features(rows, regular(spark, rows)).select(F.col("date_local").alias("d"), "tod", "x1", "x2", "x3"))
 
 
-SOLVED = """mo AS (SELECT d, sum(x1*x1) AS a, sum(x1*x2) AS b, sum(x1*x3) AS c, sum(x2*x2) AS e, sum(x2*x3) AS f, sum(x3*x3) AS i, sum(x1*error) AS p, sum(x2*error) AS q, sum(x3*error) AS r, 1 AS k FROM ft WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AND error IS NOT NULL GROUP BY 1),
-al AS (SELECT DISTINCT d FROM ft), rn AS (SELECT al.d, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(e) AS e, sum(f) AS f, sum(i) AS i, sum(p) AS p, sum(q) AS q, sum(r) AS r, sum(k) AS k FROM al JOIN mo ON mo.d <= al.d - 2 GROUP BY 1),
-rg AS (SELECT d, a + z AS a, b, c, e + z AS e, f, i + z AS i, p, q, r FROM (SELECT *, 0.001 * (a + e + i) / 3 AS z FROM rn WHERE k >= 7)),
-co AS (SELECT d, (p*(e*i - f*f) - b*(q*i - f*r) + c*(q*f - e*r)) / t AS c1, (a*(q*i - f*r) - p*(b*i - f*c) + c*(b*r - q*c)) / t AS c2, (a*(e*r - q*f) - b*(b*r - q*c) + p*(b*f - e*c)) / t AS c3 FROM (SELECT *, a*(e*i - f*f) - b*(b*i - f*c) + c*(b*f - e*c) AS t FROM rg))"""
-
-
-@query(f"WITH {FEATURE_SQL}, {SOLVED} SELECT ft.d::VARCHAR AS d, tod::DOUBLE AS tod, round(c1, 5) AS c1, round(c1*x1 + c2*x2 + c3*x3, 4) AS correction FROM ft LEFT JOIN co ON co.d = ft.d")
+@query(f"WITH {FEATURE_SQL}, {SOLVED.format(least=7)} SELECT ft.d::VARCHAR AS d, tod::DOUBLE AS tod, round(c1, 5) AS c1, round(c1*x1 + c2*x2 + c3*x3, 4) AS correction FROM ft LEFT JOIN co ON co.d = ft.d")
 def day_ahead_correction(spark, sf):
     """Ridge regression on the days known at each issue; the twin solves it by Cramer's rule."""
     rows = hourly_errors(spark, sf)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loadloom import config as C
 from loadloom.operators import timeaxis as A
-from loadloom.queries.base import AXIS, QUARTER, filled, quarter, query, rounded, table, tidy
+from loadloom.queries.base import AXIS, DAILY, QUARTER, daily, filled, quarter, query, rounded, table, tidy
 from loadloom.sources import files as S
 from loadloom.sources import store
 from loadloom.sources.store import shared_folder
@@ -205,3 +205,24 @@ def forecast_archive_and_export(spark, sf):
     store.export_csv(spark.read.parquet(f"{path}/archive").select("series_id", "issued_at", rounded(F.col("value"), 3).alias("value")), f"{path}/csv", 3)
     back = S.raw_csv(spark, f"{path}/csv/*.csv", ["series_id", "issued_at", "value"])
     return tidy(back.groupBy("series_id", "issued_at").agg(F.count("*").alias("n"), F.sum(S.number("value")).alias("total")), 3)
+
+
+@query(f"""WITH {DAILY}, s AS (SELECT unnest([-364, 0, 364]) AS shift), x AS (SELECT a.d + shift::INT AS d, shift, total FROM daily a, s)
+SELECT d::VARCHAR AS d, round(max(CASE WHEN shift = -364 THEN total END), 2) AS scenario_m364, round(max(CASE WHEN shift = 0 THEN total END), 2) AS scenario_p0, round(max(CASE WHEN shift = 364 THEN total END), 2) AS scenario_p364 FROM x GROUP BY 1""")
+def scenario_columns(spark, sf):
+    """Scenarios as columns, written and read back."""
+    d = daily(spark, sf).select("d", F.explode(F.array(*map(F.lit, (-364, 0, 364)))).alias("shift"), "total").select(F.date_add("d", F.col("shift")).alias("d"), "shift", F.col("total").alias("pred"))
+    path = f"{folder(spark)}/scenarios"
+    store.scenario_table(d, [-364, 0, 364], keys=("d",)).write.parquet(path)
+    return tidy(spark.read.parquet(path), 2)
+
+
+@query("""WITH g AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS v FROM events GROUP BY 1), h AS (SELECT unnest(generate_series(0, 38)) AS h)
+SELECT h::BIGINT AS h, count(*)::BIGINT AS n, round(avg(t.v - s.v), 4) AS error FROM g s, h JOIN g t ON t.ts = s.ts + to_hours(h::BIGINT) GROUP BY 1""")
+def horizon_cube_store(spark, sf):
+    """All issues and horizons up to 38 hours of a persistence forecast, stored by horizon and read back."""
+    g = table(spark, sf, "events").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts")).agg(F.avg("value").alias("v"))
+    laid = g.select("ts", F.col("v").alias("pred"), F.explode(F.sequence(F.lit(0), F.lit(38))).alias("h")).withColumn("target", F.timestamp_seconds(F.unix_timestamp("ts") + F.col("h") * 3600))
+    path = f"{folder(spark)}/cube"
+    store.save_cube(laid.join(g.select(F.col("ts").alias("target"), F.col("v").alias("actual")), "target"), path)
+    return tidy(spark.read.parquet(path).groupBy("h").agg(F.count("*").alias("n"), F.avg(F.col("actual") - F.col("pred")).alias("error")))

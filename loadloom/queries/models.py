@@ -248,7 +248,9 @@ def stream_sessions(spark, sf):
     return tidy(rows.filter(F.col("until") < F.lit(end) - F.expr("interval 1 hour")))
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT event_type AS series_id, ts, avg(value) AS value FROM events GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS k FROM m),
+e AS (SELECT series_id, k, ts, value, value AS y FROM n WHERE k = 1 UNION ALL SELECT n.series_id, n.k, n.ts, n.value, e.y + (1 - exp(-(epoch_us(n.ts) - epoch_us(e.ts)) / 3.6e9::DOUBLE / 6)) * (n.value - e.y) FROM e JOIN n ON n.series_id = e.series_id AND n.k = e.k + 1)
+SELECT series_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, round(value, 4) AS value, round(y, 4) AS ema FROM e""")
 def stream_exponential_filter(spark, sf):
     found = X.filtered(event_stream(spark, sf), "value", 6.0)
     path = X.run_available(found)

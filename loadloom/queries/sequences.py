@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loadloom.operators import windows as W
 from loadloom.plans import correction, scenario
-from loadloom.queries.base import AXIS, DAILY, QUARTER, STAMP, daily, filled, quarter, query, table, tidy
+from loadloom.queries.base import AXIS, DAILY, QUARTER, SOLVED, STAMP, daily, filled, quarter, query, rounded, table, tidy
 
 
 @query(f"""WITH RECURSIVE {AXIS}, n AS (SELECT series_id, ts, value, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS k FROM bothways),
@@ -109,14 +109,17 @@ def online_ridge_1d(spark, sf):
     return tidy(correction.online_slope(e.withColumn("series_id", F.lit("orders")), "x", "y", "d", 2).select("d", "slope"))
 
 
-@query()
+@query(f"""WITH {DAILY}, e AS (SELECT b.d, b.total - a.total AS error FROM daily a JOIN daily b ON b.d = a.d + 364),
+ft AS (SELECT d, error, lag(error, 2) OVER w AS x1, lag(error, 1) OVER w AS x2, avg(error) OVER (ORDER BY d ROWS BETWEEN 8 PRECEDING AND 2 PRECEDING) AS x3 FROM e WINDOW w AS (ORDER BY d)), {SOLVED.format(least=21)}
+SELECT ft.d::VARCHAR AS d, round(c1, 5) AS c1, round(c2, 5) AS c2, round(c3, 5) AS c3, round(c1*x1 + c2*x2 + c3*x3, 2) AS correction FROM ft LEFT JOIN co ON co.d = ft.d""")
 def online_correction(spark, sf):
-    """Three-feature day-ahead correction estimated from the days known at each issue."""
+    """Three-feature day-ahead correction estimated from the days known at each issue; the twin solves it by Cramer's rule."""
     d = daily(spark, sf).select("d", "total")
     e = d.join(d.select(F.date_add("d", 364).alias("d"), F.col("total").alias("pred")), "d").select(F.lit("orders").alias("series_id"), "d", (F.col("total") - F.col("pred")).alias("error"))
     w = Window.partitionBy("series_id").orderBy("d")
     f = e.withColumns({"x1": F.lag("error", 2).over(w), "x2": F.lag("error", 1).over(w), "x3": F.avg("error").over(w.rowsBetween(-8, -2))})
-    return tidy(correction.online(f, ["x1", "x2", "x3"], "error", "d", delay=2, warm_up=21), 6)
+    found = correction.online(f, ["x1", "x2", "x3"], "error", "d", delay=2, warm_up=21)
+    return found.select(F.col("d").cast("string").alias("d"), *(rounded(F.col(f"coef_x{i}"), 5).alias(f"c{i}") for i in (1, 2, 3)), rounded(F.col("correction"), 2).alias("correction"))
 
 
 @query(f"""WITH {DAILY}, s AS (SELECT unnest([-728, -371, -364, -357, 364, 371]) AS shift), x AS (SELECT a.d + shift::INT AS d, shift, a.total FROM daily a, s), m AS (SELECT d, avg(total) AS mean, quantile_cont(total, 0.1) AS lo, quantile_cont(total, 0.9) AS hi, min(total) AS least, max(total) AS most, count(*) AS n FROM x GROUP BY 1)

@@ -66,3 +66,21 @@ def export_csv(df: DataFrame, path: str, places: int = 3) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def save_backtest(forecasts: DataFrame, params: DataFrame, coefs: DataFrame, path: str) -> None:
+    """A backtest's forecasts by issue, its shapes, and the correction's coefficients; a repeated run replaces the same issues."""
+    forecasts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("issue").parquet(f"{path}/forecasts")
+    params.write.mode("overwrite").parquet(f"{path}/shapes")
+    coefs.write.mode("overwrite").parquet(f"{path}/coefficients")
+
+
+def save_cube(cube: DataFrame, path: str) -> None:
+    """Issues and horizons, one folder for each horizon, as corrections read them."""
+    cube.repartition("h").write.mode("overwrite").partitionBy("h").parquet(path)
+
+
+def scenario_table(scenarios: DataFrame, shifts: list[int], value: str = "pred", keys: tuple[str, ...] = ("series_id", "ts")) -> DataFrame:
+    """One column for each scenario, named by its shift."""
+    wide = scenarios.groupBy(*keys).pivot("shift", shifts).agg(F.first(value))
+    return wide.select(*keys, *(F.col(str(k)).alias(f"scenario_{'m' if k < 0 else 'p'}{abs(k)}") for k in shifts))

@@ -15,7 +15,7 @@ from loadloom.plans import backtest, synthetic
 from loadloom.plans import fit as M
 from loadloom.plans.chunks import chunked
 from loadloom.plans.design import NAMES, SHAPES, Layout
-from loadloom.plans.operation import State, changed_pins, edits, pinned, refit
+from loadloom.plans.operation import State, changed_pins, edits, refit
 from loadloom.sources.store import materialised
 
 #: How far a fitted shape may lie from the truth, as a share of its bounds' width. Sun and wind on a heated house, and cooling's
@@ -308,16 +308,22 @@ def test_refit_policy():
 
 def test_pins_and_edits(spark):
     one = spark.createDataFrame([("a",)], "series_id string")
-    row = pinned(M.start(one, LAYOUT), {"tau": 500.0, "gamma": 0.001}).first()
+    row = M.pinned(M.start(one, LAYOUT), {"tau": 500.0, "gamma": 0.001}).first()
     got = dict(zip(NAMES, row["theta"], strict=True))
     assert got["tau"] == 500.0 and got["gamma"] == 0.001 and got["t_b"] == 14.5
     with pytest.raises(ValueError):
-        pinned(M.start(one, LAYOUT), {"nothing": 1.0})
+        M.pinned(M.start(one, LAYOUT), {"nothing": 1.0})
     stored = {"tau": 79.93361234, "w": 0.341}
     assert edits({"tau": 79.9336, "w": 0.341}, stored) == {} and edits({"tau": 79.9337, "w": 0.341}, stored) == {"tau": 79.9337}
     assert changed_pins({"gamma": 0.004}, {"gamma": 0.004}) == [] and changed_pins({"gamma": 0.005}, {"gamma": 0.004}) == ["gamma"]
 
 
+def test_pinned_shapes_stay(year_chunks):
+    row = M.joint(None, LAYOUT, 1.0, passes=4, chunks=year_chunks, pins={"tau": 60.0, "gamma": 0.0}).first()
+    got = dict(zip(NAMES, row["theta"], strict=True))
+    assert got["tau"] == 60.0 and got["gamma"] == 0.0 and got["t_b"] != 14.5
+
+
 def test_forecast_weather(spark):
     from loadloom.plans import weather
 
@@ -349,3 +355,58 @@ def test_predictions_are_remade_at_each_issue(year):
         want = {int(r["ts"].timestamp()) // 3600: r["model"] for r in M.predict(chunked(spliced), params, LAYOUT, 1.0).collect()}
         for h in horizons:
             assert abs(got[s, h] - want[s + h]) < 1e-6, (s, h)
+
+
+def test_gamma_profile_is_flat_at_the_truth(spark, medium):
+    rows = registry.queries()["gamma_profile"](spark, medium).collect()
+    for s in {r["series_id"] for r in rows}:
+        of = {r["gamma"]: r["rmse"] for r in rows if r["series_id"] == s}
+        assert len(of) == 16 and abs(min(of, key=of.get) - synthetic.TRUTH["gamma"]) <= 0.002 and of[0.03] > min(of.values())
+
+
+def test_lag_response_decays(spark, medium):
+    rows = registry.queries()["lag_response"](spark, medium).collect()
+    for s in {r["series_id"] for r in rows}:
+        of = [r["response"] for r in sorted(rows, key=lambda r: r["lag"]) if r["series_id"] == s]
+        assert len(of) == 16 and sum(of) < -1 and of[0] < of[-1]  # colder: more heating, most of it at once
+
+
+def test_lag_irf_against_the_whole_design(spark):
+    from loadloom.queries.diagnostics import lag_irf
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=600)
+    y = np.convolve(x, np.exp(-np.arange(24) / 5), mode="full")[:600] + rng.normal(size=600) * 0.1
+    df = spark.createDataFrame([("a", datetime(2024, 1, 1) + timedelta(hours=k), float(a), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))], "series_id string, ts timestamp, x double, y double")
+    got = [r["response"] for r in lag_irf(df, "x", "y", 24, 6, 10.0).orderBy("lag").collect()]
+    rows = np.array([[x[t - 6 * (k + 1) + 1 : t - 6 * k + 1].mean() for k in range(4)] + [1.0] for t in range(24, 600)])
+    d2 = np.diff(np.eye(4), 2, axis=0)
+    a = rows.T @ rows
+    a[:4, :4] += 10.0 * d2.T @ d2
+    assert np.allclose(got, np.linalg.solve(a, rows.T @ y[24:])[:4], atol=1e-8)
+
+
+def test_response_curves(spark, medium):
+    rows = [r for r in registry.queries()["response_curves"](spark, medium).collect() if r["series_id"] == "ASIA"]
+    of = lambda name: [r["value"] for r in sorted(rows, key=lambda r: r["x"]) if r["curve"] == name]
+    heat, cool = of("heating by temperature"), of("cooling by temperature")
+    assert all(a >= b - 1e-9 for a, b in zip(heat, heat[1:], strict=False)) and all(a <= b + 1e-9 for a, b in zip(cool, cool[1:], strict=False))
+    assert len({r["curve"] for r in rows}) == 11 and min(of("lighting") + of("gloom") + of("capacity")) >= -1e-9
+    assert abs(np.mean(of("heating by time")) - 4) < 0.4 and abs(np.mean(of("cooling by time")) - 3) < 0.5  # the truth
+
+
+def test_forward_validation_and_training_on_forecasts(spark, medium):
+    rows = registry.queries()["forward_validation"](spark, medium).collect()
+    assert len(rows) == 5 * 9 and all(0 <= r["coverage"] <= 1 and r["n"] > 8000 for r in rows)
+    mean = lambda w: np.mean([r["rmse"] for r in rows if r["weather"] == w])
+    assert mean("known") < mean("normal")
+    rows = registry.queries()["training_on_forecasts"](spark, medium).collect()
+    mean = {t: np.mean([r["rmse"] for r in rows if r["training"] == t]) for t in {r["training"] for r in rows}}
+    assert len(rows) == 20 and mean["measured, debiased forecast"] < mean["measured, raw forecast"]
+
+
+def test_intraday_under_forecast_weather(spark, medium):
+    rows = registry.queries()["intraday_forecast_weather"](spark, medium).collect()
+    assert {r["h"] for r in rows} == set(range(39))
+    mean = lambda c: np.mean([r[c] for r in rows])
+    assert mean("rmse_corrected") < mean("rmse")  # a lasting bias of the forecast is learned
