@@ -79,7 +79,9 @@ def test_linear_fit_is_penalised_least_squares(year, year_chunks):
     c, low = np.array(row["coef"]), LAYOUT.lower()
     mild = sum(sum(f >> 4 & 1 for f in r["flags"]) for r in year_chunks.select("flags").collect())
     assert mild == year.filter(F.lit(True)).join(mild_days(year), "date_local").count() > 0
-    slope = (x.T @ (fitted - y) + LAYOUT.penalty(x.T @ x, len(y), mild) @ c) / np.sqrt(np.maximum((x**2).sum(axis=0), 1e-9)) / np.linalg.norm(y)
+    whole = x.T @ x
+    penalty = LAYOUT.penalty(whole, len(y), mild)
+    slope = (x.T @ (fitted - y) + penalty @ c) / np.sqrt(np.maximum(np.diag(whole + penalty), 1e-9)) / np.linalg.norm(y)
     held = np.isfinite(low) & (c <= 1e-9)
     assert (c >= low - 1e-9).all() and np.abs(slope[~held]).max() < 1e-5 and slope[held].min() > -1e-5 and held.any()
 
