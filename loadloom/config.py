@@ -32,6 +32,7 @@ class Period:
     bridges_only: bool = False
 
 
+# Periods of the year with a daily shape of their own
 PERIODS = (
     Period("stedry_den", (("12-24", "12-24"),), 8),
     Period("bozi_hod", (("12-25", "12-25"),), 4),
@@ -43,6 +44,7 @@ PERIODS = (
     Period("most_vanoce", (("12-20", "12-23"), ("01-02", "01-06")), 2, bridges_only=True),
 )
 
+# Structure of base, heating, cooling and generation, weight of the priors, corrections, refit policy
 BASE = {"profile": 12, "holiday": 4, "bridge": 2, "knot_days": 90, "smooth": 500.0, "mild": (14.0, 18.0), "mild_before": (12.5, 19.5), "anchor": 1.0, "night_end": 10.0, "night_knot": 2.0}
 LIGHT_WINDOWS, LIGHT_KNOT = ((3.0, 8.5), (15.0, 23.0)), 1.0
 GLOOM_WINDOW, GLOOM_KNOT = (5.0, 21.0), 2.0
@@ -53,6 +55,7 @@ PRIOR_WEIGHT, PRIOR_RMSE = 0.01, 15.0
 CORRECTION = {"shape_days": 7, "shape_least": 5, "warm_up": 21, "ridge": 1e-3, "last": 4}
 REFIT = {"linear_days": 1, "shape_days": 7, "revised_rows": 96}
 
+# Edges and quantiles of the calibration of sunshine, and the 80 % quantile of a normal error
 CLOUD_EDGES = tuple(float(x) for x in range(0, 101, 10))
 ELEVATION_EDGES = (0.0, 0.1, 0.2, 0.3, 0.45, 0.6, 0.75, 0.9)
 KT_QUANTILES = tuple(round(0.05 + 0.1 * k, 2) for k in range(10))
@@ -72,6 +75,7 @@ class Shape:
     fixed: float | None = None
 
 
+# Bounds, starts and priors of the shapes
 HEATING_SHAPES = (
     Shape("a", 0, 0.05, 0.01),
     Shape("b", 0, 0.03, 0.005),
