@@ -100,6 +100,15 @@ def debias_history(spark, sf):
     return tidy(correction.bias_history(_forecast(spark, sf), "fc", "actual").select("series_id", "d", "h", "bias"))
 
 
+@query(f"""WITH {DAILY}, o AS (SELECT d, n * 1.0 AS a, total / 1000 AS b, lead(total) OVER (ORDER BY d) / 1000 AS y FROM daily)
+SELECT d::VARCHAR AS d, round(sum(a * a) OVER w, 2) AS g_0_0, round(sum(a * b) OVER w, 2) AS g_0_1, round(sum(b * b) OVER w, 2) AS g_1_1, round(sum(a * y) OVER w, 2) AS c_0, round(sum(b * y) OVER w, 2) AS c_1, count(y) OVER w AS known
+FROM o WINDOW w AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)""")
+def running_moments(spark, sf):
+    """What an online regression knows at each day: sums of products up to two days before."""
+    rows = daily(spark, sf).select(F.lit("orders").alias("series_id"), "d", (F.col("n") * 1.0).alias("a"), (F.col("total") / 1000).alias("b"), (F.lead("total").over(Window.orderBy("d")) / 1000).alias("y"))
+    return tidy(W.running_moments(rows, ["a", "b"], "y", ["series_id"], "d", 2).drop("series_id", "a", "b", "y"), 2)
+
+
 @query(f"""WITH {DAILY}, e AS (SELECT b.d, b.total - a.total AS y, lag(b.total - a.total) OVER (ORDER BY b.d) AS x FROM daily a JOIN daily b ON b.d = a.d + 7)
 SELECT d::VARCHAR AS d, round(sum(x * y) OVER w / nullif(sum(x * x) OVER w * 1.001, 0), 4) AS slope FROM e WINDOW w AS (ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 2 DAY PRECEDING)""")
 def online_ridge_1d(spark, sf):
