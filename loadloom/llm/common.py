@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +16,42 @@ from pyspark.sql import functions as F
 ROWS_AT_ONCE = 256
 
 
-#: Tables written by this process, in order, so that a chain of operators can drop those of the links before.
-_written: list[str] = []
+class Tables:
+    """The tables that one call writes. Calls in other threads have scopes of their own."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], []
+
+    def keep(self, path: str) -> None:
+        """A table that the call's result reads: it goes to the scope around, or stays where there is none."""
+        self.kept.append(path)
+
+    def drop(self, path: str) -> None:
+        drop_table(self.spark, path)
+        self.paths.remove(path)
+
+
+_scope: ContextVar[Tables | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[Tables]:
+    """Own what is written inside, in this thread. At the end all is dropped but what is kept; that belongs to the scope around. Results are
+    lazy, so who calls an operator inside such a scope reads its rows there; called outside, the tables that its result reads stay."""
+    own = Tables(spark)
+    token = _scope.set(own)
+    try:
+        yield own
+    except BaseException:
+        own.kept.clear()
+        raise
+    finally:
+        _scope.reset(token)
+        for path in own.paths:
+            if path not in own.kept:
+                drop_table(spark, path)
+        if (around := _scope.get()) is not None:
+            around.paths += own.kept
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,26 +75,11 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 def write_table(df: DataFrame, name: str) -> str:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if (own := _scope.get()) is not None:
+        own.paths.append(path)
     return path
 
 
-def tables_written() -> int:
-    return len(_written)
-
-
-def last_table() -> str:
-    return _written[-1]
-
-
-def drop_since(spark: SparkSession, mark: int, keep: str | None = None) -> None:
-    """Drop the tables written since ``tables_written()`` gave ``mark``, but for one."""
-    for path in _written[mark:]:
-        if path != keep:
-            drop_table(spark, path)
-    _written[mark:] = [keep] if keep in _written[mark:] else []
-
-
 def open_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path)
 
@@ -87,6 +108,15 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+#: Each byte's stand-in in words of letters: A-Z in lower case, other letters and all bytes beyond ASCII themselves, the rest a space.
+_PLAIN = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+
+
+def plain_words(text: bytes) -> list[bytes]:
+    """Runs of `[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]` in UTF-8, only A-Z lower-cased."""
+    return text.translate(_PLAIN).split()
+
+
 def row_key(columns: list[str]) -> Column:
     """A 64-bit key of a row's content, for joining a decision back to its row beside doc_id."""
     return F.xxhash64(*columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadloom.llm.common import ascii_lower, drop_since, last_table, open_table, row_key, same, shared_table, tables_written, write_table
+from loadloom.llm.common import ascii_lower, open_table, row_key, same, shared_table, tables, write_table
 
 WINDOW = 13
 #: A word: a run of a-z, 0-9 and characters beyond ASCII.
@@ -71,11 +71,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int
     Null or empty text: no words. Null item_id: hits words and names no item. Items without words: no window. Null doc_id: stays
     null. Repeated rows: each in the result; repeated items: one window. Empty tables: no rows, or nothing hit. Other columns are ignored.
     """
-    mark = tables_written()
-    windows = shared_table(item_windows(benchmark), "benchmark-windows")
-    few = windows.count() <= broadcast_windows
-    prefix = shared_table(prefixes(windows, docs), "benchmark-prefixes")
-    drop_since(docs.sparkSession, mark, keep=last_table())
+    with tables(docs.sparkSession) as own:
+        windows = shared_table(item_windows(benchmark), "benchmark-windows")
+        few = windows.count() <= broadcast_windows
+        prefix = shared_table(prefixes(windows, docs), "benchmark-prefixes")
+        own.keep(own.paths[-1])
     rows = docs.select("doc_id", row_key(["text"]).alias("text_key"), words("text").alias("words"), F.monotonically_increasing_id().alias("row"))
     found = occurrences(rows, prefix, few)
     hit = F.col("position") > 0
@@ -100,10 +100,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with all columns; repeated rows stay repeated. Other cases as in ``contamination``."""
-    mark = tables_written()
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    bad = open_table(docs.sparkSession, write_table(bad, "contaminated"), bad)
-    drop_since(docs.sparkSession, mark, keep=last_table())
+    with tables(docs.sparkSession) as own:
+        bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
+        own.keep(path := write_table(bad, "contaminated"))
+        bad = open_table(docs.sparkSession, path, bad)
     rows = docs.select(F.struct("*").alias("_row"))
     of_row = same(F.col("_row.doc_id"), F.col("_bad_id")) & same(row_key(["_row.text"]), F.col("_bad_key"))
     return rows.join(bad, of_row, "left_anti").select("_row.*")

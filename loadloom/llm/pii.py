@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadloom.llm import spans as S
-from loadloom.llm.common import arrow_map, drop_since, last_table, open_table, tables_written, write_table
+from loadloom.llm.common import arrow_map, open_table, tables, write_table
 
 
 @dataclass(frozen=True)
@@ -125,13 +125,15 @@ def sanitise(docs: DataFrame, rule: Disclosure | None = None) -> DataFrame:
     """
     rule = rule or Disclosure()
     spark = docs.sparkSession
-    rows = found_rows(docs, rule).withColumn("row", F.monotonically_increasing_id())
-    table = open_table(spark, write_table(rows, "pii-rows"), rows)
-    held, mark = table.filter(F.size("entities") > 0), tables_written()
-    strong = disclosing_pairs(docs, held, table.count(), rule)
-    strong = strong.groupBy("term").agg(F.collect_list(F.struct("entity", "strength")).alias("who"))
-    strong = open_table(spark, write_table(strong, "pii-terms"), strong)
-    drop_since(spark, mark, keep=last_table())
+    with tables(spark) as own:
+        rows = found_rows(docs, rule).withColumn("row", F.monotonically_increasing_id())
+        own.keep(path := write_table(rows, "pii-rows"))
+        table = open_table(spark, path, rows)
+        held = table.filter(F.size("entities") > 0)
+        strong = disclosing_pairs(docs, held, table.count(), rule)
+        strong = strong.groupBy("term").agg(F.collect_list(F.struct("entity", "strength")).alias("who"))
+        own.keep(path := write_table(strong, "pii-terms"))
+        strong = open_table(spark, path, strong)
     # every occurrence of a term in the documents that hold an entity it discloses
     by = F.filter("who", lambda x: F.array_contains("entities", x.entity))
     each = held.select("row", "entities", F.inline("terms")).join(side(strong, rule), "term").select("row", "start", "end", by.alias("by"))

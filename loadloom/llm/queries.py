@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadloom.llm import chat, decontaminate, line_dedup, packing, pii, quality_model, quality_rules, secrets, simhash, token_counts
+from loadloom.llm import alignment, chat, decontaminate, divergence, language_id, line_dedup, packing, pii, quality_model, quality_rules, secrets, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,19 @@ def op10_curve_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("ids")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), a, b)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", F.round("score", 9).alias("score"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontaminate, op2_chat_format, op3_sanitise, op4_simhash, op5_quality_rules, op6_quality_classifier, op7_token_counts, op8_line_dedup, op9_secret_scan, op10_curve_pack, pipeline)
+    found = (op1_decontaminate, op2_chat_format, op3_sanitise, op4_simhash, op5_quality_rules, op6_quality_classifier, op7_token_counts, op8_line_dedup, op9_secret_scan, op10_curve_pack, op11_source_divergence, op12_token_alignment, op13_language_id, pipeline)
     return {f.__name__: f for f in found}
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadloom.llm.common import arrow_map, drop_since, drop_table, last_table, open_table, row_key, same, tables_written, write_table
+from loadloom.llm.common import arrow_map, drop_table, open_table, row_key, same, tables, write_table
 
 BYTES = 8
 #: Fingerprints at most this many bits apart are linked. They differ in as many bytes at most, so at least half of the 8 agree.
@@ -187,16 +187,17 @@ def near_duplicates(docs: DataFrame, list_bound: int = LIST_BOUND) -> DataFrame:
     Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = fingerprints(docs)
-    table = open_table(spark, write_table(rows, "simhash-prints"), rows)
-    own = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key"))
-    distinct = table.groupBy("print").agg(own.alias("least"))
-    mark = tables_written()
-    distinct = open_table(spark, write_table(distinct, "simhash-distinct"), distinct)
-    members = components(links(distinct.select("print"), list_bound))
-    rooted = distinct.join(members, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    rooted = open_table(spark, write_table(rooted, "simhash-rooted"), rooted)
-    drop_since(spark, mark, keep=last_table())
+    with tables(spark) as own:
+        rows = fingerprints(docs)
+        own.keep(prints := write_table(rows, "simhash-prints"))
+        table = open_table(spark, prints, rows)
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key"))
+        distinct = table.groupBy("print").agg(least.alias("least"))
+        distinct = open_table(spark, write_table(distinct, "simhash-distinct"), distinct)
+        members = components(links(distinct.select("print"), list_bound))
+        rooted = distinct.join(members, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+        own.keep(path := write_table(rooted, "simhash-rooted"))
+        rooted = open_table(spark, path, rooted)
     heads = rooted.groupBy("root").agg(F.min("least").alias("head"))
     of_print = rooted.join(heads, "root").select("print", "head")
     first = same(F.col("doc_id"), F.col("head.doc_id")) & same(F.col("text_key"), F.col("head.text_key"))
@@ -207,10 +208,11 @@ def near_duplicates(docs: DataFrame, list_bound: int = LIST_BOUND) -> DataFrame:
 def keep_first(docs: DataFrame, list_bound: int = LIST_BOUND) -> DataFrame:
     """One document of each near-duplicate group, with all columns: that of the smallest id, then the smallest hash of its text. Repeated
     rows are one document; where they differ in other columns, the one whose JSON sorts first stays. Other cases as in ``near_duplicates``."""
-    spark, mark = docs.sparkSession, tables_written()
-    firsts = near_duplicates(docs, list_bound).filter("first").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
-    firsts = open_table(spark, write_table(firsts, "simhash-first"), firsts)
-    drop_since(spark, mark, keep=last_table())
+    spark = docs.sparkSession
+    with tables(spark) as own:
+        firsts = near_duplicates(docs, list_bound).filter("first").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
+        own.keep(path := write_table(firsts, "simhash-first"))
+        firsts = open_table(spark, path, firsts)
     kept = firsts.distinct()
     rows = docs.select(F.struct("*").alias("_row"))
     of_row = same(F.col("_row.doc_id"), F.col("_kept_id")) & same(row_key(["_row.text"]), F.col("_kept_key"))

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, each on what its predecessor kept, and the whole run."""
 
 import collections
+import os
 import re
 import zlib
 
@@ -145,9 +146,14 @@ def test_stages_on_awkward_rows(spark, awkward, k):  # noqa: F811
 def test_run_keeps_no_tables_of_earlier_stages(spark, awkward):  # noqa: F811
     from loadloom.llm import common
 
-    before = common.tables_written()
-    assert P.run(spark, awkward).count() > 0
-    assert all(x.rsplit("/", 1)[1].startswith(("pipeline-decontamination", "packed")) for x in common._written[before:])
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with common.tables(spark) as own:
+        assert P.run(spark, awkward).count() > 0
+        left = set(os.listdir(folder)) - before
+        assert left and all(x.startswith(("pipeline-decontamination", "packed")) for x in left)
+        assert {x.rsplit("/", 1)[1] for x in own.paths} == left
+    assert set(os.listdir(folder)) == before
 
 
 def test_run_of_empty_tables(spark, empty):  # noqa: F811
