@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loadloom.llm import decontaminate, line_dedup, packing, quality_rules, simhash
-from loadloom.llm.common import drop_since, last_table, shared_table, tables_written
+from loadloom.llm.common import shared_table, tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +57,16 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces that the stages make of the documents of ``sf_dir``. A stage's tables are dropped once its result is written, and the
     result of the stage before it too; those of the last stage remain, as its rows are read from them."""
-    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables_written()
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = shared_table(docs, f"pipeline-{name}")
-            drop_since(spark, mark, keep=last_table())
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    with tables(spark) as run_tables:
+        for name, stage in STAGES[:-1]:
+            with tables(spark) as own:
+                docs = shared_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+                own.keep(own.paths[-1])
+            if before:
+                run_tables.drop(before)
+            before = run_tables.paths[-1]
+        docs = STAGES[-1][1](spark, docs, sf_dir)
+        for path in run_tables.paths:
+            run_tables.keep(path)
     return docs
