@@ -109,20 +109,21 @@ def step_hours(df: DataFrame, rows: int = 200) -> DataFrame:
     return steps.filter(F.col("n") <= rows).groupBy(SERIES).agg((F.median("s") / 3600).alias("step_hours"))
 
 
-def hours_to_slots(hourly: DataFrame, slots: DataFrame, values: list[str]) -> DataFrame:
+def hours_to_slots(hourly: DataFrame, slots: DataFrame, values: list[str], by: list[str] | None = None) -> DataFrame:
     """Linear interpolation of hourly means to quarter hours, between the middles of the intervals; held beyond the ends.
 
     Each middle bounds a segment to the next; a slot finds its segment by the hour half an hour before its own middle, an equality.
     """
-    w = Window.partitionBy(SERIES).orderBy("ts")
-    segment = hourly.select(SERIES, F.col("ts").alias("hour"), *(F.col(v).alias(f"{v}_0") for v in values), *(F.lead(v).over(w).alias(f"{v}_1") for v in values), F.lead("ts").over(w).alias("next"))
-    ends = hourly.groupBy(SERIES).agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    by = [SERIES] if by is None else by
+    w = Window.partitionBy(*by).orderBy("ts")
+    segment = hourly.select(*by, F.col("ts").alias("hour"), *(F.col(v).alias(f"{v}_0") for v in values), *(F.lead(v).over(w).alias(f"{v}_1") for v in values), F.lead("ts").over(w).alias("next"))
+    ends = hourly.groupBy(*by).agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
     at = F.unix_timestamp("ts") + 450 - 1800
     hour = F.timestamp_seconds(at - at % 3600)
-    keyed = slots.join(ends, SERIES).withColumn("hour", F.greatest(F.least(hour, F.col("_last")), F.col("_first"))).withColumn("_at", at)
+    keyed = slots.join(ends, by).withColumn("hour", F.greatest(F.least(hour, F.col("_last")), F.col("_first"))).withColumn("_at", at)
     share = F.greatest(F.least((F.col("_at") - F.unix_timestamp("hour")) / (F.unix_timestamp("next") - F.unix_timestamp("hour")), F.lit(1.0)), F.lit(0.0))
     blend = {v: F.when(F.col("next").isNull(), F.col(f"{v}_0")).otherwise(F.col(f"{v}_0") + (F.col(f"{v}_1") - F.col(f"{v}_0")) * share) for v in values}
-    joined = keyed.join(segment, [SERIES, "hour"], "left")
+    joined = keyed.join(segment, [*by, "hour"], "left")
     return joined.select(*slots.columns, *(c.alias(v) for v, c in blend.items()))
 
 

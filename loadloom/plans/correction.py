@@ -10,14 +10,15 @@ from loadloom import config as C
 from loadloom.operators.timeaxis import SERIES, local_parts
 
 
-def debias(df: DataFrame, forecast: str, actual: str, cutoff: Column, days: int = 30, floor: float | None = None) -> DataFrame:
+def debias(df: DataFrame, forecast: str, actual: str, cutoff: Column, days: int = 30, floor: float | None = None, by: list[str] | None = None) -> DataFrame:
     """Subtract the mean error of each local hour over the days before the cutoff; a table of 24 rows a series is joined back."""
+    by = [SERIES] if by is None else by
     rows = local_parts(df).withColumn("_h", F.floor("tod"))
     past = rows.filter((F.col("ts") < cutoff) & (F.col("ts") >= cutoff - F.expr(f"interval {days} days")))
-    bias = past.groupBy(SERIES, "_h").agg(F.avg(F.col(forecast) - F.col(actual)).alias("_bias"))
+    bias = past.groupBy(*by, "_h").agg(F.avg(F.col(forecast) - F.col(actual)).alias("_bias"))
     fixed = F.col(forecast) - F.coalesce("_bias", F.lit(0.0))
     fixed = fixed if floor is None else F.greatest(fixed, F.lit(floor))
-    return rows.join(bias, [SERIES, "_h"], "left").withColumn(forecast, fixed).select(*df.columns)
+    return rows.join(bias, [*by, "_h"], "left").withColumn(forecast, fixed).select(*df.columns)
 
 
 def bias_history(df: DataFrame, forecast: str, actual: str, days: int = 30, least: int = 7, delay: int = 2) -> DataFrame:

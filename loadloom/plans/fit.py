@@ -33,6 +33,7 @@ COOLING_NAMES = tuple(s.name for s in (*C.COOLING_SHAPES, *C.PV_SHAPES))
 STATE = "theta array<double>, coef array<double>, cost double, rmse double, n long, s array<double>, g array<double>"
 PARAMS = f"{SERIES} string, fold string, span int, until long, since long, skip_first int, skip_last int, cuts array<long>, theta array<double>, coef array<double>, rmse double, n long, damping double, best struct<{STATE}>"
 FAR = 1 << 60
+BEFORE_FORECAST = tuple(f"before_{c}" for c in FORECAST[: len(WEATHER)])
 
 
 @dataclass(frozen=True)
@@ -80,7 +81,8 @@ def gathered(params: DataFrame) -> DataFrame:
 
 def read_chunk(batch: pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
     get = lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
-    return {c: get(c) for c in (*FIELDS, *FORECAST, *(f"before_{x}" for x in WEATHER))}
+    lately = [c for c in BEFORE_FORECAST if c in batch.schema.names]
+    return {c: get(c) for c in (*FIELDS, *FORECAST, *(f"before_{x}" for x in WEATHER), *lately)}
 
 
 def with_forecast(fields: dict[str, np.ndarray], cutoff: int) -> dict[str, np.ndarray]:
@@ -89,6 +91,13 @@ def with_forecast(fields: dict[str, np.ndarray], cutoff: int) -> dict[str, np.nd
     for x in (*WEATHER, "gloom"):
         told = fields[f"forecast_{x}"]
         out[x] = np.where((fields["t"] >= cutoff) & ~np.isnan(told), told, fields[x])
+    if len(fields["t"]) > 1 and fields["t"][0] > cutoff:  # a horizon that began in the chunk before
+        for x in WEATHER:
+            lately, past = fields.get(f"before_forecast_{x}", ()), fields[f"before_{x}"].copy()
+            if len(lately) and len(lately) <= len(past):
+                at = fields["t"][0] - (fields["t"][1] - fields["t"][0]) * np.arange(len(lately), 0, -1)
+                past[-len(lately) :] = np.where((at >= cutoff) & ~np.isnan(lately), lately, past[-len(lately) :])
+            out[f"before_{x}"] = past
     return out
 
 
@@ -405,7 +414,8 @@ def predict(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: fl
     names = predicted_names(layout)
     extra = ["until", "first", "last"] if ahead else []
     own = params.groupBy(SERIES).agg(F.collect_list(F.struct("fold", "span", "theta", "coef", *extra)).alias("folds"))
-    rows = chunks.select(SERIES, *FIELDS, *FORECAST, *(f"before_{x}" for x in WEATHER)).join(own, SERIES)
+    lately = BEFORE_FORECAST if ahead else ()
+    rows = chunks.select(SERIES, *FIELDS, *FORECAST, *(f"before_{x}" for x in WEATHER), *lately).join(own, SERIES)
     kept = ["tod", "load", "temp", "sun"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

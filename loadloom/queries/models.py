@@ -202,7 +202,8 @@ def weather_cleaned_load(spark, sf):
 
 @query()
 def production_forecast(spark, sf):
-    """From the end of the data to 39 hours ahead: the refit decision, forecast weather, the model's parts and the correction by horizon."""
+    """From the end of the data to 39 hours ahead under the weather that came: the refit decision, the model's parts and the correction by horizon.
+    (With weather as it was foreseen: ``foreseen_forecast``.)"""
     rows = quarters(spark, sf)
     end = F.lit("2023-11-20 09:00:00").cast("timestamp")
     horizon = F.col("ts") < end + F.expr("interval 39 hours")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loadloom.queries import base, calendars, diagnostics, files, models, relational, scalars, sequences, time  # noqa: F401  they register themselves
+from loadloom.queries import base, calendars, diagnostics, files, foreseen, models, relational, scalars, sequences, time  # noqa: F401  they register themselves
 
 
 def flagship(spark, sf_dir):

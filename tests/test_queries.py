@@ -32,7 +32,7 @@ def ordered(columns, rows):
 
 #: Model queries without a twin, which test_models.py runs and judges by their truth.
 JUDGED_THERE = {
-    "d1_backtest", "forward_validation", "gamma_profile", "intraday_forecast_weather", "intraday_horizons", "joint_fit_direct", "joint_fit_params", "lag_response", "leave_out_folds",
+    "d1_backtest", "foreseen_forecast", "foreseen_horizons", "forward_validation", "gamma_profile", "intraday_forecast_weather", "intraday_horizons", "joint_fit_direct", "joint_fit_params", "lag_response", "leave_out_folds",
     "production_forecast", "response_curves", "scenario_months", "scenario_year", "training_on_forecasts", "weather_cleaned_load",
 }
 
