@@ -14,6 +14,7 @@ from loadloom.plans.chunks import chunked
 from loadloom.plans.design import Layout
 from loadloom.queries.base import query, table, tidy
 from loadloom.sources.store import exists, written
+from loadloom.streaming import arrivals as A
 from loadloom.streaming import series as X
 
 #: Two years of quarter hours for each region; the backtest rolls over the second one.
@@ -272,3 +273,48 @@ def stream_forecast_on_arrival(spark, sf):
         return last.select(SERIES, "issued_at", steps.alias("ts"), "pred")
 
     return tidy(spark.read.parquet(X.on_arrival(event_stream(spark, sf), ahead)).withColumn("issued_at", F.col("issued_at").cast("timestamp")).select(SERIES, "issued_at", "ts", "pred"))
+
+
+#: Hourly means of the events, the hour's mean of their series as a model, and its values of the next six hours.
+HOURLY = """v AS (SELECT event_type AS series_id, (epoch(date_trunc('hour', ts)) // 3600)::BIGINT AS k, avg(value) AS load FROM events GROUP BY ALL), m AS (SELECT series_id, k % 24 AS h, avg(load) AS model FROM v GROUP BY ALL)"""
+
+
+@query(f"""WITH {HOURLY}, r AS (SELECT v.series_id, k, load, load - model AS e FROM v JOIN m ON m.series_id = v.series_id AND m.h = v.k % 24),
+f AS (SELECT *, CASE WHEN count(e) OVER l >= 2 AND count(e) OVER d >= 12 THEN avg(e) OVER l END AS x1, CASE WHEN count(e) OVER l >= 2 AND count(e) OVER d >= 12 THEN avg(e) OVER d END AS xday FROM r
+ WINDOW l AS (PARTITION BY series_id ORDER BY k RANGE BETWEEN 3 PRECEDING AND CURRENT ROW), d AS (PARTITION BY series_id ORDER BY k RANGE BETWEEN 23 PRECEDING AND CURRENT ROW)),
+i AS (SELECT f.series_id, f.k, a.h, f.x1, f.xday, f.k + 1 + a.h AS t, m.model AS told FROM f, (SELECT unnest(generate_series(0, 5)) AS h) a JOIN m ON m.series_id = f.series_id AND m.h = (f.k + 1 + a.h) % 24),
+p AS (SELECT i.series_id, i.h, i.t AS k, x1 * x1 AS s0, x1 * xday AS s1, xday * xday AS s2, x1 * (v.load - told) AS s3, xday * (v.load - told) AS s4 FROM i JOIN v ON v.series_id = i.series_id AND v.k = i.t WHERE x1 IS NOT NULL),
+s AS (SELECT i.*, coalesce(sum(s0), 0) AS s0, coalesce(sum(s1), 0) AS s1, coalesce(sum(s2), 0) AS s2, coalesce(sum(s3), 0) AS s3, coalesce(sum(s4), 0) AS s4, count(s0) AS n FROM i LEFT JOIN p ON p.series_id = i.series_id AND p.h = i.h AND p.k <= i.k GROUP BY ALL),
+c AS (SELECT *, s0 + 0.001 * (s0 + s2) / 2 + 1e-12 AS a, s2 + 0.001 * (s0 + s2) / 2 + 1e-12 AS d FROM s), o AS (SELECT *, CASE WHEN x1 IS NOT NULL AND n >= 21 THEN (s3 * d - s1 * s4) / (a * d - s1 * s1) * x1 + (a * s4 - s1 * s3) / (a * d - s1 * s1) * xday ELSE 0 END AS correction FROM c)
+SELECT series_id, strftime(make_timestamp((k + 1) * 3600000000), '%Y-%m-%d %H:%M:%S') AS issued_at, strftime(make_timestamp(t * 3600000000), '%Y-%m-%d %H:%M:%S') AS ts, h::BIGINT AS h, round(told, 4) AS model, round(correction, 4) AS correction, round(told + correction, 4) AS pred FROM o""")
+def stream_model_forecast(spark, sf):
+    """X6: six hours ahead from every hour of the events as it arrives, by a model of the hour and a correction learned from forecasts that came
+    true, in a stream of several triggers."""
+    load = resample(event_stream_rows(spark, sf), 60, ["value"]).select(SERIES, (F.unix_timestamp("ts") / 3600).cast("long").alias("k"), F.col("value").alias("load"))
+    hourly = load.groupBy(SERIES, F.pmod("k", F.lit(24)).alias("_h")).agg(F.avg("load").alias("model"))
+    ring = F.map_from_entries(F.collect_list(F.struct("_h", "model")))
+    profile = hourly.groupBy(SERIES).agg(ring.alias("_p"))  # 24 values a series
+    files = X.in_order(load, "k", "arrivals", 4)
+    came = spark.readStream.schema("series_id string, k long, load double").option("maxFilesPerTrigger", 1).parquet(files)
+    of = lambda k: F.element_at("_p", F.pmod(k, F.lit(24)))
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.coalesce(of(F.col("k") + i), F.lit(float("nan"))))
+    rows = came.join(profile, SERIES).select(SERIES, "k", "load", of(F.col("k")).alias("model"), ahead.alias("ahead"))
+    found = A.forecasts(rows, 3600, 6, 24, patience=1)  # hours come in order, so a missing one is given up at once
+    return tidy(spark.read.schema(found.schema).option("recursiveFileLookup", True).parquet(X.run_available(found)))
+
+
+def event_stream_rows(spark, sf):
+    return table(spark, sf, "events").select(F.col("event_type").alias(SERIES), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+@query("""SELECT event_type AS series_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS ts, round(avg(value), 4) AS value, count(value)::BIGINT AS n FROM events GROUP BY 1, date_trunc('hour', ts)""")
+def stream_late_rows(spark, sf):
+    """X1 with T15: events that come out of order, in four files with two hours of patience. What the watermark drops comes back by the side path:
+    the windows are those of all rows."""
+    rows = event_stream_rows(spark, sf)
+    mixed = X.in_order(rows, F.pmod(F.xxhash64("ts", "value"), F.lit(4)), "late", 4)
+    came = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(mixed)
+    closed, kept_rows = A.with_late_path(came, "value", "1 hour", "2 hours")
+    read = lambda path, schema: spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+    found = A.settled(read(closed, f"{SERIES} string, ts timestamp, value double, n long"), read(kept_rows, rows.schema), "value", 3600)
+    return tidy(found.select(SERIES, "ts", "value", "n"))
