@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from hashlib import blake2b
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,11 +19,14 @@ from loadloom.llm.common import arrow_map, open_table, tables, write_table
 class Disclosure:
     """Terms are runs of at least ``min_letters`` letters, anywhere in a document that holds an entity.
 
-    An entity is an exact value and, by ``groups``, what values have in common: the ``owner`` (letters of an email's local part), the
-    ``domain`` (of an email; the first three parts of an ip) and the ``kind``. Single values are mostly too rare to be judged.
+    An entity is an exact value and, by ``groups``, what values have in common: the ``owner`` (letters of an email's local part) and the
+    ``domain`` (of an email; the first three parts of an ip). Single values are mostly too rare to be judged.
 
     A term t discloses an entity e by PMI(t, e) / IC(e), 1 where t stands in no document without e. From ``generalise`` on it is
-    generalised, from ``remove`` on removed. Pairs seen in fewer than ``support`` documents are no evidence.
+    generalised, from ``remove`` on removed. Pairs seen in fewer than ``support`` documents are no evidence; nor are those that chance
+    may have made: if the n_t documents of t were drawn from all n at random, the chance that a share a of them or more holds e, which
+    n_e documents hold, is at most exp(-n_t KL(a, n_e / n)) (Chernoff), and over all pairs of an entity and a term that were looked at it
+    has to stay under ``chance``. An entity in every document is disclosed by nothing.
     ``broadcast_terms`` bounds what is broadcast; beyond it the terms are joined by a shuffle.
     """
 
@@ -31,11 +35,12 @@ class Disclosure:
     support: int = 3
     generalise: float = 0.85
     remove: float = 0.999
+    chance: float = 0.05
     broadcast_terms: int = 500_000
 
 
 #: The rule of the registered query.
-GROUPED = Disclosure(groups=("owner", "domain", "kind"))
+GROUPED = Disclosure(groups=("owner", "domain"))
 
 _SPAN = "struct<kind:string,start:bigint,end:bigint>"
 _TERM = "struct<term:string,start:bigint,end:bigint>"
@@ -50,7 +55,7 @@ def entity_keys(kind: str, value: str, groups: tuple[str, ...]) -> list[int]:
     """The value itself, then the groups that it is in."""
     host = value.rpartition("@")[2] if kind == "email" else value.rpartition(".")[0]
     owner = re.sub(r"[^a-z]", "", value.rpartition("@")[0].lower()) if kind == "email" else ""
-    shared = {"owner": owner, "domain": host.lower() if kind in ("email", "ip") else "", "kind": kind}
+    shared = {"owner": owner, "domain": host.lower() if kind in ("email", "ip") else ""}
     named = [f"{g}:{kind}:{shared[g]}" for g in groups if shared[g]]
     return [entity_key(kind, value), *(int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in named)]
 
@@ -103,6 +108,8 @@ def disclosing_pairs(docs: DataFrame, rows: DataFrame, n_docs: int, rule: Disclo
     pairs = held.select("entity", "n_entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.max("n_entity").alias("n_entity"))
     together = pairs.filter(F.col("n_both") >= rule.support)
     near = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    near = open_table(spark, write_table(near, "pii-near"), near)
+    looked_at = max(counts.count(), 1) * max(near.count(), 1)
     content = F.log(n / F.col("n_entity"))
     strength = lambda n_term: F.log(n * F.col("n_both") / (n_term * F.col("n_entity"))) / content
     # a term stands in at least as many documents as near entities, so a pair that is too weak by that count is too weak
@@ -113,7 +120,11 @@ def disclosing_pairs(docs: DataFrame, rows: DataFrame, n_docs: int, rule: Disclo
     in_docs = docs.select(words.alias("term")).join(side(terms, rule), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_seen"))
     counted = possible.join(in_docs, "term", "left")
     n_term = F.greatest(F.coalesce("n_seen", F.lit(0)), "n_near")
-    return counted.select("entity", "term", strength(n_term).alias("strength")).filter(F.col("strength") >= rule.generalise)
+    share, base = F.col("n_both") / n_term, F.col("n_entity") / n
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    evidence = n_term * (share * F.log(share / base) + rest)
+    least = log(looked_at / rule.chance)
+    return counted.filter((evidence >= least) & (strength(n_term) >= rule.generalise)).select("entity", "term", strength(n_term).alias("strength"))
 
 
 def sanitise(docs: DataFrame, rule: Disclosure | None = None) -> DataFrame:

@@ -282,7 +282,7 @@ def test_op7(spark, folder):
 
 @pytest.mark.parametrize("sites", [2, 5])
 def test_op8(spark, folder, sites):
-    from loadloom.llm.line_dedup import dedup_lines
+    from loadloom.llm.line_dedup import MOST_SHARED, dedup_lines
 
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
@@ -296,7 +296,7 @@ def test_op8(spark, folder, sites):
         return {x for x, s in found.items() if len(s) >= sites}
 
     shared = spread(rows, None)
-    voters = [r for r in rows if sum(len(x) for x in (r[1] or "").split("\n") if x in shared) <= 0.5 * len(r[1] or "")]
+    voters = [r for r in rows if sum(len(x) for x in (r[1] or "").split("\n") if x in shared) <= MOST_SHARED * len(r[1] or "")]
     boilerplate = spread(voters, shared)
     want = collections.Counter()
     for d, t, _ in rows:
@@ -366,6 +366,7 @@ def test_op3_terms_that_disclose_an_entity(spark):
     from loadloom.llm.pii import Disclosure, sanitise
 
     rule = Disclosure(support=2)
+    evident = lambda n, n_t, n_e, both: n_t * (both / n_t * math.log(both / n_t * n / n_e) + (0 if both == n_t else (1 - both / n_t) * math.log((1 - both / n_t) / (1 - n_e / n))))
     texts = [f"contact zephyrine at ann@x.org about words{k} common shared" for k in range(3)] + [f"common shared other{k} bob{k}@y.org near" for k in range(9)]
     texts += ["common words shared by everyone, and halfway"] * 20 + ["halfway carl@z.org halfway"] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -375,14 +376,16 @@ def test_op3_terms_that_disclose_an_entity(spark):
     n_half = sum("halfway" in t for t in texts)
     strength = math.log(len(texts) * 3 / (n_half * 3)) / math.log(len(texts) / 3)
     assert ("generalise" in got[len(texts) - 1]) == (strength >= rule.generalise)
+    assert evident(len(texts), 3, 3, 3) > math.log(2 * 20 / rule.chance)  # two entities and at most 20 terms are looked at
 
 
 def test_op3_adds_spans_with_the_rule_of_the_query(spark, tmp_path):
-    """Values in one document each; a term of the heading, far from them, and once more at the end."""
+    """Values in one document each, of one network; a term of the heading, far from them, and once more at the end. Terms that stand as
+    often without the network as with it stay, and so do those of values that have nothing in common."""
     far = "common words of every page " * 10
-    texts = [f"Gateway page\n{far}\nhost 10.0.{k}.7 answers\n{far} gateway" for k in range(5)] + [f"Other page\n{far}"] * 35
+    texts = [f"Gateway page\n{far}\nhost 10.0.3.{k} answers\n{far} gateway" for k in range(8)] + [f"Other page\n{far}host"] * 60 + [f"Single page at 10.1.{k}.9\n{far}" for k in range(8)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: set(r["spans"].split(",")) for r in Q.op3_sanitise(spark, str(tmp_path)).collect()}
     for k, t in enumerate(texts):
-        want = {f"{kind}:{m.start()}:{m.end()}" for kind, x in (("ip", r"10\.0\.[0-9]\.7"), ("remove", "(?i)gateway|host|answers")) for m in re.finditer(x, t)}
+        want = {f"{kind}:{m.start()}:{m.end()}" for kind, x in (("ip", r"10\.[01]\.[0-9]\.[0-9]"), ("remove", "(?i)gateway|answers")) for m in re.finditer(x, t)}
         assert got[k] == (want or {""})

@@ -206,12 +206,31 @@ def test_op3_many_entities_take_linear_time(spark, tmp_path):
     assert got[1] == 10_000 and time.time() - began < 60
 
 
+def test_op3_marks_planted_owners_and_nothing_by_chance(spark, tmp_path):
+    """Texts of independent words, half of them with an address of their own: at one domain, at two hundred, at one for each; and an owner's
+    project, named wherever the owner is."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(4000)]
+    for name, domain in (("one", lambda k: "mail.org"), ("many", lambda k: f"d{k % 200}.org"), ("own", lambda k: f"d{k}.org")):
+        texts = [" ".join(rng.choices(vocabulary, k=60)) + (f" u{'abcdefghij'[k % 10]}{k}x{'klmnop'[k // 10 % 6]}@{domain(k)}" if k % 2 else "") for k in range(2000)]
+        texts += [" ".join(rng.choices(vocabulary, k=40)) + f" Zephyrine wrote to jane.roe{k}@{'mail' if k % 2 else 'post'}.net " + " ".join(rng.choices(vocabulary, k=20)) for k in range(6)]
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        found = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith(("remove", "generalise"))] for r in Q.op3_sanitise(spark, f"{tmp_path}/{name}").collect()}
+        for k in range(2000, 2006):
+            at = texts[k].index("Zephyrine")
+            assert f"remove:{at}:{at + 9}" in found[k]
+        assert sum(len(found[k]) for k in range(2000)) <= 3
+
+
 def test_op3_adds_spans_on_the_tables_as_brute_force_does(spark, medium):
-    """Strengths of all pairs of a term and an entity, or group of them, from sets of whole documents."""
+    """Strengths of all pairs of a term and an entity, or group of them, from sets of whole documents; with some planted ones."""
     from loadloom.llm import pii
 
     rule = pii.GROUPED
-    texts = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{medium}/documents.parquet").collect()]
+    table = spark.read.parquet(f"{medium}/documents.parquet")
+    planted = [(10**6 + k, f"Zephyrine and others of wobbleton wrote to jane{k}@{x}.example.org today" + " and the of" * k) for k in range(12) for x in ["abc"[k % 3]]]
+    table = table.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
+    texts = [(r["doc_id"], r["text"] or "") for r in table.collect()]
     found = {d: S.personal(t) for d, t in texts}
     held, near, seen = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set)
     places = {}
@@ -228,14 +247,20 @@ def test_op3_adds_spans_on_the_tables_as_brute_force_does(spark, medium):
                 held[e].add(d)
     n, want = len(texts), {}
     strong = collections.defaultdict(dict)
-    for e, docs in held.items():
-        if len(docs) < rule.support or len(docs) == n:
+    judged = [e for e, docs in held.items() if len(docs) >= rule.support]
+    least = math.log(max(len(judged), 1) * max(len(near), 1) / rule.chance)
+    for e in judged:
+        docs = held[e]
+        if len(docs) == n:
             continue
         for w in {m[0].lower() for d in docs for m in places[d]}:
             both = len(docs & near[w])
             if both >= rule.support:
-                strength = math.log(n * both / (max(len(seen[w]), len(near[w])) * len(docs))) / math.log(n / len(docs))
-                if strength >= rule.generalise:
+                n_t, base = max(len(seen[w]), len(near[w])), len(docs) / n
+                strength = math.log(n * both / (n_t * len(docs))) / math.log(n / len(docs))
+                share = both / n_t
+                evidence = n_t * (share * math.log(share / base) + (0 if share == 1 else (1 - share) * math.log((1 - share) / (1 - base))))
+                if strength >= rule.generalise and evidence >= least:
                     strong[w][e] = strength
     for d, t in texts:
         own = {e for k, a, b in found[d] for e in pii.entity_keys(k, t[a:b], rule.groups)}
@@ -245,7 +270,7 @@ def test_op3_adds_spans_on_the_tables_as_brute_force_does(spark, medium):
             if told:
                 added.add(f"{'remove' if max(told) >= rule.remove else 'generalise'}:{m.start()}:{m.end()}")
         want[d] = added | {f"{k}:{a}:{b}" for k, a, b in found[d]}
-    got = {r["doc_id"]: set(r["spans"].split(",")) - {""} for r in Q.op3_sanitise(spark, medium).collect()}
+    got = {r["doc_id"]: set(r["spans"].split(",")) - {""} for r in pii.sanitise(table, rule).collect()}
     assert got == want and sum(x.startswith(("remove", "generalise")) for s in want.values() for x in s) > 0
 
 
