@@ -10,9 +10,10 @@ from loadloom.llm.common import drop_table, open_table, row_key, same, write_tab
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 #: Distinct sites from which on a line is boilerplate.
 SITES = 5
-#: A document whose widespread lines make up more than this share of its characters is a copy or a bare notice: it doesn't count
-#: towards a line's spread. (Boilerplate is removed from it like from any other.)
-MOST_SHARED = 0.5
+#: A document whose widespread lines make up more than this share of its characters is a near-duplicate of others, or a bare notice (the
+#: similarity from which on texts count as near-duplicates): it doesn't count towards a line's spread. Boilerplate is removed from it like
+#: from any other; pages that are navigation for most of their text still count.
+MOST_SHARED = 0.8
 #: Sketches have 2^LOG_K registers. Their error is under 0.1 % up to 20 sites, where they still list single hashes, and 0.065 as a standard
 #: deviation beyond; estimates within NEAR (5 deviations) of the threshold are counted exactly, so others are on the right side.
 LOG_K, NEAR = 8, 0.35

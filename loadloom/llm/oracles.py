@@ -9,7 +9,7 @@ WITH worded AS (
 hits AS (SELECT w.* FROM worded w JOIN widespread USING (line) WHERE w.has_word),
 voters AS (
   SELECT doc_id, text FROM (SELECT DISTINCT doc_id, text, position, line FROM hits) GROUP BY doc_id, text
-  HAVING sum(length(line)) <= 0.5 * length(text)
+  HAVING sum(length(line)) <= 0.8 * length(text)
 ), boilerplate AS (
   SELECT h.line FROM hits h JOIN voters v ON h.doc_id IS NOT DISTINCT FROM v.doc_id AND h.text = v.text GROUP BY h.line HAVING count(DISTINCT h.source) >= 5
 ), marked AS (
