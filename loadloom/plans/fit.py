@@ -156,9 +156,10 @@ def unpacked(kind: int, data: bytes, p: int) -> np.ndarray:
     return g + np.triu(g, 1).T
 
 
-def moments(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: float, stage: Stage) -> DataFrame:
-    """Moments of each series, fold and segment (between the fold's cuts), a row for each task that saw some of it."""
-    wanted = [SERIES, *FIELDS, *FORECAST, *(f"before_{x}" for x in WEATHER)]
+def moments(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: float, stage: Stage, by_chunk: int = 0) -> DataFrame:
+    """Moments of each series, fold and segment (between the fold's cuts), a row for each task that saw some of it. With ``by_chunk``, more than
+    the number of cuts, each chunk has moments of its own: its segments count from by_chunk times its number."""
+    wanted = [SERIES, *FIELDS, *FORECAST, *(f"before_{x}" for x in WEATHER), *(["chunk"] if by_chunk else [])]
     rows = chunks.select(*wanted).join(gathered(params), SERIES).sortWithinPartitions(SERIES)
     names = [SERIES, "fold", "segment", "kind", "n", "n_mild", "data"]
 
@@ -177,7 +178,8 @@ def moments(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: fl
                     if sums:
                         yield out(current, _frozen(sums))
                     current, sums = series, {}
-                add(sums, read_chunk(batch, i), batch.column("folds")[i].as_py(), layout, step_hours, stage)
+                first = by_chunk * batch.column("chunk")[i].as_py() if by_chunk else 0
+                add(sums, read_chunk(batch, i), batch.column("folds")[i].as_py(), layout, step_hours, stage, first)
         if sums:
             yield out(current, _frozen(sums))
 
@@ -199,8 +201,8 @@ def _frozen(sums: dict) -> dict:
     return found
 
 
-def add(sums: dict, fields: dict, folds: list[dict], layout: Layout, step_hours: float, stage: Stage) -> None:
-    """Add a chunk's rows to the sums of each fold and segment; what doesn't depend on a fold's span or shapes is built once."""
+def add(sums: dict, fields: dict, folds: list[dict], layout: Layout, step_hours: float, stage: Stage, first: int = 0) -> None:
+    """Add a chunk's rows to the sums of each fold and segment (numbered from ``first``); what doesn't depend on a fold's span or shapes is built once."""
     kept: dict = {}
     responses = Responses(Rows(fields, layout), step_hours)
     for fold in folds:
@@ -215,14 +217,14 @@ def add(sums: dict, fields: dict, folds: list[dict], layout: Layout, step_hours:
         mild = rows.has("mild")
         for k in np.unique(segment[seen]):
             picked = seen & (segment == k)
-            gram, few, n, n_mild = sums.get((fold["fold"], int(k)), (None, [], 0, 0))
+            gram, few, n, n_mild = sums.get((fold["fold"], first + int(k)), (None, [], 0, 0))
             block = x if picked.all() else x[picked]
             if len(block) + sum(map(len, few)) < x.shape[1] // 2:
                 few = [*few, block.copy()]
             else:
                 whole = np.vstack([*few, block]) if few else block
                 gram, few = (whole.T @ whole if gram is None else gram + whole.T @ whole), []
-            sums[fold["fold"], int(k)] = (gram, few, n + len(block), n_mild + int((mild & picked).sum()))
+            sums[fold["fold"], first + int(k)] = (gram, few, n + len(block), n_mild + int((mild & picked).sum()))
 
 
 def solved(stage: Stage, lay: Layout, g: np.ndarray, n: int, n_mild: int, coef: np.ndarray, near: np.ndarray | None = None) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ from loadloom.operators import calendar as K
 from loadloom.operators.timeaxis import SERIES, floor_to, resample
 from loadloom.plans import backtest, intraday, longterm, operation, scenario, synthetic
 from loadloom.plans import fit as M
+from loadloom.plans import kept as moments
 from loadloom.plans.chunks import chunked
 from loadloom.plans.design import Layout
 from loadloom.queries.base import query, table, tidy
@@ -318,3 +319,29 @@ def stream_late_rows(spark, sf):
     read = lambda path, schema: spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
     found = A.settled(read(closed, f"{SERIES} string, ts timestamp, value double, n long"), read(kept_rows, rows.schema), "value", 3600)
     return tidy(found.select(SERIES, "ts", "value", "n"))
+
+
+@query()
+def daily_refits(spark, sf):
+    """E16, E40: refits of four days from kept moments. On the third, a week of the past of every other series has been revised, which its
+    stored state and the count of revised rows turn into a decision; only the chunks concerned are read again."""
+    days = [f"2023-12-{d} 09:00:00" for d in (18, 19, 20, 21)]
+    stamp = lambda x: F.lit(x).cast("timestamp")
+    own = hourly_fit(spark, sf).select(SERIES, F.lit("2023-12-18").alias("fold"), "span", "theta")
+    hit = (F.pmod(F.xxhash64(SERIES), F.lit(2)) == 0) & F.col("ts").between(stamp("2023-11-06 00:00:00"), stamp("2023-11-12 23:00:00"))
+    revised = hours(spark, sf).filter(hit).select(SERIES, "ts")
+    changed = kept(spark, sf, "chunks-revised", lambda: chunked(hours(spark, sf).withColumn("load", F.when(hit, F.col("load") + 30).otherwise(F.col("load"))), "chunks-revised"))
+    stored, out = None, None
+    for k, day in enumerate(days):
+        now = own.withColumns({"until": F.unix_timestamp(stamp(day)), "since": F.unix_timestamp(stamp(days[max(k - 1, 0)]))})
+        chunks, news = (changed, revised) if k == 2 else (changed if k > 2 else hour_chunks(spark, sf), revised.limit(0))
+        states = own.select(SERIES, stamp(days[max(k - 1, 0)]).alias("fitted_at"), F.when(F.lit(k > 0), stamp(days[0])).alias("shapes_at"))
+        what = moments.decided(states, news, stamp(day))
+        if stored is None:
+            stored = moments.blocks(chunks, now, LAYOUT, 1.0)
+        else:
+            stored = moments.refreshed(stored, chunks, now, LAYOUT, 1.0, news if k == 2 else None)
+        stored = kept(spark, sf, f"moments-{k}", lambda stored=stored: stored)
+        row = moments.coefficients(stored, now, LAYOUT).select(SERIES, F.lit(day).alias("day"), "n", "rmse").join(what.select(SERIES, "revised_rows", "what"), SERIES)
+        out = row if out is None else out.unionByName(row)
+    return out
