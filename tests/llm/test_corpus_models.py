@@ -102,8 +102,8 @@ def groups_of(text, tools):
     cuts = sorted(set(of_a) & set(of_b))
     found = [([], []) for _ in cuts]
     for side, (ids, at) in enumerate(((a, of_a), (b, of_b))):
-        for i, e in zip(ids, at, strict=True):
-            found[next(k for k, c in enumerate(cuts) if e <= c) if len(cuts) < 50 else int(np.searchsorted(cuts, e))][side].append(i)
+        for i, k in zip(ids, np.searchsorted(np.array(cuts), np.array(at)).tolist(), strict=True):
+            found[k][side].append(i)
     return found
 
 
