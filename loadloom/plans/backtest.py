@@ -46,20 +46,29 @@ def weekly_shapes(chunks: DataFrame, days: DataFrame, layout: Layout, step_hours
     return M.joint(None, layout, step_hours, passes=passes, params=now, chunks=chunks)
 
 
-def rolling(chunks: DataFrame, issues: DataFrame, shapes: DataFrame, layout: Layout, step_hours: float) -> DataFrame:
-    """Day-ahead forecasts: for each issue day, coefficients from the rows before 9:00, then a prediction of all of the next day.
+def refitted(chunks: DataFrame, issues: DataFrame, shapes: DataFrame, layout: Layout, step_hours: float) -> DataFrame:
+    """series_id, fold (the day of the shapes), span, until, theta, coef, rmse, n: for each issue day, coefficients from the rows before 9:00.
 
     ``issues``: series_id, issue (date), day. ``shapes``: series_id, fold (the day), span, theta. One scan gives the moments of all issues:
-    those of a week share their shapes, and each sums what was known at it. Where the chunks hold forecast weather, it replaces the
-    measured one from the cutoff on.
+    those of a week share their shapes, and each sums what was known at it.
     """
     cuts = issues.groupBy(SERIES, F.col("day").cast("string").alias("fold")).agg(F.sort_array(F.collect_set(cutoff(F.col("issue")))).alias("_cuts"))
     known = shapes.select(SERIES, "fold", F.col("span").alias("_span"), F.col("theta").alias("_theta")).join(cuts, [SERIES, "fold"])
     weeks = M.start(known, layout, columns={"fold": F.col("fold"), "span": F.col("_span"), "theta": F.col("_theta"), "cuts": F.col("_cuts"), "until": F.array_max("_cuts")})
-    fitted = M.refits(chunks, weeks, layout, step_hours)
+    return M.refits(chunks, weeks, layout, step_hours)
+
+
+def rolling(chunks: DataFrame, issues: DataFrame, shapes: DataFrame, layout: Layout, step_hours: float) -> DataFrame:
+    """Day-ahead forecasts: for each issue day, the coefficients of ``refitted``, then a prediction of all of the next day. Where the chunks hold
+    forecast weather, it replaces the measured one from the cutoff on."""
+    return day_ahead(chunks, issues, refitted(chunks, issues, shapes, layout, step_hours), layout, step_hours)
+
+
+def day_ahead(chunks: DataFrame, issues: DataFrame, fitted: DataFrame, layout: Layout, step_hours: float) -> DataFrame:
+    """The forecasts of ``rolling``, from coefficients that there are."""
     ahead = issues.select(SERIES, F.col("day").cast("string").alias("fold"), cutoff(F.col("issue")).alias("until"), (F.datediff("issue", F.lit("1970-01-01")) + 1).alias("first"), F.col("issue").cast("string").alias("_issue"))
     each = fitted.join(ahead, [SERIES, "fold", "until"]).select(SERIES, F.col("_issue").alias("fold"), "span", "theta", "coef", "until", "first", F.col("first").alias("last"))
-    told = M.predict(chunks, each, layout, step_hours, ahead=True)
+    told = M.predict(chunks, each, layout, step_hours, ahead=True, few_days=True)
     return told.select(SERIES, F.to_date("fold").alias("issue"), "ts", "date_local", "tod", "load", "base", "heating", "cooling", "pv", "model", (F.col("load") - F.col("model")).alias("error"))
 
 

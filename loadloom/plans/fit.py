@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from loadloom import config as C
 from loadloom.operators.gram import bounded
 from loadloom.operators.timeaxis import SERIES
-from loadloom.plans.chunks import FIELDS, FORECAST, WEATHER, chunked
+from loadloom.plans.chunks import DAYS, FIELDS, FORECAST, WEATHER, chunked
 from loadloom.plans.design import FLAGS, NAMES, SHAPES, Layout, Responses, Rows
 from loadloom.sources.store import dropped, written
 
@@ -406,18 +406,22 @@ def predicted_names(layout: Layout) -> list[str]:
     return [f"part_{b}" for b in layout.base_names] + ["base", "heating", "cooling", "pv", "model", "heating_shape", "pv_shape"]
 
 
-def predict(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: float, ahead: bool = False) -> DataFrame:
+def predict(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: float, ahead: bool = False, few_days: bool = False) -> DataFrame:
     """series_id, fold, ts, date_local, tod, daytype, load, temp, sun; the blocks of the base, base, heating, cooling, pv and their sum ``model``;
     heating_shape and pv_shape, the load that a unit of sensitivity or capacity makes.
 
     ``params``: series_id, fold, span, theta, coef. With ``ahead``, also until, first and last (days since 1970): only rows of those days,
-    with forecast weather from ``until`` on.
+    with forecast weather from ``until`` on; and with ``few_days``, for folds of few days each, a chunk meets only those with days in it.
     """
     names = predicted_names(layout)
     extra = ["until", "first", "last"] if ahead else []
-    own = params.groupBy(SERIES).agg(F.collect_list(F.struct("fold", "span", "theta", "coef", *extra)).alias("folds"))
+    key = [SERIES, "chunk"] if few_days else [SERIES]
+    if few_days:
+        number = lambda day: F.floor(day / DAYS).cast("int")
+        params = params.withColumn("chunk", F.explode(F.sequence(number(F.col("first") - 1), number(F.col("last") + 1))))
+    own = params.groupBy(*key).agg(F.collect_list(F.struct("fold", "span", "theta", "coef", *extra)).alias("folds"))
     lately = BEFORE_FORECAST if ahead else ()
-    rows = chunks.select(SERIES, *FIELDS, *FORECAST, *(f"before_{x}" for x in WEATHER), *lately).join(own, SERIES)
+    rows = chunks.select(*key, *FIELDS, *FORECAST, *(f"before_{x}" for x in WEATHER), *lately).join(own, key)
     kept = ["tod", "load", "temp", "sun"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

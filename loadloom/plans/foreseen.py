@@ -218,6 +218,8 @@ def correction_coefficients(rows: DataFrame, archive: DataFrame, until: DataFram
     known = rows.join(cut, SERIES).filter((F.col("ts") < F.col("_cut")) & (F.col("ts") >= F.col("_cut") - F.expr(f"interval {days + (BEFORE + 1) * DAYS} days"))).drop("_cut")
     told = history_told(archive, known, until, days)
     chunks = chunked(known, "coefficient-chunks", forecast=told)
-    cube = I.remade_cube(chunks, params, layout, C.STEP_MINUTES / 60, horizons or list(range(AHEAD)))
-    first = cut.select(SERIES, (F.unix_timestamp(F.col("_cut") - F.expr(f"interval {days} days")) / (60 * C.STEP_MINUTES)).cast("long").alias("_first"))
-    return I.horizon_coefficients(cube.join(first, SERIES).filter(F.col("s") >= F.col("_first")), [*I.FEATURES, *I.WEATHER_FEATURES])
+    step = 60 * C.STEP_MINUTES
+    start = F.floor(F.unix_timestamp(F.col("_cut") - F.expr(f"interval {days} days")) / step) * step
+    own = params.join(cut, SERIES).select(SERIES, F.lit("").alias("fold"), "span", "theta", "coef", start.alias("valid_from"), F.unix_timestamp("_cut").alias("valid_to"))
+    cube = I.remade_cube(chunks, own, layout, C.STEP_MINUTES / 60, horizons or list(range(AHEAD)))  # earlier rows are only what filters remember
+    return I.horizon_coefficients(cube, [*I.FEATURES, *I.WEATHER_FEATURES])

@@ -111,18 +111,26 @@ def issues(spark, sf):
     return backtest.shape_days(table(spark, sf, "region").select(F.col("r_name").alias(SERIES)).distinct().select(SERIES, F.explode(days).alias("issue")))
 
 
-def backtested(spark, sf):
-    """Daily issues over a year: shapes refitted every week on what was known, coefficients every day."""
+def weekly(spark, sf):
+    """Shapes of each week of the year, refitted on what was known."""
 
     def make():
         chunks, days = hour_chunks(spark, sf), issues(spark, sf)
         first = days.groupBy(SERIES).agg(F.min("day").alias("day"))
         begun = backtest.weekly_shapes(chunks, first, LAYOUT, 1.0, passes=8)
-        shapes = backtest.weekly_shapes(chunks, days, LAYOUT, 1.0, params=begun, passes=3)
-        shapes = kept(spark, sf, "backtest-shapes", lambda: shapes)
-        return backtest.rolling(chunks, days, shapes, LAYOUT, 1.0)
+        return backtest.weekly_shapes(chunks, days, LAYOUT, 1.0, params=begun, passes=3)
+
+    return kept(spark, sf, "backtest-shapes", make)
+
 
-    return kept(spark, sf, "backtest", make)
+def daily_coefficients(spark, sf):
+    """Coefficients of each day of the year on what was known."""
+    return kept(spark, sf, "backtest-coefficients", lambda: backtest.refitted(hour_chunks(spark, sf), issues(spark, sf), weekly(spark, sf), LAYOUT, 1.0))
+
+
+def backtested(spark, sf):
+    """Daily issues over a year: shapes refitted every week on what was known, coefficients every day."""
+    return kept(spark, sf, "backtest", lambda: backtest.day_ahead(hour_chunks(spark, sf), issues(spark, sf), daily_coefficients(spark, sf), LAYOUT, 1.0))
 
 
 @query()
@@ -157,16 +165,29 @@ def intraday_horizons(spark, sf):
     return intraday.by_horizon(intraday.backtest(told, list(range(39)), 24))
 
 
+def noisy_forecast(rows):
+    """Forecast weather: a bias of the hour and noise."""
+    noisy = lambda salt: synthetic.noise(F.col(SERIES), F.unix_timestamp("ts"), salt)
+    return rows.select(SERIES, "ts", (F.col("temp") + 1 + 0.5 * noisy(21)).alias("temp"), (F.col("sun") * (1 + 0.2 * noisy(22))).alias("sun"), F.greatest(F.col("wind") + noisy(23), F.lit(0.0)).alias("wind"), "gloom")
+
+
 @query()
 def intraday_forecast_weather(spark, sf):
     """The same with forecast weather (a bias of the hour and noise), as it stood at each issue: predictions are remade for it."""
-    noisy = lambda salt: synthetic.noise(F.col(SERIES), F.unix_timestamp("ts"), salt)
     rows = hours(spark, sf).filter("ts >= '2023-07-01'")
-    told = rows.select(SERIES, "ts", (F.col("temp") + 1 + 0.5 * noisy(21)).alias("temp"), (F.col("sun") * (1 + 0.2 * noisy(22))).alias("sun"), F.greatest(F.col("wind") + noisy(23), F.lit(0.0)).alias("wind"), "gloom")
-    chunks = chunked(rows, "intraday-chunks", forecast=told)
+    chunks = chunked(rows, "intraday-chunks", forecast=noisy_forecast(rows))
     return intraday.by_horizon(intraday.backtest_remade(chunks, hourly_fit(spark, sf), LAYOUT, 1.0, list(range(39))))
 
 
+@query()
+def intraday_daily_coefficients(spark, sf):
+    """E25: every hourly issue of a year under forecast weather, with the shapes of its week and the coefficients of its day; the residuals that
+    correct it are those of these coefficients too."""
+    rows = hours(spark, sf).filter("ts >= '2022-07-01'")
+    chunks = chunked(rows, "intraday-year", forecast=noisy_forecast(rows))
+    return intraday.by_horizon(intraday.backtest_remade(chunks, intraday.daily(daily_coefficients(spark, sf)), LAYOUT, 1.0, list(range(39))))
+
+
 @query()
 def scenario_year(spark, sf):
     """A year ahead under past years' weather, by the hour, with its band."""

@@ -412,3 +412,37 @@ def test_intraday_under_forecast_weather(spark, medium):
     assert {r["h"] for r in rows} == set(range(39))
     mean = lambda c: np.mean([r[c] for r in rows])
     assert mean("rmse_corrected") < mean("rmse")  # a lasting bias of the forecast is learned
+
+
+def test_intraday_cube_of_daily_coefficients(year):
+    """Against each day on its own: the forecasts and features of its issues by a cube of that day's coefficients alone."""
+    from loadloom.plans import intraday
+
+    told = year.select("series_id", "ts", (F.col("temp") - 6 * F.col("tod") / 24).alias("temp"), (F.col("sun") * 0.7).alias("sun"), (F.col("wind") + 1).alias("wind"), "gloom")
+    chunks = chunked(year, forecast=told)
+    start = datetime(2022, 9, 27)  # a week across the edge of two chunks
+    issues = backtest.shape_days(chunks.select("series_id").distinct().select("series_id", F.explode(F.array(*(F.to_date(F.lit(str((start + timedelta(days=k)).date()))) for k in (0, 1, 2, 4)))).alias("issue")))
+    shapes = M.start(issues.select("series_id", F.col("day").cast("string").alias("_d")).distinct(), LAYOUT, columns={"fold": F.col("_d")})
+    fitted = materialised(backtest.refitted(chunks, issues, shapes, LAYOUT, 1.0), "test-daily")
+    cuts = sorted(r["until"] for r in fitted.collect())
+    assert len(cuts) == 4 and len({tuple(r["coef"]) for r in fitted.collect()}) == 4
+    horizons, features = [0, 1, 26, 38], [*intraday.FEATURES, *intraday.WEATHER_FEATURES]
+    rows = lambda df: {(r["s"], r["h"]): [r[c] for c in ("actual", "pred", *features)] for r in df.collect()}
+    got = rows(intraday.remade_cube(chunks, intraday.daily(fitted), LAYOUT, 1.0, horizons))
+    ends = [*cuts[1:], cuts[-1] + 86400]
+    assert {s for s, _ in got} == set(range(cuts[0] // 3600, ends[-1] // 3600))
+    for cut, end in zip(cuts, ends, strict=True):
+        alone = rows(intraday.remade_cube(chunks, fitted.filter(F.col("until") == cut).select("series_id", "span", "theta", "coef"), LAYOUT, 1.0, horizons))
+        wanted = {k: v for k, v in alone.items() if cut <= k[0] * 3600 < end}
+        assert wanted.keys() == {k for k in got if cut <= k[0] * 3600 < end} and wanted
+        for k, v in wanted.items():
+            assert np.allclose(np.array(got[k], float), np.array(v, float), atol=1e-6, equal_nan=True), k
+    plain = intraday.daily(fitted.unionByName(fitted))  # repeated rows
+    assert plain.count() == 4 and intraday.daily(fitted.limit(0)).count() == 0
+
+
+def test_intraday_year_of_daily_coefficients(spark, medium):
+    rows = registry.queries()["intraday_daily_coefficients"](spark, medium).collect()
+    assert {r["h"] for r in rows} == set(range(39)) and all(r["n"] > 8000 for r in rows)
+    mean = lambda c: np.mean([r[c] for r in rows])
+    assert mean("rmse_corrected") < mean("rmse")
