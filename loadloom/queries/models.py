@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loadloom import config as C
 from loadloom.operators import calendar as K
 from loadloom.operators.timeaxis import SERIES, floor_to, resample
-from loadloom.plans import backtest, intraday, longterm, operation, scenario, synthetic
+from loadloom.plans import backtest, cleaned, intraday, longterm, operation, scenario, synthetic
 from loadloom.plans import fit as M
 from loadloom.plans import kept as moments
 from loadloom.plans.chunks import chunked
 from loadloom.plans.design import Layout
 from loadloom.queries.base import query, table, tidy
-from loadloom.sources.store import exists, written
+from loadloom.sources.store import exists, export_history, shared_folder, written
 from loadloom.streaming import arrivals as A
 from loadloom.streaming import series as X
 
@@ -223,6 +225,21 @@ def weather_cleaned_load(spark, sf):
     return both.groupBy(SERIES, F.date_format("ts", "yyyy-MM").alias("month")).agg(*(F.avg(c).alias(c) for c in ("load", "cleaned", "normalised")))
 
 
+def cleaned_rows(spark, sf):
+    return kept(spark, sf, "cleaned-history", lambda: cleaned.history(M.predict(hour_chunks(spark, sf), hourly_fit(spark, sf), LAYOUT, 1.0)))
+
+
+@query()
+def cleaned_history_export(spark, sf):
+    """K8, Q14: the history without heating and cooling as csv files of each series and year, read back, with the model's shares by month, year
+    and in all."""
+    path = f"{shared_folder(spark)}/cleaned-{uuid.uuid4().hex}"
+    export_history(cleaned_rows(spark, sf), path)
+    text = spark.read.option("sep", ";").option("header", True).csv(path)
+    number = lambda c: F.regexp_replace(c, ",", ".").cast("double").alias(c)
+    return cleaned.shares(text.select(SERIES, F.to_date("date_local").alias("date_local"), *map(number, cleaned.VALUES)), 24)
+
+
 @query()
 def production_forecast(spark, sf):
     """From the end of the data to 39 hours ahead under the weather that came: the refit decision, the model's parts and the correction by horizon.

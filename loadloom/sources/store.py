@@ -56,11 +56,23 @@ def archive(forecast: DataFrame, path: str) -> None:
     forecast.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("issued_at").parquet(path)
 
 
-def export_csv(df: DataFrame, path: str, places: int = 3) -> None:
-    """Semicolons and decimal commas; for bounded reports, one file."""
+def decimal_commas(df: DataFrame, places: int) -> DataFrame:
+    """Its numbers as text of so many places."""
     numbers = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")}
     comma = lambda c: F.regexp_replace(F.format_string(f"%.{places}f", c), r"\.", ",")
-    df.select(*(F.when(F.col(c).isNotNull(), comma(c)).alias(c) if c in numbers else F.col(c) for c in df.columns)).coalesce(1).write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+    return df.select(*(F.when(F.col(c).isNotNull(), comma(c)).alias(c) if c in numbers else F.col(c) for c in df.columns))
+
+
+def export_csv(df: DataFrame, path: str, places: int = 3) -> None:
+    """Semicolons and decimal commas; for bounded reports, one file."""
+    decimal_commas(df, places).coalesce(1).write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+
+
+def export_history(df: DataFrame, path: str, places: int = 3) -> None:
+    """A csv file in order of time for each series and year (of ``date_local``), in a folder for each; a repeated run replaces the same ones."""
+    rows = df.withColumn("year", F.year("date_local")).repartition("series_id", "year").sortWithinPartitions("series_id", "year", "ts")
+    kept = decimal_commas(rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), places)
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("series_id", "year").option("sep", ";").option("header", True).csv(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
