@@ -65,11 +65,12 @@ SELECT series_id || '-' || days AS series_id, {STAMP.format("ts + to_days(days::
 def source_series_csv(spark, sf):
     """Local-time csv with decimal commas over both clock changes: the repeated hour is told by order."""
     path, out = folder(spark), None
-    whole = filled(spark, sf)
-    for series in ("click", "error", "purchase", "signup", "view"):
+    whole = store.materialised(filled(spark, sf), "filled")  # read for every file
+    names = [r["series_id"] for r in whole.select("series_id").distinct().orderBy("series_id").collect()]
+    for k, series in enumerate(names):
         for days in (AUTUMN, SPRING):
             rows = moved(whole.filter(F.col("series_id") == series), days)
-            file = put(rows.select("ts", F.concat_ws(";", shown(local()), comma("value")).alias("line")), path, f"{series}-{days}.csv", ["ts"], ("﻿timestamp;baseline",))
+            file = put(rows.select("ts", F.concat_ws(";", shown(local()), comma("value")).alias("line")), path, f"series-{k}-{days}.csv", ["ts"], ("﻿timestamp;baseline",))
             read = S.series_csv(spark, file, ["load"], f"{series}-{days}")
             out = read if out is None else out.unionByName(read)
     return tidy(out, 3)
