@@ -15,6 +15,8 @@ from loadloom.plans.design import Layout
 
 #: Hour of the issue day before which rows are known.
 KNOWN_UNTIL = 9
+#: Hours from there to the end of the next day, where clocks go back.
+HORIZON_HOURS = 40
 
 
 def cutoff(day):
@@ -64,10 +66,34 @@ def rolling(chunks: DataFrame, issues: DataFrame, shapes: DataFrame, layout: Lay
     return day_ahead(chunks, issues, refitted(chunks, issues, shapes, layout, step_hours), layout, step_hours)
 
 
-def day_ahead(chunks: DataFrame, issues: DataFrame, fitted: DataFrame, layout: Layout, step_hours: float) -> DataFrame:
-    """The forecasts of ``rolling``, from coefficients that there are."""
+def horizon_bias(told: DataFrame, measured: DataFrame, issues: DataFrame, days: int = 30, kinds: tuple[str, ...] = ("temp", "wind")) -> DataFrame:
+    """series_id, issue, and for each kind of weather an array ``bias_``: the mean error, over ``days`` days before the issue's cutoff, of the
+    local hour that each of the hours after the cutoff is. Hours without a known error have 0.
+
+    ``told`` and ``measured``: series_id, ts and the kinds. Issues stand among the errors as rows of the same windows, so each error is read
+    once, however many issues look back at it.
+    """
+    both = told.select(SERIES, "ts", *kinds).join(measured.select(SERIES, "ts", *(F.col(x).alias(f"_{x}") for x in kinds)), [SERIES, "ts"])
+    errors = both.select(SERIES, local_hour(F.col("ts")).alias("h"), F.unix_timestamp("ts").alias("t"), F.lit(None).cast("date").alias("issue"), *((F.col(x) - F.col(f"_{x}")).alias(x) for x in kinds))
+    each_hour = F.explode(F.sequence(F.lit(0), F.lit(23)))
+    marks = issues.select(SERIES, "issue").distinct().select(SERIES, each_hour.alias("h"), cutoff(F.col("issue")).alias("t"), "issue", *(F.lit(None).cast("double").alias(x) for x in kinds))
+    w = Window.partitionBy(SERIES, "h").orderBy("t").rangeBetween(-days * 86400, -1)
+    means = errors.unionByName(marks).select(SERIES, "h", "issue", *(F.coalesce(F.avg(x).over(w), F.lit(0.0)).alias(x) for x in kinds)).filter(F.col("issue").isNotNull())
+    rings = means.groupBy(SERIES, "issue").agg(*(F.map_from_entries(F.collect_list(F.struct("h", x))).alias(x) for x in kinds))
+    at = lambda x: F.transform(F.sequence(F.lit(0), F.lit(HORIZON_HOURS - 1)), lambda i: F.element_at(x, local_hour(F.timestamp_seconds(cutoff(F.col("issue")) + 3600 * i))))
+    return rings.select(SERIES, "issue", *(at(F.col(x)).alias(f"bias_{x}") for x in kinds))
+
+
+def local_hour(ts):
+    return F.hour(F.convert_timezone(F.lit("UTC"), F.lit(C.ZONE), ts.cast("timestamp_ntz")))
+
+
+def day_ahead(chunks: DataFrame, issues: DataFrame, fitted: DataFrame, layout: Layout, step_hours: float, bias: DataFrame | None = None) -> DataFrame:
+    """The forecasts of ``rolling``, from coefficients that there are. ``bias`` (of ``horizon_bias``) goes from the chunks' forecast weather."""
     ahead = issues.select(SERIES, F.col("day").cast("string").alias("fold"), cutoff(F.col("issue")).alias("until"), (F.datediff("issue", F.lit("1970-01-01")) + 1).alias("first"), F.col("issue").cast("string").alias("_issue"))
     each = fitted.join(ahead, [SERIES, "fold", "until"]).select(SERIES, F.col("_issue").alias("fold"), "span", "theta", "coef", "until", "first", F.col("first").alias("last"))
+    if bias is not None:
+        each = each.join(bias.withColumn("fold", F.col("issue").cast("string")).drop("issue"), [SERIES, "fold"], "left")
     told = M.predict(chunks, each, layout, step_hours, ahead=True, few_days=True)
     return told.select(SERIES, F.to_date("fold").alias("issue"), "ts", "date_local", "tod", "load", "base", "heating", "cooling", "pv", "model", (F.col("load") - F.col("model")).alias("error"))
 

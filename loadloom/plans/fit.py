@@ -85,22 +85,34 @@ def read_chunk(batch: pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
     return {c: get(c) for c in (*FIELDS, *FORECAST, *(f"before_{x}" for x in WEATHER), *lately)}
 
 
-def with_forecast(fields: dict[str, np.ndarray], cutoff: int) -> dict[str, np.ndarray]:
-    """Forecast weather where there is any from the cutoff on, in place of measured."""
+def with_forecast(fields: dict[str, np.ndarray], cutoff: int, bias: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Forecast weather where there is any from the cutoff on, in place of measured. ``bias``: for a kind of weather, what is taken from each
+    hour after the cutoff."""
     out = dict(fields)
     for x in (*WEATHER, "gloom"):
-        told = fields[f"forecast_{x}"]
+        told = unbiased(fields[f"forecast_{x}"], fields["t"], cutoff, x, bias)
         out[x] = np.where((fields["t"] >= cutoff) & ~np.isnan(told), told, fields[x])
     if len(fields["t"]) > 1 and fields["t"][0] > cutoff:  # a horizon that began in the chunk before
         for x in WEATHER:
             lately, past = fields.get(f"before_forecast_{x}", ()), fields[f"before_{x}"].copy()
             if len(lately) and len(lately) <= len(past):
                 at = fields["t"][0] - (fields["t"][1] - fields["t"][0]) * np.arange(len(lately), 0, -1)
-                past[-len(lately) :] = np.where((at >= cutoff) & ~np.isnan(lately), lately, past[-len(lately) :])
+                told = unbiased(lately, at, cutoff, x, bias)
+                past[-len(lately) :] = np.where((at >= cutoff) & ~np.isnan(told), told, past[-len(lately) :])
             out[f"before_{x}"] = past
     return out
 
 
+def unbiased(told: np.ndarray, t: np.ndarray, cutoff: int, kind: str, bias: dict[str, np.ndarray] | None) -> np.ndarray:
+    """Forecasts less the bias of their hour after the cutoff; wind stays at or above 0. Rows before the cutoff or past the biases stay."""
+    less = (bias or {}).get(kind)
+    if less is None or not len(less):
+        return told
+    hour = ((t - cutoff) // 3600).astype(int)
+    fixed = told - less[np.clip(hour, 0, len(less) - 1)]
+    return np.where((hour >= 0) & (hour < len(less)), np.maximum(fixed, 0.0) if kind == "wind" else fixed, told)
+
+
 def counted(rows: Rows, fold: dict, which: str) -> np.ndarray:
     """The rows that a fold's fit sees: known at its cutoff, in its window or a holiday's surroundings, not left out, of the stage's days."""
     f = rows.f
@@ -412,9 +424,11 @@ def predict(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: fl
 
     ``params``: series_id, fold, span, theta, coef. With ``ahead``, also until, first and last (days since 1970): only rows of those days,
     with forecast weather from ``until`` on; and with ``few_days``, for folds of few days each, a chunk meets only those with days in it.
+    ``bias_`` and a kind of weather, where ``params`` has it: an array of what forecasts lose by the hour after ``until``.
     """
     names = predicted_names(layout)
-    extra = ["until", "first", "last"] if ahead else []
+    biased = [x for x in WEATHER if ahead and f"bias_{x}" in params.columns]
+    extra = ["until", "first", "last", *(f"bias_{x}" for x in biased)] if ahead else []
     key = [SERIES, "chunk"] if few_days else [SERIES]
     if few_days:
         number = lambda day: F.floor(day / DAYS).cast("int")
@@ -431,7 +445,7 @@ def predict(chunks: DataFrame, params: DataFrame, layout: Layout, step_hours: fl
                 for fold in batch.column("folds")[i].as_py():
                     picked = (fields["day"] >= fold["first"]) & (fields["day"] <= fold["last"]) if ahead else np.ones(len(fields["t"]), bool)
                     if picked.any():
-                        seen = with_forecast(fields, fold["until"]) if ahead else fields
+                        seen = with_forecast(fields, fold["until"], {x: np.array(fold[f"bias_{x}"]) for x in biased if fold[f"bias_{x}"]}) if ahead else fields
                         values = components(Rows(seen, replace(layout, span_days=fold["span"])), fold, step_hours)
                         table = [pa.array([batch.column(SERIES)[i].as_py()] * int(picked.sum())), pa.array([fold["fold"]] * int(picked.sum()))]
                         table += [pa.array(fields["t"][picked].astype(np.int64)), pa.array(fields["day"][picked].astype(np.int32)), pa.array(fields["daytype"][picked].astype(np.int32))]

@@ -55,6 +55,13 @@ def in_time(archive: DataFrame, values: list[str]) -> DataFrame:
     return latest.select(SERIES, "ts", "_r.*")
 
 
+def issued_by(archive: DataFrame, values: list[str], hour: int = 10) -> DataFrame:
+    """For each target the latest issue at or before ``hour`` of the local day before: one forecast a target, known to that day's issue and the next."""
+    known = local_parts(archive).filter(F.col(ISSUED) <= wall(F.date_sub("date_local", 1), hour))
+    latest = known.groupBy(SERIES, "ts").agg(F.max(F.struct(ISSUED, *values)).alias("_r"))
+    return latest.select(SERIES, "ts", "_r.*")
+
+
 def cell_values(rows: DataFrame, decisions: DataFrame, n_cloud: int = N_CLOUD, n_sun: int = N_SUN, least: int = C.CELL_LEAST, quantiles: tuple[float, ...] = C.KT_QUANTILES) -> DataFrame:
     """series_id, decided_at, cloud_bin, sun_bin, i, v: each decision's calibration, dense. i 0 is the clearness (ratio of sums), the others
     its quantiles. ``rows``: series_id, ts, cloud_bin, sun_bin, sun, clear; those before the decision count.
@@ -104,6 +111,16 @@ def slots(hours: DataFrame, kt: DataFrame, past: str, ahead: str) -> DataFrame:
     return rows.select(*KEY, "ts", "temp", "wind", (F.col("_clear") * F.get("_kt", F.lit(0))).alias("sun"), ((1 - F.col("_dark")) * light).alias("gloom"))
 
 
+def day_ahead_weather(archive: DataFrame, measured: DataFrame, begun: DataFrame) -> DataFrame:
+    """series_id, ts, temp, wind, sun, gloom on quarter hours: what day-ahead issues of a backtest read, over the whole archive. Clearness is
+    calibrated on what was known when the backtest began, and gloom is its expectation. ``begun``: series_id, decided_at, one a series."""
+    told = issued_by(archive, ["temp", "cloud", "wind"])
+    sun = measured.groupBy(SERIES, floor_to(F.col("ts"), 60).alias("_h")).agg(F.avg("sun").alias("sun")).withColumnRenamed("_h", "ts")
+    kt = tables(cell_values(binned(told.select(SERIES, "ts", "cloud").join(sun, [SERIES, "ts"])), begun))
+    whole = "36500 days"  # slots end where the archive does
+    return slots(told.join(begun.select(*KEY), SERIES), kt, whole, whole).drop(DECIDED)
+
+
 def without_bias(rows: DataFrame, measured: DataFrame) -> DataFrame:
     """Temperature and wind less the mean error of their local hour over ``BIAS_DAYS`` days. From the decision on these end with the decision; the
     days before it show the error of forecasts as of ``PAST_DAYS`` days ago, with what was known then. Older rows go."""

@@ -1,17 +1,21 @@
 """Forecast weather at an instant of decision: nothing later enters; the issues that count; the chain against its parts."""
 
 import datetime as dt
+import zoneinfo
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loadloom import config as C
 from loadloom import registry
 from loadloom.operators.timeaxis import SERIES
+from loadloom.plans import backtest as B
 from loadloom.plans import fit as M
 from loadloom.plans import foreseen as E
 from loadloom.plans import synthetic
 from loadloom.plans.chunks import chunked
+from loadloom.plans.correction import debias
 from loadloom.plans.design import NAMES, Layout
 from loadloom.queries.foreseen import made_archive
 from loadloom.sources.store import materialised
@@ -93,3 +97,67 @@ def test_registered_forecast(spark, medium):
     rows = registry.queries()["foreseen_horizons"](spark, medium).collect()
     rmse = lambda name: np.sqrt(np.average([r["rmse"] ** 2 for r in rows if r["forecast"] == name], weights=[r["n"] for r in rows if r["forecast"] == name]))
     assert len({r["hours_ahead"] for r in rows}) > 24 and rmse("corrected") < 0.8 * rmse("model") and rmse("corrected") < 6
+
+
+ISSUED_ON = ("2022-09-24", "2022-09-28", "2022-09-29")  # a chunk ends two hours into the target of the second
+
+
+def issued(rows):
+    return rows.select(SERIES).distinct().select(SERIES, F.explode(F.array(*(F.to_date(F.lit(x)) for x in ISSUED_ON))).alias("issue"), F.to_date(F.lit(ISSUED_ON[0])).alias("day"))
+
+
+def backtested(rows, archive, layout, params):
+    begun = rows.select(SERIES).distinct().select(SERIES, F.timestamp_seconds(B.cutoff(F.to_date(F.lit(ISSUED_ON[0])))).alias(E.DECIDED))
+    told = materialised(E.day_ahead_weather(archive, rows, begun), "told")
+    issues = issued(rows)
+    fitted = params.join(issues, SERIES).select(SERIES, F.col("day").cast("string").alias("fold"), "span", B.cutoff(F.col("issue")).alias("until"), "theta", "coef")
+    return told, B.day_ahead(chunked(rows, "told-chunks", forecast=told), issues, fitted, layout, 0.25, B.horizon_bias(told, rows, issues))
+
+
+def test_day_ahead_under_forecast_weather_is_the_model_under_weather_spliced_by_hand(made):
+    rows, archive, layout, params, _ = made
+    told, found = backtested(rows, archive, layout, params)
+    got = {(r["issue"], r["ts"]): r["model"] for r in found.collect()}
+    assert len(got) == 3 * 96
+    for text in ISSUED_ON:
+        day = dt.date.fromisoformat(text)
+        cut = F.timestamp_seconds(B.cutoff(F.lit(day)))
+        both = told.join(rows.select(SERIES, "ts", F.col("temp").alias("_t"), F.col("wind").alias("_w")), [SERIES, "ts"])
+        less = debias(debias(both, "temp", "_t", cut), "wind", "_w", cut, floor=0.0).select(SERIES, "ts", *(F.col(c).alias(f"_{c}") for c in ("temp", "sun", "wind", "gloom")))
+        spliced = rows.join(less, [SERIES, "ts"], "left").select(*(F.when(F.col("ts") >= cut, F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c) if c in ("temp", "sun", "wind", "gloom") else F.col(c) for c in rows.columns))
+        want = M.predict(chunked(spliced, "by-hand"), params, layout, 0.25).filter(F.col("date_local") == F.lit(day + dt.timedelta(days=1))).collect()
+        assert len(want) == 96 and all(abs(got[day, r["ts"]] - r["model"]) < 1e-6 for r in want)
+    plain = M.predict(chunked(rows, "plain"), params, layout, 0.25).filter(F.col("date_local") == F.lit(dt.date(2022, 9, 29))).collect()
+    assert any(abs(got[dt.date(2022, 9, 28), r["ts"]] - r["model"]) > 0.5 for r in plain)
+
+
+def test_nothing_after_the_cutoff_enters_a_day_ahead_forecast(made):
+    rows, archive, layout, params, _ = made
+    want = {(r["issue"], r["ts"]): r["model"] for r in backtested(rows, archive, layout, params)[1].collect() if str(r["issue"]) != ISSUED_ON[2]}
+    cut = F.timestamp_seconds(B.cutoff(F.to_date(F.lit(ISSUED_ON[1]))))
+    late = rows.select(*(F.when(F.col("ts") >= cut, F.col(c) + 60).otherwise(F.col(c)).alias(c) if c in ("load", "temp", "sun", "wind", "gloom") else F.col(c) for c in rows.columns))
+    told_late = archive.select(SERIES, "ts", (F.greatest(cut, F.col("ts") - F.expr("interval 1 day")) + F.expr("interval 90 minutes")).alias(E.ISSUED), (F.col("temp") - 40).alias("temp"), F.lit(0.0).alias("cloud"), F.lit(50.0).alias("wind"))
+    got = {(r["issue"], r["ts"]): r["model"] for r in backtested(late, archive.unionByName(told_late), layout, params)[1].collect() if str(r["issue"]) != ISSUED_ON[2]}
+    assert got.keys() == want.keys() and len(want) == 2 * 96
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_bias_of_a_horizon_by_hand(spark):
+    """Over the change of clocks, with gaps, an hour without errors and an issue without history."""
+    start = dt.datetime(2022, 9, 10)
+    rng = np.random.default_rng(1)
+    rows = [("a", start + dt.timedelta(minutes=30 * k), float(rng.normal()), float(rng.normal()) if k % 7 else None) for k in range(48 * 55)]
+    rows = [r for r in rows if r[1].hour != 3]
+    told = spark.createDataFrame(rows, f"{SERIES} string, ts timestamp, temp double, wind double")
+    zero = told.withColumns({"temp": F.lit(0.0), "wind": F.lit(0.0)})
+    days = [dt.date(2022, 9, 10), dt.date(2022, 9, 20), dt.date(2022, 10, 29), dt.date(2022, 10, 30)]
+    found = B.horizon_bias(told, zero, spark.createDataFrame([("a", d) for d in days], f"{SERIES} string, issue date")).collect()
+    assert len(found) == 4
+    local = lambda t: t.replace(tzinfo=dt.UTC).astimezone(zoneinfo.ZoneInfo(C.ZONE))
+    for r in found:
+        cut = dt.datetime.combine(r["issue"], dt.time(9), zoneinfo.ZoneInfo(C.ZONE)).astimezone(dt.UTC).replace(tzinfo=None)
+        for at_, kind in ((2, "temp"), (3, "wind")):
+            for i, value in enumerate(r[f"bias_{kind}"]):
+                hour = local(cut + dt.timedelta(hours=i)).hour
+                errors = [x[at_] for x in rows if cut - dt.timedelta(days=30) <= x[1] < cut and local(x[1]).hour == hour and x[at_] is not None]
+                assert abs(value - (np.mean(errors) if errors else 0.0)) < 1e-9
