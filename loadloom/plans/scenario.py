@@ -49,15 +49,14 @@ def normal_weather(df: DataFrame, values: list[str], reach: int = 7) -> DataFram
     return keyed.select(*df.columns)
 
 
-def scenario_shifts(df: DataFrame, first: Column, last: Column, years: int, offsets: tuple[int, ...] = (-14, -7, 0, 7, 14), coverage: float = 0.98) -> DataFrame:
-    """Whole-year shifts, moved by some days, for which the history covers the horizon."""
-    ends = df.groupBy(SERIES).agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
+def scenario_shifts(df: DataFrame, horizon: DataFrame, years: int, offsets: tuple[int, ...] = (-14, -7, 0, 7, 14), coverage: float = 0.98) -> DataFrame:
+    """Whole-year shifts, moved by some days, for which a series' history covers its horizon."""
+    ends = df.groupBy(SERIES).agg(F.min("ts").alias("_a"), F.max("ts").alias("_b")).join(horizon.groupBy(SERIES).agg(F.min("ts").alias("_first"), F.max("ts").alias("_last")), SERIES)
     days = F.explode(F.array(*(F.lit(round(365.25 * k) + o) for k in range(1, years + 1) for o in offsets)))
-    rows = ends.select(SERIES, "_a", "_b", days.alias("shift"))
-    seconds = F.unix_timestamp(last) - F.unix_timestamp(first)
-    back = F.col("shift") * 86400
-    inside = F.least(F.unix_timestamp(last) - back, F.unix_timestamp("_b")) - F.greatest(F.unix_timestamp(first) - back, F.unix_timestamp("_a"))
-    return rows.filter(inside / seconds > coverage).select(SERIES, "shift")
+    rows = ends.select("*", days.alias("shift"))
+    first, last, back = F.unix_timestamp("_first"), F.unix_timestamp("_last"), F.col("shift") * 86400
+    inside = F.least(last - back, F.unix_timestamp("_b")) - F.greatest(first - back, F.unix_timestamp("_a"))
+    return rows.filter(inside > coverage * (last - first)).select(SERIES, "shift")
 
 
 def scenarios(df: DataFrame, horizon: DataFrame, shifts: DataFrame, values: list[str], normal: DataFrame | None = None) -> DataFrame:
@@ -79,15 +78,16 @@ def scenarios(df: DataFrame, horizon: DataFrame, shifts: DataFrame, values: list
     return found
 
 
-def band(df: DataFrame, value: str, model_sd: float, least: int = 10, by: tuple[str, ...] = (SERIES, "ts")) -> DataFrame:
-    """Mean and 80 % band over scenarios, widened by the model's own error; the extremes where there are few scenarios."""
+def band(df: DataFrame, value: str, model_sd: float | Column, least: int = 10, by: tuple[str, ...] = (SERIES, "ts")) -> DataFrame:
+    """Mean and 80 % band over scenarios (their extremes where they are few), widened by the model's own error; ``low_weather`` and
+    ``high_weather`` are the band without it. ``model_sd`` may be a column of ``by``."""
     q = F.percentile(value, F.array(F.lit(0.1), F.lit(0.9)))
     found = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), q.alias("_q"), F.min(value).alias("_min"), F.max(value).alias("_max"))
-    wide = lambda d: F.sqrt(d * d + (C.Z80 * model_sd) ** 2)
-    few = F.col("n") < least
-    low = F.when(few, F.col("_min")).otherwise(F.col("mean") - wide(F.col("mean") - F.col("_q")[0]))
-    high = F.when(few, F.col("_max")).otherwise(F.col("mean") + wide(F.col("_q")[1] - F.col("mean")))
-    return found.select(*by, "n", "mean", low.alias("low"), high.alias("high"))
+    few, sd = F.col("n") < least, model_sd if isinstance(model_sd, Column) else F.lit(model_sd)
+    found = found.withColumns({"low_weather": F.when(few, F.col("_min")).otherwise(F.col("_q")[0]), "high_weather": F.when(few, F.col("_max")).otherwise(F.col("_q")[1])})
+    wide = lambda d: F.sqrt(d * d + F.pow(C.Z80 * sd, F.lit(2.0)))
+    low, high = F.col("mean") - wide(F.col("mean") - F.col("low_weather")), F.col("mean") + wide(F.col("high_weather") - F.col("mean"))
+    return found.select(*by, "n", "mean", low.alias("low"), high.alias("high"), "low_weather", "high_weather")
 
 
 def monthly(df: DataFrame, value: str, zone: str | None = None) -> DataFrame:

@@ -395,28 +395,23 @@ def curves(q: dict[str, float], coef: np.ndarray, layout) -> list[tuple[str, flo
     return [(name, float(x), float(v)) for name, (xs, vs) in tables.items() for x, v in zip(xs, vs, strict=True)]
 
 
+#: Where the validation stands, and its cases of weather and trend.
+CUTOFFS = ("2023-01-01", "2023-03-01", "2023-05-01")
+LEVEL, OTHERS = "heating:0,pv:0", "level:0"
+CASES = [("given", "hold"), ("given", "last"), ("given", LEVEL), ("given", OTHERS), ("given", "level:0.5,heating:0.5,pv:0.5"), ("normal", "last"), ("scenarios", "last"), ("normal", OTHERS), ("scenarios", OTHERS)]
+
+
 @query()
 def forward_validation(spark, sf):
-    """Q17: a year ahead from the first year alone, under nine rules of trend and weather, against what came; coverage of the band."""
-    rows, first = Q.hours(spark, sf), "2023-01-01"
-    layout = Q.Layout(Q.FIRST, 365)
-    params = M.start(Q.hour_chunks(spark, sf).select(SERIES).distinct(), layout, columns={"until": F.unix_timestamp(F.lit(first).cast("timestamp"))})
-    params = Q.kept(spark, sf, "forward-fit", lambda: M.from_scratch(None, layout, 1.0, passes=4, params=params, chunks=Q.hour_chunks(spark, sf)))
-    past, ahead = rows.filter(F.col("ts") < first), rows.filter((F.col("ts") >= first) & (F.col("ts") < "2023-12-30"))
-    truth, out = ahead.select(SERIES, "ts", "load"), None
-    plain = ahead.drop("load", "temp", "sun", "wind", "dark", "gloom")
-    for weather in ("known", "normal", "scenarios"):
-        for trend in ("last", "hold", "heating:0.5"):
-            if weather == "known":
-                told = longterm.forecast(rows, plain, params, layout, 1.0, weather="given", trend=trend, given=ahead)
-            else:
-                told = longterm.forecast(past, plain, params, layout, 1.0, weather=weather, trend=trend)
-            band = longterm.summary(told).join(truth, [SERIES, "ts"])
-            e = F.col("load") - F.col("mean")
-            inside = F.avg((F.col("load").between(F.col("low"), F.col("high"))).cast("double"))
-            row = band.groupBy(SERIES).agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), inside.alias("coverage")).withColumns({"weather": F.lit(weather), "trend": F.lit(trend)})
-            out = row if out is None else out.unionByName(row)
-    return out
+    """Q17: up to a year ahead from three cutoffs, each from what was known at it, under nine rules of trend and weather, against what came; the
+    share in the band, whose width is the error at the other cutoffs."""
+    at = F.col("fold").cast("timestamp")
+    folds = table(spark, sf, "region").select(F.col("r_name").alias(SERIES)).distinct().select(SERIES, F.explode(F.array(*map(F.lit, CUTOFFS))).alias("fold"))
+    start = M.start(folds, Q.LAYOUT, columns={"fold": F.col("fold"), "span": F.datediff("fold", F.lit(Q.FIRST)), "until": F.unix_timestamp(at)})
+    params = Q.kept(spark, sf, "forward-fits", lambda: M.from_scratch(None, Q.LAYOUT, 1.0, passes=4, params=start, chunks=Q.hour_chunks(spark, sf)))
+    rows = Q.hours(spark, sf).filter("ts < '2023-12-30'")
+    found = Q.kept(spark, sf, "forward-cases", lambda: longterm.forward(rows, params.withColumn("cutoff", at), Q.LAYOUT, 1.0, CASES))
+    return longterm.judged(found).withColumn("cutoff", F.date_format("cutoff", "yyyy-MM-dd"))
 
 
 @query()

@@ -132,7 +132,7 @@ def online_correction(spark, sf):
 
 
 @query(f"""WITH {DAILY}, s AS (SELECT unnest([-728, -371, -364, -357, 364, 371]) AS shift), x AS (SELECT a.d + shift::INT AS d, shift, a.total FROM daily a, s), m AS (SELECT d, avg(total) AS mean, quantile_cont(total, 0.1) AS lo, quantile_cont(total, 0.9) AS hi, min(total) AS least, max(total) AS most, count(*) AS n FROM x GROUP BY 1)
-SELECT m.d::VARCHAR AS d, n::BIGINT AS n, round(mean, 2) AS mean, round(CASE WHEN n < 4 THEN least ELSE mean - sqrt(pow(mean - lo, 2) + pow(1.2816::DOUBLE * 15, 2)) END, 2) AS low, round(CASE WHEN n < 4 THEN most ELSE mean + sqrt(pow(hi - mean, 2) + pow(1.2816::DOUBLE * 15, 2)) END, 2) AS high FROM m WHERE n >= 2""")
+SELECT m.d::VARCHAR AS d, n::BIGINT AS n, round(mean, 2) AS mean, round(mean - sqrt(pow(mean - CASE WHEN n < 4 THEN least ELSE lo END, 2) + pow(1.2816::DOUBLE * 15, 2)), 2) AS low, round(mean + sqrt(pow(CASE WHEN n < 4 THEN most ELSE hi END - mean, 2) + pow(1.2816::DOUBLE * 15, 2)), 2) AS high FROM m WHERE n >= 2""")
 def scenario_band(spark, sf):
     d = daily(spark, sf).select(F.lit("orders").alias("series_id"), F.col("d").alias("ts"), F.col("total").alias("pred"))
     shifted = d.select("series_id", F.explode(F.array(*map(F.lit, [-728, -371, -364, -357, 364, 371]))).alias("shift"), "ts", "pred").select("series_id", "shift", F.date_add("ts", F.col("shift")).alias("ts"), "pred")

@@ -397,11 +397,27 @@ def test_response_curves(spark, medium):
     assert abs(np.mean(of("heating by time")) - 4) < 0.4 and abs(np.mean(of("cooling by time")) - 3) < 0.5  # the truth
 
 
-def test_forward_validation_and_training_on_forecasts(spark, medium):
+def test_forward_validation(spark, medium):
     rows = registry.queries()["forward_validation"](spark, medium).collect()
-    assert len(rows) == 5 * 9 and all(0 <= r["coverage"] <= 1 and r["n"] > 8000 for r in rows)
-    mean = lambda w: np.mean([r["rmse"] for r in rows if r["weather"] == w])
-    assert mean("known") < mean("normal")
+    assert len(rows) == 5 * 3 * 9 and all(r["n"] > 5800 for r in rows)
+    of = lambda w, t, c: [r[c] for r in rows if (r["weather"], r["trend"]) == (w, t)]
+    assert max(of("given", "last", "rmse")) < 3.2  # the noise of an hour is 2
+    assert all(0.7 < x < 0.9 for x in of("given", "last", "coverage")) and set(of("given", "last", "coverage_weather")) == {0.0}
+    assert np.mean(of("normal", "last", "rmse")) > 2 * np.mean(of("given", "last", "rmse"))
+    assert np.mean(of("scenarios", "last", "coverage")) > np.mean(of("scenarios", "last", "coverage_weather")) + 0.05
+
+
+def test_backtest_under_both_kinds_of_weather(spark, medium):
+    rows = [r for r in registry.queries()["d1_backtest_weather"](spark, medium).collect() if r["month"] == "all"]
+    assert len(rows) == 5 * 2 and {r["n"] for r in rows} == {364 * 96 + 12}  # the last day in UTC ends before the local one; clocks change
+    of = {(r["series_id"], r["weather"]): r for r in rows}
+    for s in {r["series_id"] for r in rows}:
+        measured, told = of[s, "measured"], of[s, "foreseen"]
+        assert 3.9 < measured["rmse"] < 4.2 and 1.02 < told["rmse"] / measured["rmse"] < 1.15  # the noise of a quarter hour is 4
+        assert abs(told["rmse_corrected"] / told["rmse"] - 1) < 0.02 and abs(told["bias"]) < 0.4
+
+
+def test_training_on_forecasts(spark, medium):
     rows = registry.queries()["training_on_forecasts"](spark, medium).collect()
     mean = {t: np.mean([r["rmse"] for r in rows if r["training"] == t]) for t in {r["training"] for r in rows}}
     assert len(rows) == 20 and mean["measured, debiased forecast"] < mean["measured, raw forecast"]

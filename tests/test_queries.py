@@ -32,7 +32,7 @@ def ordered(columns, rows):
 
 #: Model queries without a twin, which test_models.py runs and judges by their truth.
 JUDGED_THERE = {
-    "cleaned_history_export", "d1_backtest", "daily_refits", "foreseen_forecast", "foreseen_horizons", "forward_validation", "gamma_profile", "intraday_daily_coefficients", "intraday_forecast_weather", "intraday_horizons", "joint_fit_direct", "joint_fit_params", "lag_response", "leave_out_folds",
+    "cleaned_history_export", "d1_backtest", "d1_backtest_weather", "daily_refits", "foreseen_forecast", "foreseen_horizons", "forward_validation", "gamma_profile", "intraday_daily_coefficients", "intraday_forecast_weather", "intraday_horizons", "joint_fit_direct", "joint_fit_params", "lag_response", "leave_out_folds",
     "production_forecast", "response_curves", "scenario_months", "scenario_year", "training_on_forecasts", "weather_cleaned_load",
 }
 
