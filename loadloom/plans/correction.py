@@ -91,11 +91,12 @@ def day_ahead_features(errors: DataFrame, dimension: DataFrame, cutoff_hour: flo
     x2 = day.select(SERIES, F.date_add("date_local", 1).alias("date_local"), F.col("last_morning").alias("x2"))
     shape = rows.join(day.select(SERIES, "date_local", "mean"), [SERIES, "date_local"]).withColumn("dev", F.when(~F.col("irregular"), F.col("error") - F.col("mean")))
     k, least = C.CORRECTION["shape_days"], C.CORRECTION["shape_least"]
-    regular_only = shape.filter("not irregular")
+    # one row for each slot of a day, so that the hour which clocks repeat doesn't multiply what is joined on the slot
+    regular_only = shape.filter("not irregular").groupBy(SERIES, "tod", "date_local").agg(F.avg("dev").alias("dev"))
     s = Window.partitionBy(SERIES, "tod").orderBy("date_local").rowsBetween(-(k - 1), 0)
     means = regular_only.select(SERIES, "tod", "date_local", F.when(F.count("dev").over(s) >= least, F.avg("dev").over(s)).alias("_m"))
     carried = Window.partitionBy(SERIES, "tod").orderBy("date_local").rowsBetween(Window.unboundedPreceding, 0)
-    every = rows.select(SERIES, "tod", "date_local").join(means, [SERIES, "tod", "date_local"], "left").withColumn("x3", F.last("_m", True).over(carried))
+    every = rows.select(SERIES, "tod", "date_local").distinct().join(means, [SERIES, "tod", "date_local"], "left").withColumn("x3", F.last("_m", True).over(carried))
     x3 = every.select(SERIES, "tod", F.date_add("date_local", 2).alias("date_local"), "x3")
     return rows.join(x1, [SERIES, "date_local"], "left").join(x2, [SERIES, "date_local"], "left").join(x3, [SERIES, "tod", "date_local"], "left")
 

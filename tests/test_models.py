@@ -170,6 +170,27 @@ def test_later_rows_change_no_forecast(spark, year):
     assert all(np.allclose(found[0][k], found[1][k], atol=1e-6) for k in found[0])
 
 
+def test_features_of_a_day_ahead_keep_each_row_once_where_an_hour_is_repeated(spark):
+    from loadloom.operators import calendar as K
+    from loadloom.operators.timeaxis import local_parts
+    from loadloom.plans.correction import day_ahead_features
+
+    span = F.explode(F.sequence(F.lit("2022-10-10 00:00:00").cast("timestamp"), F.lit("2022-11-10 23:00:00").cast("timestamp"), F.expr("interval 1 hour")))
+    rows = local_parts(spark.range(1).select(F.lit("a").alias("series_id"), span.alias("ts"))).withColumn("error", F.pmod(F.xxhash64("ts"), F.lit(100)).cast("double"))
+    errors = rows.select("series_id", "ts", "date_local", "tod", "error")
+    found = day_ahead_features(errors, K.date_dimension(spark, "2022-10-01", "2022-11-30")).collect()
+    assert len(found) == errors.count() == len({r["ts"] for r in found})
+    dim = {r["date"] for r in K.date_dimension(spark, "2022-10-01", "2022-11-30").filter("irregular").collect()}
+    by_day = {}
+    for r in errors.collect():
+        by_day.setdefault(r["date_local"], []).append((r["tod"], r["error"]))
+    dev = {(d, tod): np.mean([v for t, v in x if t == tod]) - np.mean([v for _, v in x]) for d, x in by_day.items() for tod, _ in x if d not in dim}
+    for day in (datetime(2022, 11, 1).date(), datetime(2022, 11, 4).date()):  # two days after the change of clocks, and with it among the seven
+        for r in (r for r in found if r["date_local"] == day):
+            past = [dev[d, r["tod"]] for d in sorted(by_day) if d <= day - timedelta(days=2) and (d, r["tod"]) in dev][-7:]
+            assert abs(r["x3"] - np.mean(past)) < 1e-9
+
+
 def test_forecast_weather_counts_from_the_cutoff_on(year):
     """A forecast of 10 degrees more changes the heating after the cutoff, not before."""
     colder = year.select("series_id", "ts", (F.col("temp") - 10).alias("temp"), "sun", "wind", "gloom")
@@ -409,7 +430,7 @@ def test_forward_validation(spark, medium):
 
 def test_backtest_under_both_kinds_of_weather(spark, medium):
     rows = [r for r in registry.queries()["d1_backtest_weather"](spark, medium).collect() if r["month"] == "all"]
-    assert len(rows) == 5 * 2 and {r["n"] for r in rows} == {364 * 96 + 12}  # the last day in UTC ends before the local one; clocks change
+    assert len(rows) == 5 * 2 and {r["n"] for r in rows} == {364 * 96}
     of = {(r["series_id"], r["weather"]): r for r in rows}
     for s in {r["series_id"] for r in rows}:
         measured, told = of[s, "measured"], of[s, "foreseen"]
