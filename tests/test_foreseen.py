@@ -99,6 +99,57 @@ def test_registered_forecast(spark, medium):
     assert len({r["hours_ahead"] for r in rows}) > 24 and rmse("corrected") < 0.8 * rmse("model") and rmse("corrected") < 6
 
 
+def test_cells_by_hand(spark):
+    """Shares that are negative, huge, tied, infinite in number or missing; thin cells, heights without full ones, decisions that know nothing."""
+    rng, day = np.random.default_rng(3), dt.datetime(2022, 1, 1)
+    odd = (0.5, 0.5, 0.5, -3.25, 9e7, -9e7, 4096.0, 0.0)
+    rows = []
+    for k in range(6000):
+        s, c, h = ("a", "b")[k % 3 == 0], int(rng.integers(0, 4)), int(rng.integers(0, 3))
+        share = 1.0 if c == 1 else odd[int(rng.integers(0, 8))] if c == 2 else float(rng.normal(0.5, 0.2)) + h
+        if (c, h) in ((0, 2), (3, 2), (1, 2), (2, 2)) and k % 97 or (c, h) == (3, 0) and k % 11:
+            continue
+        clear = float(2 ** int(rng.integers(0, 9)))
+        rows.append((s, day + dt.timedelta(hours=k), c, h, None if k % 50 == 7 else share * clear, clear))
+    decided = [("a", rows[0][1]), ("a", day + dt.timedelta(hours=900)), ("a", day + dt.timedelta(hours=4001)), ("a", day + dt.timedelta(hours=9000)), ("b", day + dt.timedelta(hours=3000)), ("c", day + dt.timedelta(hours=3000))]
+    frame = spark.createDataFrame(rows, f"{SERIES} string, ts timestamp, cloud_bin int, sun_bin int, sun double, clear double").repartition(5)
+    least, quantiles = 12, (0.0, 0.1, 0.37, 0.9, 1.0)
+    got = {tuple(r)[:5]: r["v"] for r in E.cell_values(frame, spark.createDataFrame(decided, f"{SERIES} string, decided_at timestamp"), 5, 4, least, quantiles).collect()}
+    assert len(got) == len(decided) * 5 * 4 * 6
+
+    def values(found):
+        shares = [r[4] / r[5] for r in found if r[4] is not None]
+        return [sum(r[4] for r in found if r[4] is not None) / sum(r[5] for r in found), *np.quantile(shares, quantiles)] if shares else [None] * 6
+
+    for s, at_ in decided:
+        known = [r for r in rows if r[0] == s and r[1] < at_]
+        alone = [values([r for r in known if r[2] == c]) for c in range(5)]
+        for h in range(4):
+            own = {c: values(found) for c in range(5) if len(found := [r for r in known if r[2:4] == (c, h)]) >= least}
+            for c in range(5):
+                for i in range(6):
+                    want = np.interp(c, list(own), [v[i] for v in own.values()]) if own else alone[c][i]
+                    have = got[s, at_, c, h, i]
+                    assert have is want is None or abs(have - want) <= 1e-9 * max(1, abs(want)), (s, at_, c, h, i, have, want)
+
+
+def test_no_task_holds_a_cells_shares(spark):
+    """What is sent between tasks is counts and the shares of some bins: less than one number for each row, at any number of decisions."""
+    n, day = 200_000, "timestamp'2022-01-01'"
+    rows = spark.range(n, numPartitions=4).select(F.lit("a").alias(SERIES), (F.expr(day) + F.make_dt_interval(secs=F.col("id"))).alias("ts"), F.lit(0).alias("cloud_bin"), F.lit(0).alias("sun_bin"), F.rand(7).alias("sun"), F.lit(1.0).alias("clear"))
+    decided = spark.range(3).select(F.lit("a").alias(SERIES), (F.expr(day) + F.make_dt_interval(secs=(F.col("id") + 1) * n / 3)).alias(E.DECIDED))
+
+    def sent():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = sent()
+    found = E.cell_values(rows, decided, 1, 1, 12, (0.1, 0.9)).collect()
+    assert len(found) == 9 and all(abs(r["v"] - (0.5, 0.1, 0.9)[r["i"]]) < 0.01 for r in found)
+    assert sent() - before < 8 * n
+
+
 ISSUED_ON = ("2022-09-24", "2022-09-28", "2022-09-29")  # a chunk ends two hours into the target of the second
 
 
